@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from subdiv.functions import criteria
 from subdiv.functions.cells import check_criterion
+from subdiv.operators.histogram import running_sums, value_histogram
 from subdiv.session import materialize, small_table
 
 #: depths after which the node of each row is written instead of re-derived
@@ -75,74 +76,6 @@ class _Spec:
     baseline: float = 0.0
 
 
-# ---------------------------------------------------------------- histogram
-
-
-def _values(df: DataFrame, spec: _Spec):
-    """One struct per attribute and row: position, number or text."""
-    out = []
-    for i, a in enumerate(spec.attributes):
-        text = a in spec.discrete
-        out.append(
-            F.struct(
-                F.lit(i).alias("a"),
-                (F.lit(None) if text else F.col(f"`{a}`")).cast("double").alias("v"),
-                (F.col(f"`{a}`") if text else F.lit(None)).cast("string").alias("s"),
-            )
-        )
-    return out
-
-
-def value_histogram(df: DataFrame, spec: _Spec, keys: list[str], whole: bool = False) -> DataFrame:
-    """Rows and summed measures per attribute value (and per ``keys``), all attributes in one pass."""
-    tagged = _values(df, spec)
-    if whole:
-        tagged.append(
-            F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("v"), F.lit(None).cast("string").alias("s"))
-        )
-    present = F.col("x.v").isNotNull() & ~F.isnan("x.v") | F.col("x.s").isNotNull()
-    return (
-        df.select(*keys, F.explode(F.array(*tagged)).alias("x"), *spec.measures)
-        .where(present)
-        .groupBy(*keys, F.col("x.a").alias("a"), F.col("x.v").alias("v"), F.col("x.s").alias("s"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in spec.measures])
-    )
-
-
-def running_sums(hist: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Add ``<sum>_le`` and the next larger value of the same key.
-
-    Blocks are ranges of ``(keys, v)``; sums run inside a block and are shifted
-    by the totals of earlier blocks, of which there are as many as partitions.
-    """
-    blocks = materialize(
-        hist.repartitionByRange(*keys, "v").withColumn("block", F.spark_partition_id()), "histogram"
-    )
-    totals = blocks.groupBy(*keys, "block").agg(
-        F.min("v").alias("first_v"), *[F.sum(c).alias(f"{c}_block") for c in sums]
-    )
-    order = Window.partitionBy(*keys).orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "block",
-        F.lead("first_v").over(order).alias("following"),
-        *[F.coalesce(F.sum(f"{c}_block").over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
-    )
-    inside = Window.partitionBy(*keys, "block").orderBy("v")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = blocks.select(
-        *blocks.columns,
-        F.lead("v").over(inside).alias("next_here"),
-        *[F.sum(c).over(upto).alias(f"{c}_here") for c in sums],
-    )
-    return local.join(offsets, [*keys, "block"]).select(
-        *[c for c in hist.columns],
-        F.coalesce("next_here", "following").alias("next_v"),
-        *[(F.col(f"{c}_here") + F.col(f"{c}_before")).alias(f"{c}_le") for c in sums],
-    )
-
-
 # ---------------------------------------------------------------- best cuts
 
 
@@ -372,7 +305,7 @@ def _cut_table(spark, made: list[Node], spec: _Spec) -> DataFrame:
 
 def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
     spark = df.sparkSession
-    hist = materialize(value_histogram(df, spec, [], whole=True), "histogram")
+    hist = materialize(value_histogram(df, spec.attributes, spec.measures, whole=True), "histogram")
     whole = hist.where("a = -1").first()
     _set_baseline(spec, whole)
     sums = ["n", *spec.measures]
@@ -417,7 +350,7 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     rows = df.withColumn("node", F.lit(0).cast("bigint"))
     next_id, depth, types = 1, 0, None
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
-        hist = value_histogram(rows, spec, ["node"])
+        hist = value_histogram(rows, spec.attributes, spec.measures, keys=["node"], text=spec.discrete)
         if types is None:
             types = {m: _arrow_type(hist.schema[m].dataType) for m in spec.measures}
         if spec.discrete:
