@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from catalog import mining, trees  # noqa: F401
+from catalog import mining, preparation, trees  # noqa: F401
 from catalog.base import ORACLES, QUERIES, forget
 
 __all__ = ["ORACLES", "QUERIES", "forget"]
