@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from catalog import itemization, mining, preparation, ranking, trees  # noqa: F401
+from catalog import itemization, mining, preparation, ranking, regions, studies, trees  # noqa: F401
 from catalog.base import ORACLES, QUERIES, forget
 
 __all__ = ["ORACLES", "QUERIES", "forget"]
