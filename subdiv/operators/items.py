@@ -257,19 +257,20 @@ def divergent_values(df: DataFrame, attributes: list[str], metric: str, measures
     """
     from subdiv.operators.mine import item_counts
 
-    counts = materialize(item_counts(df, attributes, measures), "items")
     names = small_table(
         df.sparkSession, pa.schema([("a", pa.int32()), ("attr", pa.string())]), list(enumerate(attributes))
     )
-    total = counts.where("a = -1").select("n").scalar()
-    table = counts.join(names, "a", "left").select(
-        "attr",
-        F.when(F.col("attr").isNotNull(), F.col("v")).alias("item"),
-        F.when(F.col("attr").isNull(), 0).otherwise(1).alias("length"),
-        (F.col("n") / total).alias("support"),
-        F.col("n").alias("support_count"),
-        *measures,
+    counts = item_counts(df, attributes, measures).join(names, "a")
+    whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures])
+    root = whole.select(
+        F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("length"),
+        F.lit(1.0).alias("support"), F.col("n").alias("support_count"), *measures,
     )
+    singles = counts.select(
+        "attr", F.col("v").alias("item"), F.lit(1).alias("length"),
+        (F.col("n") / whole.select("n").scalar()).alias("support"), F.col("n").alias("support_count"), *measures,
+    )
+    table = materialize(root.unionByName(singles), "singles")
     if metric == "d_outcome":
         scored = with_outcome_divergence(table)
     else:

@@ -1,13 +1,15 @@
 """Frequent itemsets with summed measures.
 
 One operator serves confusion cells and numeric outcomes alike: every measure
-is a column that is summed.  The work is three kinds of job:
-
-1. count single items (one scan; the shuffle carries one row per distinct value);
-2. replace values by ids of frequent items and sum rows with equal ids (second
-   scan; from here on the data is as large as the number of distinct id
-   combinations, not as large as the input);
-3. either one grouping over all item combinations, or one grouping per itemset
+is a column that is summed.  The work is four kinds of job:
+
+1. total the table and estimate how many value combinations it holds; where they
+   are few, sum rows with equal values (what follows then reads that table);
+2. count single items: the shuffle carries one row per distinct value;
+3. replace values by ids of frequent items and sum rows with equal ids: from here
+   on the data is as large as the number of distinct id combinations, not as
+   large as the input;
+4. either one grouping over all item combinations, or one grouping per itemset
    length.
 
 A row of the table holds at most ``k`` items, so at most ``k / min_support``
@@ -24,10 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subdiv.session import int_literals, materialize, small_table, string_literals
+from subdiv.session import arrow_type, int_literals, materialize, small_table, string_literals
 
 #: largest number of combinations per row for which one grouping is used
 SINGLE_PASS_LIMIT = 4096
+#: rows are grouped first when that leaves at most one in this many
+_WORTH_GROUPING = 4
+#: attributes with at most this many frequent items are encoded without a join
+_SHORT_LIST = 32
 
 
 @dataclass(frozen=True)
@@ -70,23 +76,25 @@ def _values(df: DataFrame, name: str) -> Column:
     return F.array(col.cast("string"))
 
 
-def item_counts(df: DataFrame, attributes: list[str], measures: list[str]) -> DataFrame:
-    """Rows and summed measures of every single value, plus the whole table.
+def item_counts(df: DataFrame, attributes: list[str], measures: list[str], weight: str | None = None) -> DataFrame:
+    """Rows and summed measures of every single value: ``(a, v, n, measures)``.
 
-    Output ``(a, v, n, measures)``: ``a`` is the attribute's position, or -1 for
-    the row of the whole table.
+    ``a`` is the attribute's position.  ``weight`` names the row count of
+    already grouped rows.
     """
 
     def tag(position, name):
+        if not _is_array(df, name):
+            return F.array(F.struct(F.lit(position).alias("a"), F.col(f"`{name}`").cast("string").alias("v")))
         return F.transform(_values(df, name), lambda v: F.struct(F.lit(position).alias("a"), v.alias("v")))
 
-    tagged = [tag(i, name) for i, name in enumerate(attributes)]
-    whole = F.array(F.struct(F.lit(-1).alias("a"), F.lit("").alias("v")))
-    exploded = df.select(F.explode(F.concat(whole, *tagged)).alias("it"), *measures)
+    tags = [tag(i, name) for i, name in enumerate(attributes)]
+    count = F.col(weight) if weight else F.lit(1).cast("bigint")
+    exploded = df.select(F.explode(F.concat(*tags)).alias("it"), count.alias("n"), *measures)
     return (
         exploded.where(F.col("it.v").isNotNull())
         .groupBy(F.col("it.a").alias("a"), F.col("it.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"), *_sums(measures))
+        .agg(*_resum(measures))
     )
 
 
@@ -121,6 +129,26 @@ def admit(items: DataFrame, keep: DataFrame | None, attr: str = "attr", item: st
     )
 
 
+def _group_rows(df: DataFrame, attributes: list[str], measures: list[str]):
+    """Totals of the table, and its rows with equal values summed where that pays.
+
+    Grouping whole rows is worth its shuffle when few combinations occur; an
+    approximate distinct count, taken along with the totals, tells.
+    """
+    columns = [F.col(f"`{a}`") for a in attributes]
+    whole = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *_sums(measures),
+        F.approx_count_distinct(F.xxhash64(*columns)).alias("_combinations"),
+    ).first()
+    if not whole["n"]:
+        raise ValueError("the table has no rows")
+    rows = df.withColumn("n", F.lit(1).cast("bigint"))
+    if whole["_combinations"] * _WORTH_GROUPING <= whole["n"]:
+        rows = materialize(rows.groupBy(*columns).agg(*_resum(measures)), "grouped")
+    return whole, rows
+
+
 def _frequent_items(counts, attributes, measures, total, min_support, closure, keep, overlap):
     spark = counts.sparkSession
     names = small_table(
@@ -174,7 +202,7 @@ def _look_up(ids_of: Column, values: Column) -> Column:
 def _encode(df, items: _Items, chains, taxonomic, measures):
     """Each attribute becomes ``array<int>`` of frequent item ids; equal rows are summed."""
     spark = df.sparkSession
-    encoded = df.select(*[F.col(f"`{a}`") for a in items.attributes], *measures)
+    encoded = df.select(*[F.col(f"`{a}`") for a in items.attributes], "n", *measures)
     dictionary = small_table(
         spark,
         pa.schema([("attr", pa.string()), ("item", pa.string()), ("id", pa.int32())]),
@@ -184,11 +212,17 @@ def _encode(df, items: _Items, chains, taxonomic, measures):
     for pos, a in enumerate(items.attributes):
         code = f"_code{pos}"
         codes.append(code)
+        own = [(v, i + 1) for i, (x, v) in enumerate(zip(items.attr_of, items.values)) if x == a]
         if _is_array(df, a):
-            own = [(v, i + 1) for i, (x, v) in enumerate(zip(items.attr_of, items.values)) if x == a]
             ids_of = F.map_from_arrays(string_literals([v for v, _ in own]), int_literals([i for _, i in own]))
             encoded = encoded.withColumn(code, _look_up(ids_of, _values(df, a)))
             continue
+        if a not in taxonomic and len(own) <= _SHORT_LIST:
+            # ids of an attribute are consecutive, in the order of the list
+            place = F.array_position(string_literals([v for v, _ in own]), F.col(f"`{a}`").cast("string"))
+            found = F.when(place > 0, F.array((place + (own[0][1] - 1)).cast("int")))
+            encoded = encoded.withColumn(code, found)
+            continue
         if a in taxonomic:
             lookup = (
                 chains.where(F.col("attr") == a)
@@ -201,7 +235,7 @@ def _encode(df, items: _Items, chains, taxonomic, measures):
                 F.col("item").alias(f"_v{pos}"), F.array("id").alias(code)
             )
         encoded = encoded.join(lookup, F.col(f"`{a}`").cast("string") == F.col(f"_v{pos}"), "left").drop(f"_v{pos}")
-    return encoded.groupBy(*codes).agg(F.count(F.lit(1)).alias("n"), *_sums(measures)), codes
+    return encoded.groupBy(*codes).agg(*_resum(measures)), codes
 
 
 def _single_pass(compressed, codes, items, measures, frequent_enough, max_len):
@@ -290,34 +324,28 @@ def mine(
     _check(attributes, min_support, method, overlap)
     spark = df.sparkSession
     df = df.select(*[F.col(f"`{a}`") for a in attributes], *measures)
-    counts = materialize(item_counts(df, attributes, measures), "items")
-    root = counts.where(F.col("a") == -1).first()
-    if root is None:
-        raise ValueError("the table has no rows")
+    root, rows = _group_rows(df, attributes, measures)
     total = root["n"]
+    counts = item_counts(rows, attributes, measures, weight="n")
+    if closure is not None:
+        counts = materialize(counts, "items")
     items, chains = _frequent_items(
         counts, attributes, measures, total, min_support, closure, keep, overlap
     )
-    measure_fields = [counts.schema[m] for m in measures]
-    schema = T.StructType(
-        [
-            T.StructField("itemset", T.ArrayType(T.StringType())),
-            T.StructField("n", T.LongType()),
-            *measure_fields,
-        ]
+    schema = pa.schema(
+        [("itemset", pa.list_(pa.string())), ("n", pa.int64())]
+        + [(m, arrow_type(counts.schema[m].dataType)) for m in measures]
     )
-
-    def driver_rows(rows):
-        return spark.createDataFrame(rows, schema).coalesce(1)
-
-    singles = driver_rows(
+    singles = small_table(
+        spark,
+        schema,
         [([], root["n"], *[root[m] for m in measures])]
-        + [([name], r["n"], *[r[m] for m in measures]) for name, r in zip(items.names, items.rows)]
+        + [([name], r["n"], *[r[m] for m in measures]) for name, r in zip(items.names, items.rows)],
     )
     found = [singles]
     if items.longest > 1 and max_len != 1:
         ancestors = _ancestor_counts(closure)
-        compressed, codes = _encode(df, items, chains, set(ancestors), measures)
+        compressed, codes = _encode(rows, items, chains, set(ancestors), measures)
         frequent_enough = F.col("n") / F.lit(float(total)) >= F.lit(float(min_support))
         if method == "auto":
             combinations = reduce(

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from subdiv.functions import criteria
 from subdiv.functions.cells import check_criterion
 from subdiv.operators.histogram import running_sums, value_histogram
-from subdiv.session import materialize, small_table
+from subdiv.session import arrow_type, materialize, small_table
 
 #: depths after which the node of each row is written instead of re-derived
 _REWRITE_EVERY = 6
@@ -77,87 +77,101 @@ class _Spec:
 
 
 # ---------------------------------------------------------------- best cuts
+#
+# A cut is a row with the sums on its left, l_n, l_num and l_den, the sums of its
+# node, t_n, t_num and t_den, and the node's divergence and last criterion.  The
+# measures travel in one struct, so that the wide part of a row costs little.
 
 
-def _arrow_type(dt) -> pa.DataType:
-    if isinstance(dt, T.DecimalType):
-        return pa.decimal128(38, dt.scale)
-    if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return pa.float64()
-    return pa.int64()
+def _open_table(spark: SparkSession, nodes: list[Node], spec: _Spec, num_type: pa.DataType) -> DataFrame:
+    schema = pa.schema(
+        [
+            ("node", pa.int64()), ("a", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()),
+            ("rows", pa.int64()), ("t_div", pa.float64()), ("t_value", pa.float64()), ("t_split", pa.float64()), ("t_n", pa.int64()), ("t_num", num_type), ("t_den", pa.int64()),
+            ("b_n", pa.int64()), ("b_num", num_type), ("b_den", pa.int64()),
+        ]
+    )
 
+    def sums(n, m):
+        return n, _pick_sum(m, spec.num, n), _pick_sum(m, spec.den, n)
 
-def _open_table(spark: SparkSession, nodes: list[Node], spec: _Spec, types: dict) -> DataFrame:
-    fields = [
-        ("node", pa.int64()),
-        ("t_n", pa.int64()),
-        ("b_n", pa.int64()),
-        ("rows", pa.int64()),
-        ("t_div", pa.float64()),
-        ("t_value", pa.float64()),
-        ("t_split", pa.float64()),
-    ]
-    for m in spec.measures:
-        fields += [(f"t_{m}", types[m]), (f"b_{m}", types[m])]
-    rows = []
-    for nd in nodes:
-        row = [nd.id, nd.total_n, nd.base_n, nd.n, nd.divergence, nd.value, nd.parent_split]
-        for m in spec.measures:
-            row += [nd.total[m], nd.base[m]]
-        rows.append(tuple(row))
-    return small_table(spark, pa.schema(fields), rows)
+    def interval(nd):
+        """Attribute and bounds of a node; a joint tree has no single one."""
+        if nd.tree not in spec.attributes:
+            return None, None, None
+        _, lo, hi, _, _ = _summary(nd.path, nd.tree)
+        inf = float("inf")
+        return spec.attributes.index(nd.tree), -inf if lo is None else float(lo), inf if hi is None else float(hi)
+
+    return small_table(
+        spark,
+        schema,
+        [
+            (nd.id, *interval(nd), nd.n, nd.divergence, nd.value, nd.parent_split, *sums(nd.total_n, nd.total), *sums(nd.base_n, nd.base))
+            for nd in nodes
+        ],
+    )
+
+
+def _pick_sum(sums: dict, cols: list[str], n: int):
+    values = [n if c == "n" else sums[c] for c in cols]
+    total = values[0]
+    for v in values[1:]:
+        total += v
+    return total
 
 
-def _sum_of(cols: list[str], prefix: str):
-    total = F.col(f"{prefix}{cols[0]}")
+def _sum_columns(cols: list[str], suffix: str = ""):
+    total = F.col(f"{cols[0]}{suffix}")
     for c in cols[1:]:
-        total = total + F.col(f"{prefix}{c}")
-    return total.cast("double")
+        total = total + F.col(f"{c}{suffix}")
+    return total
+
+
+def _cut_rows(cumulated: DataFrame, keys: list[str], spec: _Spec) -> DataFrame:
+    """Running sums as the left sides of numeric cuts."""
+    return cumulated.where("next_v is not null").select(
+        *keys, "v", "next_v",
+        F.col("n_le").alias("l_n"),
+        _sum_columns(spec.num, "_le").alias("l_num"),
+        _sum_columns(spec.den, "_le").alias("l_den"),
+        F.struct(*[F.col(f"{m}_le").alias(m) for m in spec.measures]).alias("sums"),
+    )
 
 
-def candidate_cuts(rows: DataFrame, spec: _Spec) -> DataFrame:
-    """Score every admissible cut.
+def _sides(spec: _Spec) -> dict:
+    """Metric, divergence and criterion value of both sides; the right side is the difference."""
+    base = F.lit(spec.baseline)
+    parent = F.col("t_div") + base
+    sides = {
+        "l": tuple(F.col(f"l_{x}") for x in ("n", "num", "den")),
+        "r": tuple(F.col(f"t_{x}") - F.col(f"l_{x}") for x in ("n", "num", "den")),
+    }
+    out = {}
+    for side, (n, num, den) in sides.items():
+        p = F.when(den != 0, num.cast("double") / den.cast("double"))
+        out[f"{side}_n"] = n
+        out[f"{side}_p"] = p
+        out[f"{side}_den"] = den.cast("double")
+        out[f"{side}_div"] = p - base
+        out[f"{side}_value"] = criteria.node_value(spec.criterion, p, parent, base)
+    return out
 
-    ``rows`` carry the node's totals ``t_*`` and the sums of the left side
-    ``l_*``; the right side is the difference.
-    """
+
+def candidate_cuts(rows: DataFrame, spec: _Spec) -> DataFrame:
+    """Admissible cuts with their split criterion."""
     total = F.lit(float(spec.total))
-    base = F.lit(spec.baseline)
-    right = {f"r_{m}": F.col(f"t_{m}") - F.col(f"l_{m}") for m in ["n", *spec.measures]}
-    scored = rows.withColumns(right).where(
-        (F.col("l_n") / total >= spec.min_support) & (F.col("r_n") / total >= spec.min_support)
-    )
-    scored = scored.withColumns(
-        {
-            "l_den": _sum_of(spec.den, "l_"),
-            "r_den": _sum_of(spec.den, "r_"),
-            "parent": F.col("t_div") + base,
-        }
-    ).withColumns(
-        {
-            "l_p": F.try_divide(_sum_of(spec.num, "l_"), F.col("l_den")),
-            "r_p": F.try_divide(_sum_of(spec.num, "r_"), F.col("r_den")),
-        }
-    )
-    scored = scored.where(F.col("l_p").isNotNull() & F.col("r_p").isNotNull()).withColumns(
-        {
-            "l_value": criteria.node_value(spec.criterion, F.col("l_p"), F.col("parent"), base),
-            "r_value": criteria.node_value(spec.criterion, F.col("r_p"), F.col("parent"), base),
-            "l_div": F.col("l_p") - base,
-            "r_div": F.col("r_p") - base,
-        }
-    )
+    side = _sides(spec)
+    enough = (side["l_n"] / total >= spec.min_support) & (side["r_n"] / total >= spec.min_support)
     split = criteria.split_value(
-        spec.criterion,
-        F.col("l_value"),
-        F.col("r_value"),
-        F.col("l_den"),
-        F.col("r_den"),
-        F.col("l_n").cast("double"),
-        F.col("r_n").cast("double"),
-        total,
+        spec.criterion, side["l_value"], side["r_value"], side["l_den"], side["r_den"],
+        side["l_n"].cast("double"), side["r_n"].cast("double"), total,
+    )
+    return (
+        rows.where(enough)
+        .withColumn("split", split)
+        .where(F.col("split").isNotNull() & ~F.col("split").eqNullSafe(F.col("t_split")))
     )
-    return scored.withColumn("split", split).where(~F.col("split").eqNullSafe(F.col("t_split")))
 
 
 def gain(spec: _Spec):
@@ -173,49 +187,28 @@ def gain(spec: _Spec):
     return support * (F.greatest(F.abs("l_div"), F.abs("r_div")) - F.abs("t_div"))
 
 
-def best_cuts(scored: DataFrame, spec: _Spec) -> DataFrame:
-    """Per node the best cut; ties go to the first attribute, then the lowest value."""
-    rank = F.col("split") if spec.criterion == "entropy" else -F.col("split")
-    payload = [
-        "a", "v", "s", "next_v", "binary", "other", "split", "l_n", "r_n", "l_p", "r_p", "l_div", "r_div",
-        "l_value", "r_value", "rows", "t_div", "t_value",
-        *[f"l_{m}" for m in spec.measures], *[f"r_{m}" for m in spec.measures],
-    ]
-    best = (
-        scored.groupBy("node")
-        .agg(F.min(F.struct(rank.alias("rank"), *payload)).alias("b"))
-        .select("node", "b.*")
+def best_cuts(scored: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
+    """Per node the best cut; ties go to the first attribute, then the lowest value.
+
+    The best criterion comes first, from a hash aggregate on a single number;
+    only the cuts that reach it take part in breaking ties.
+    """
+    best = F.min if spec.criterion == "entropy" else F.max
+    best_split = scored.groupBy("node").agg(best("split").alias("best_split"))
+    # one row per open node, of which there are at most attributes / min_support
+    tied = scored.join(F.broadcast(best_split), "node").where(F.col("split") == F.col("best_split"))
+    payload = ["a", "v", "s", "next_v", "binary", "other", "split", "l_n", "l_num", "l_den", "t_n", "t_num", "t_den", "sums", "t_sums"]
+    first = tied.groupBy("node").agg(F.min(F.struct(*payload)).alias("b")).select("node", "b.*")
+    sides = _sides(spec)
+    chosen = (
+        first.join(opened.select("node", "rows", "t_div", "t_value"), "node")
+        .withColumns({c: sides[c] for c in ("r_n", "l_p", "r_p", "l_div", "r_div", "l_value", "r_value")})
         .withColumn("gain", gain(spec))
         .where(~((F.col("l_div") == F.col("t_div")) & (F.col("r_div") == F.col("t_div"))))
     )
     if spec.minimal_gain is not None:
-        best = best.where(F.col("gain") > F.lit(float(spec.minimal_gain)))
-    return best
-
-
-def _left_of_numeric(rows: DataFrame, spec: _Spec, base: bool) -> DataFrame:
-    """Numeric cuts lie between a value and the next one: the left side is a running sum."""
-    left = {
-        f"l_{m}": F.col(f"{m}_le") - F.col(f"b_{m}") if base else F.col(f"{m}_le") for m in ["n", *spec.measures]
-    }
-    return rows.where(F.col("next_v").isNotNull()).withColumns(
-        {**left, "binary": F.lit(False), "other": F.lit(None).cast("string")}
-    )
-
-
-def _left_of_discrete(rows: DataFrame, spec: _Spec) -> DataFrame:
-    """Discrete cuts single out one value; of a two-valued attribute only the first is tried."""
-    group = Window.partitionBy("node", "a")  # at most _MAX_DISCRETE rows
-    rows = rows.withColumns(
-        {
-            "binary": F.count(F.lit(1)).over(group) == 2,
-            "first_s": F.min("s").over(group),
-            "other": F.max("s").over(group),
-            "next_v": F.lit(None).cast("double"),
-            **{f"l_{m}": F.col(m) for m in ["n", *spec.measures]},
-        }
-    )
-    return rows.where(~F.col("binary") | (F.col("s") == F.col("first_s")))
+        chosen = chosen.where(F.col("gain") > F.lit(float(spec.minimal_gain)))
+    return chosen
 
 
 # ---------------------------------------------------------------- growth
@@ -255,8 +248,9 @@ def _children(row, nd: Node, spec: _Spec, next_id: int) -> list[Node]:
     else:
         left_val, left_rel = _number(row["v"], spec.integral[attr]), "<="
         right_val, right_rel = _number(row["next_v"], spec.integral[attr]), ">="
-    left_sums = {m: row[f"l_{m}"] for m in spec.measures}
-    right_sums = {m: row[f"r_{m}"] for m in spec.measures}
+    totals = nd.total if row["t_sums"] is None else row["t_sums"].asDict()
+    left_sums = {m: row["sums"][m] - nd.base[m] for m in spec.measures}
+    right_sums = {m: totals[m] - left_sums[m] for m in spec.measures}
 
     def child(offset, side, rel, val, sums, base_n, base):
         return Node(
@@ -309,31 +303,35 @@ def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
     whole = hist.where("a = -1").first()
     _set_baseline(spec, whole)
     sums = ["n", *spec.measures]
-    types = {m: _arrow_type(hist.schema[m].dataType) for m in spec.measures}
-    cumulated = materialize(running_sums(hist.where("a >= 0"), ["a"], sums).drop("s"), "running")
-    per_attr = {r["a"]: r for r in cumulated.groupBy("a").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
+    cumulated = running_sums(hist.where("a >= 0"), ["a"], sums)
+    num_type = arrow_type(hist.schema[spec.num[0]].dataType)
+    rows = materialize(_cut_rows(cumulated, ["a"], spec), "cuts")
+    per_attr = {
+        r["a"]: r for r in hist.where("a >= 0").groupBy("a").agg(*[F.sum(c).alias(c) for c in sums]).collect()
+    }
     all_nodes = [
         _root(a, i, whole, spec, per_attr[i]["n"], {m: per_attr[i][m] for m in spec.measures})
         for i, a in enumerate(spec.attributes)
         if i in per_attr
     ]
     open_nodes = {nd.id: nd for nd in all_nodes}
-    rows = cumulated.withColumns({"node": F.col("a").cast("bigint"), "s": F.lit(None).cast("string")})
     next_id, depth = len(spec.attributes), 0
+    none = F.lit(None)
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
-        joined = rows.join(_open_table(spark, list(open_nodes.values()), spec, types), "node")
-        scored = candidate_cuts(_left_of_numeric(joined, spec, base=True), spec)
-        made = _apply(best_cuts(scored, spec).collect(), open_nodes, spec, next_id)
+        opened = _open_table(spark, list(open_nodes.values()), spec, num_type)
+        # a node is an interval of its attribute; the plan is the same at every depth
+        here = (rows["a"] == opened["a"]) & (F.col("v") >= F.col("lo")) & (F.col("next_v") <= F.col("hi"))
+        inside = rows.join(opened, here).select(
+            "node", rows["a"], "v", none.cast("string").alias("s"), "next_v", F.lit(False).alias("binary"),
+            none.cast("string").alias("other"), "sums", none.cast(rows.schema["sums"].dataType).alias("t_sums"),
+            *[(F.col(f"l_{x}") - F.col(f"b_{x}")).alias(f"l_{x}") for x in ("n", "num", "den")],
+            "t_n", "t_num", "t_den", "t_div", "t_split",
+        )
+        cuts = best_cuts(candidate_cuts(inside, spec), opened, spec).collect()
+        made = _apply(cuts, open_nodes, spec, next_id)
         if not made:
             break
-        cuts = _cut_table(spark, made, spec)
-        rows = rows.join(cuts, "node").select(
-            F.when(F.col("v") <= F.col("cut_v"), F.col("left")).otherwise(F.col("right")).alias("node"),
-            *[c for c in rows.columns if c != "node"],
-        )
         depth += 1
-        if depth % _REWRITE_EVERY == 0:
-            rows = materialize(rows, "running")
         next_id += len(made)
         all_nodes += made
         open_nodes = {nd.id: nd for nd in made if _may_split(nd, spec)}
@@ -344,26 +342,17 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     spark = df.sparkSession
     whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in spec.measures]).first()
     _set_baseline(spec, whole)
-    sums = ["n", *spec.measures]
     all_nodes = [_root("*", 0, whole, spec, whole["n"], {m: whole[m] for m in spec.measures})]
     open_nodes = {0: all_nodes[0]}
     rows = df.withColumn("node", F.lit(0).cast("bigint"))
-    next_id, depth, types = 1, 0, None
+    next_id, depth = 1, 0
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
         hist = value_histogram(rows, spec.attributes, spec.measures, keys=["node"], text=spec.discrete)
-        if types is None:
-            types = {m: _arrow_type(hist.schema[m].dataType) for m in spec.measures}
-        if spec.discrete:
-            hist = materialize(hist, "histogram")
-        # without NULLs, per node and attribute: what both sides of a cut add up to
-        present = ["node", "a"]
-        numeric = running_sums(hist.where("v is not null"), present, sums)
-        opened = _open_table(spark, list(open_nodes.values()), spec, types)
-        scored = _score(_left_of_numeric(_with_totals(numeric, present, sums), spec, base=False), opened, spec)
-        if spec.discrete:
-            discrete = _left_of_discrete(_with_totals(hist.where("s is not null"), present, sums), spec)
-            scored = scored.unionByName(_score(discrete, opened, spec))
-        made = _apply(best_cuts(scored, spec).collect(), open_nodes, spec, next_id)
+        num_type = arrow_type(hist.schema[spec.num[0]].dataType)
+        hist = materialize(hist, "histogram")
+        opened = _open_table(spark, list(open_nodes.values()), spec, num_type)
+        scored = candidate_cuts(_joint_cuts(hist, opened, spec), spec)
+        made = _apply(best_cuts(scored, opened, spec).collect(), open_nodes, spec, next_id)
         if not made:
             break
         rows = _descend(rows, _cut_table(spark, made, spec), spec)
@@ -376,19 +365,39 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     return all_nodes
 
 
-def _with_totals(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
-    return rows.join(totals, keys)
-
-
-def _score(rows: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
-    facts = opened.select("node", "rows", "t_div", "t_value", "t_split")
-    scored = candidate_cuts(rows.join(facts, "node"), spec)
-    return scored.select(
-        "node", "a", "v", "s", "next_v", "binary", "other", "split", "l_n", "r_n", "l_p", "r_p", "l_div", "r_div",
-        "l_value", "r_value", "rows", "t_div", "t_value",
-        *[f"l_{m}" for m in spec.measures], *[f"r_{m}" for m in spec.measures],
+def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
+    """Cuts of all attributes of all nodes; totals leave out an attribute's NULLs."""
+    keys, sums = ["node", "a"], ["n", *spec.measures]
+    packed = F.struct(*spec.measures)
+    summed = hist.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    totals = summed.select(
+        *keys, F.col("n").alias("t_n"), _sum_columns(spec.num).alias("t_num"), _sum_columns(spec.den).alias("t_den"),
+        packed.alias("t_sums"),
+    )
+    none = F.lit(None)
+    numeric = _cut_rows(running_sums(hist.where("v is not null"), keys, sums), keys, spec).withColumns(
+        {"s": none.cast("string"), "binary": F.lit(False), "other": none.cast("string")}
     )
+    cuts = numeric
+    if spec.discrete:
+        # a cut singles out one value; of a two-valued attribute only the first is tried
+        group = Window.partitionBy(*keys)  # at most _MAX_DISCRETE rows
+        values = hist.where("s is not null").withColumns(
+            {
+                "binary": F.count(F.lit(1)).over(group) == 2,
+                "first_s": F.min("s").over(group),
+                "other": F.max("s").over(group),
+            }
+        )
+        discrete = values.where(~F.col("binary") | (F.col("s") == F.col("first_s"))).select(
+            *keys, none.cast("double").alias("v"), none.cast("double").alias("next_v"), F.col("n").alias("l_n"),
+            _sum_columns(spec.num).alias("l_num"), _sum_columns(spec.den).alias("l_den"), packed.alias("sums"),
+            "s", "binary", "other",
+        )
+        cuts = numeric.unionByName(discrete)
+    facts = opened.select("node", "t_div", "t_split")
+    # one row per node and attribute
+    return cuts.join(F.broadcast(totals), keys).join(facts, "node")
 
 
 def _descend(rows: DataFrame, cuts: DataFrame, spec: _Spec) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SEP = "\u0001"
 
@@ -50,6 +51,15 @@ def small_table(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> Da
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
+def arrow_type(spark_type: T.DataType) -> pa.DataType:
+    """Arrow type for the sum of a column."""
+    if isinstance(spark_type, T.DecimalType):
+        return pa.decimal128(38, spark_type.scale)
+    if isinstance(spark_type, (T.DoubleType, T.FloatType)):
+        return pa.float64()
+    return pa.int64()
+
+
 def string_literals(values: list[str]):
     """One constant ``array<string>``; a single literal whatever its length."""
     if any(_SEP in v for v in values):
