@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +13,11 @@ from subdiv.functions.cells import check_target, with_cells, with_outcome
 from subdiv.functions.metrics import CELLS, with_divergence, with_outcome_divergence
 from subdiv.operators import items as item_ops
 from subdiv.operators import taxonomy
-from subdiv.operators.mine import mine, top_k
+from subdiv.operators.mine import admit, mine, top_k
 from subdiv.operators.prepare import bin_columns
 from subdiv.operators.select import not_redundant, ranked
 from subdiv.operators.tree import grow
+from subdiv.session import materialize, small_table
 
 
 def explore(
@@ -129,40 +131,66 @@ def sweep(
     The support of an itemset depends on none of these settings, so the table is
     mined once at the lowest support; every other run is a filter on it.
     """
-    lowest = min(supports)
-    mined = explore_hierarchical(df, attributes, discretizations, edges, lowest, [metric], **options)
-    ancestors = taxonomy.closure(edges)
+    mined = explore_hierarchical(df, attributes, discretizations, edges, min(supports), [metric], **options)
     # an item is general when some other value lies below it
-    parents = ancestors.select("attr", "item").distinct()
-    rejected = _marks(mined, parents, keep)
-    runs = []
-    for generalized in (False, True):
-        for pruned in (False, True) if keep is not None else (False,):
-            rows = mined.join(rejected, "key", "left")
-            if not generalized:
-                rows = rows.where(~F.coalesce("general", F.lit(False)))
-            if pruned:
-                rows = rows.where(~F.coalesce("not_kept", F.lit(False)))
-            for support in supports:
-                frequent = rows.where((F.col("support") >= support) | (F.col("length") == 0))
-                if k is not None:
-                    frequent = top_k(frequent, metric, k)
-                runs.append(
-                    frequent.agg(
-                        F.count(F.lit(1)).cast("double").alias("itemsets"), F.max(metric).alias("max_divergence")
-                    ).select(
-                        F.lit(dataset).alias("dataset"),
-                        F.lit(metric).alias("metric"),
-                        F.lit(criterion).alias("criterion"),
-                        F.lit(min_sup_tree).cast("double").alias("min_sup_tree"),
-                        F.lit(float(support)).alias("min_sup"),
-                        F.lit(generalized).alias("generalized"),
-                        F.lit(pruned).alias("pruned"),
-                        F.lit(k).cast("int").alias("top_k"),
-                        F.expr("stack(2, 'itemsets', itemsets, 'max_divergence', max_divergence) as (stat, value)"),
-                    )
+    parents = taxonomy.closure(edges).select("attr", "item").distinct()
+    flagged = mined.join(_marks(mined, parents, keep), "key", "left").withColumns(
+        {"general": F.coalesce("general", F.lit(False)), "not_kept": F.coalesce("not_kept", F.lit(False))}
+    )
+    settings = [
+        (generalized, pruned, support)
+        for generalized in (False, True)
+        for pruned in ((False, True) if keep is not None else (False,))
+        for support in supports
+    ]
+
+    def included(generalized, pruned, support):
+        test = (F.col("support") >= support) | (F.col("length") == 0)
+        if not generalized:
+            test = test & ~F.col("general")
+        return test & ~F.col("not_kept") if pruned else test
+
+    if k is None:
+        # every setting is a condition, so one pass answers all of them
+        aggs = []
+        for i, setting in enumerate(settings):
+            test = included(*setting)
+            aggs += [F.count_if(test).alias(f"n{i}"), F.max(F.when(test, F.col(metric))).alias(f"m{i}")]
+        counted = flagged.agg(*aggs)
+        cells = [
+            F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"))
+            for i in range(len(settings))
+        ]
+        runs = counted.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    else:
+        flagged = materialize(flagged, "flagged")
+        runs = reduce(
+            DataFrame.unionByName,
+            [
+                top_k(flagged.where(included(*setting)), metric, k).agg(
+                    F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), F.max(metric).alias("m")
                 )
-    return reduce(DataFrame.unionByName, runs)
+                for i, setting in enumerate(settings)
+            ],
+        )
+    described = small_table(
+        df.sparkSession,
+        pa.schema(
+            [("i", pa.int32()), ("generalized", pa.bool_()), ("pruned", pa.bool_()), ("min_sup", pa.float64())]
+        ),
+        [(i, g, p, float(s)) for i, (g, p, s) in enumerate(settings)],
+    )
+    return runs.join(described, "i").select(
+        F.lit(dataset).alias("dataset"),
+        F.lit(metric).alias("metric"),
+        F.lit(criterion).alias("criterion"),
+        F.lit(min_sup_tree).cast("double").alias("min_sup_tree"),
+        "min_sup",
+        "generalized",
+        "pruned",
+        F.lit(k).cast("int").alias("top_k"),
+        F.expr("stack(2, 'itemsets', cast(n as double), 'max_divergence', m) as (stat, value)"),
+    )
 
 
 def _marks(mined: DataFrame, parents: DataFrame, keep: DataFrame | None) -> DataFrame:
@@ -176,8 +204,6 @@ def _marks(mined: DataFrame, parents: DataFrame, keep: DataFrame | None) -> Data
             F.expr("substr(item, instr(item, '=') + 1)").alias("value"),
             "item",
         ).distinct()
-        from subdiv.operators.mine import admit
-
         admitted = admit(pairs, keep, "attr", "value").select("item").withColumn("kept", F.lit(True))
         flagged = flagged.join(admitted, "item", "left")
     else:
