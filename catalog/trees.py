@@ -316,6 +316,22 @@ def tre14(spark, d):
     )
 
 
+@query(
+    "tre14_text_cut_by_order",
+    f"""WITH {SQL_LINES}, base AS (SELECT count(*)::DOUBLE total, sum(fp)::DOUBLE / sum(fp + tn) AS p0, sum(fp)::DOUBLE AS tf, sum(fp + tn)::DOUBLE AS td FROM line),
+h AS (SELECT brand AS s, count(*)::DOUBLE n, sum(fp)::DOUBLE f, sum(fp + tn)::DOUBLE dd FROM line GROUP BY brand),
+c AS (SELECT s, lead(s) OVER (ORDER BY s) AS s2, sum(n) OVER w AS ln, sum(f) OVER w AS lf, sum(dd) OVER w AS ld FROM h WINDOW w AS (ORDER BY s ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, lf / ld AS lp, (tf - lf) / (td - ld) AS rp FROM c, base WHERE s2 IS NOT NULL AND ln / total >= 0.05 AND (total - ln) / total >= 0.05),
+b AS (SELECT *, (ld / td) * abs(lp - p0) + ((td - ld) / td) * abs(rp - p0) AS split FROM k
+  QUALIFY row_number() OVER (ORDER BY (ld / td) * abs(lp - p0) + ((td - ld) / td) * abs(rp - p0) DESC, s) = 1)
+SELECT '<=' || s AS item, ln::BIGINT AS n, {q9('lp - p0')} AS divergence FROM b
+UNION ALL SELECT '>=' || s2, (total - ln)::BIGINT, {q9('rp - p0')} FROM b""",
+)
+def tre14_text(spark, d):
+    t = T.grow(lineitem_cls(spark, d), ["brand"], "d_fpr", 0.05, splitting="all_attributes", max_depth=1)
+    return t.nodes().where("attr is not null").select("item", "n", r9("divergence").alias("divergence"))
+
+
 # -------------------------------------------------------------------- names
 
 _SQL_PARTS = """prt0 AS (SELECT p_size, CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END AS cls,

@@ -47,35 +47,39 @@ def value_histogram(
 
 
 def running_sums(hist: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Add ``<sum>_le`` and the next larger value of the same key.
+    """Add ``<sum>_le`` and the next larger value of the same key, ``next_v`` or ``next_s``.
 
-    Blocks are ranges of ``(keys, v)``; sums run inside a block and are shifted
-    by the totals of earlier blocks, of which there are as many as partitions.
+    Blocks are ranges of ``(keys, value)``; sums run inside a block and are
+    shifted by the totals of earlier blocks, of which there are as many as
+    partitions.
     """
     blocks = materialize(
-        hist.repartitionByRange(*keys, "v").withColumn("block", F.spark_partition_id()), "histogram"
+        hist.repartitionByRange(*keys, "v", "s").withColumn("block", F.spark_partition_id()), "histogram"
     )
     totals = blocks.groupBy(*keys, "block").agg(
-        F.min("v").alias("first_v"), *[F.sum(c).alias(f"{c}_block") for c in sums]
+        F.min("v").alias("first_v"), F.min("s").alias("first_s"), *[F.sum(c).alias(f"{c}_block") for c in sums]
     )
     order = Window.partitionBy(*keys).orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         "block",
-        F.lead("first_v").over(order).alias("following"),
+        F.lead("first_v").over(order).alias("following_v"),
+        F.lead("first_s").over(order).alias("following_s"),
         *[F.coalesce(F.sum(f"{c}_block").over(before), F.lit(0)).alias(f"{c}_before") for c in sums],
     )
-    inside = Window.partitionBy(*keys, "block").orderBy("v")
+    inside = Window.partitionBy(*keys, "block").orderBy("v", "s")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.select(
         *blocks.columns,
-        F.lead("v").over(inside).alias("next_here"),
+        F.lead("v").over(inside).alias("v_here"),
+        F.lead("s").over(inside).alias("s_here"),
         *[F.sum(c).over(upto).alias(f"{c}_here") for c in sums],
     )
     return local.join(offsets, [*keys, "block"]).select(
         *[c for c in hist.columns],
-        F.coalesce("next_here", "following").alias("next_v"),
+        F.coalesce("v_here", "following_v").alias("next_v"),
+        F.coalesce("s_here", "following_s").alias("next_s"),
         *[(F.col(f"{c}_here") + F.col(f"{c}_before")).alias(f"{c}_le") for c in sums],
     )
 

@@ -64,7 +64,7 @@ class Node:
 class _Spec:
     attributes: list[str]
     integral: dict[str, bool]
-    discrete: set[str]
+    text: set[str]
     measures: list[str]
     num: list[str]
     den: list[str]
@@ -74,6 +74,8 @@ class _Spec:
     max_depth: int | None
     total: int = 0
     baseline: float = 0.0
+    #: text attributes cut by equality, as they have few values; others by order
+    discrete: set[str] = field(default_factory=set)
 
 
 # ---------------------------------------------------------------- best cuts
@@ -130,8 +132,8 @@ def _sum_columns(cols: list[str], suffix: str = ""):
 
 def _cut_rows(cumulated: DataFrame, keys: list[str], spec: _Spec) -> DataFrame:
     """Running sums as the left sides of numeric cuts."""
-    return cumulated.where("next_v is not null").select(
-        *keys, "v", "next_v",
+    return cumulated.where("next_v is not null or next_s is not null").select(
+        *keys, "v", "next_v", "s", F.col("next_s").alias("other"),
         F.col("n_le").alias("l_n"),
         _sum_columns(spec.num, "_le").alias("l_num"),
         _sum_columns(spec.den, "_le").alias("l_den"),
@@ -245,6 +247,8 @@ def _children(row, nd: Node, spec: _Spec, next_id: int) -> list[Node]:
     if attr in spec.discrete:
         left_val, left_rel = row["s"], "="
         right_val, right_rel = (row["other"], "=") if row["binary"] else (row["s"], "!=")
+    elif attr in spec.text:
+        left_val, left_rel, right_val, right_rel = row["s"], "<=", row["other"], ">="
     else:
         left_val, left_rel = _number(row["v"], spec.integral[attr]), "<="
         right_val, right_rel = _number(row["next_v"], spec.integral[attr]), ">="
@@ -287,7 +291,7 @@ def _cut_table(spark, made: list[Node], spec: _Spec) -> DataFrame:
     )
     rows = []
     for left, right in zip(made[::2], made[1::2]):
-        text = left.attr in spec.discrete
+        text = left.attr in spec.text
         rows.append(
             (
                 left.parent, spec.attributes.index(left.attr), None if text else float(left.val),
@@ -305,7 +309,7 @@ def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
     sums = ["n", *spec.measures]
     cumulated = running_sums(hist.where("a >= 0"), ["a"], sums)
     num_type = arrow_type(hist.schema[spec.num[0]].dataType)
-    rows = materialize(_cut_rows(cumulated, ["a"], spec), "cuts")
+    rows = materialize(_cut_rows(cumulated, ["a"], spec).drop("s", "other"), "cuts")
     per_attr = {
         r["a"]: r for r in hist.where("a >= 0").groupBy("a").agg(*[F.sum(c).alias(c) for c in sums]).collect()
     }
@@ -347,9 +351,11 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     rows = df.withColumn("node", F.lit(0).cast("bigint"))
     next_id, depth = 1, 0
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
-        hist = value_histogram(rows, spec.attributes, spec.measures, keys=["node"], text=spec.discrete)
+        hist = value_histogram(rows, spec.attributes, spec.measures, keys=["node"], text=spec.text)
         num_type = arrow_type(hist.schema[spec.num[0]].dataType)
         hist = materialize(hist, "histogram")
+        if depth == 0:
+            spec.discrete = _few_valued(hist, spec)
         opened = _open_table(spark, list(open_nodes.values()), spec, num_type)
         scored = candidate_cuts(_joint_cuts(hist, opened, spec), spec)
         made = _apply(best_cuts(scored, opened, spec).collect(), open_nodes, spec, next_id)
@@ -365,6 +371,11 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     return all_nodes
 
 
+def _few_valued(hist: DataFrame, spec: _Spec) -> set[str]:
+    counts = hist.where("s is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return {spec.attributes[r["a"]] for r in counts.where(F.col("n") <= _MAX_DISCRETE).collect()}
+
+
 def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
     """Cuts of all attributes of all nodes; totals leave out an attribute's NULLs."""
     keys, sums = ["node", "a"], ["n", *spec.measures]
@@ -374,15 +385,14 @@ def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
         *keys, F.col("n").alias("t_n"), _sum_columns(spec.num).alias("t_num"), _sum_columns(spec.den).alias("t_den"),
         packed.alias("t_sums"),
     )
+    singled = F.col("a").isin([i for i, a in enumerate(spec.attributes) if a in spec.discrete])
     none = F.lit(None)
-    numeric = _cut_rows(running_sums(hist.where("v is not null"), keys, sums), keys, spec).withColumns(
-        {"s": none.cast("string"), "binary": F.lit(False), "other": none.cast("string")}
-    )
-    cuts = numeric
+    ordered = _cut_rows(running_sums(hist.where(~singled), keys, sums), keys, spec).withColumn("binary", F.lit(False))
+    cuts = ordered
     if spec.discrete:
         # a cut singles out one value; of a two-valued attribute only the first is tried
         group = Window.partitionBy(*keys)  # at most _MAX_DISCRETE rows
-        values = hist.where("s is not null").withColumns(
+        values = hist.where(singled).withColumns(
             {
                 "binary": F.count(F.lit(1)).over(group) == 2,
                 "first_s": F.min("s").over(group),
@@ -394,7 +404,7 @@ def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
             _sum_columns(spec.num).alias("l_num"), _sum_columns(spec.den).alias("l_den"), packed.alias("sums"),
             "s", "binary", "other",
         )
-        cuts = numeric.unionByName(discrete)
+        cuts = ordered.unionByName(discrete)
     facts = opened.select("node", "t_div", "t_split")
     # one row per node and attribute
     return cuts.join(F.broadcast(totals), keys).join(facts, "node")
@@ -409,6 +419,9 @@ def _descend(rows: DataFrame, cuts: DataFrame, spec: _Spec) -> DataFrame:
         if a in spec.discrete:
             is_left = here & (value.cast("string") == F.col("cut_s"))
             is_right = here & (value.cast("string") != F.col("cut_s"))
+        elif a in spec.text:
+            is_left = here & (value.cast("string") <= F.col("cut_s"))
+            is_right = here & (value.cast("string") > F.col("cut_s"))
         else:
             is_left = here & (value.cast("double") <= F.col("cut_v"))
             is_right = here & (value.cast("double") > F.col("cut_v"))
@@ -451,8 +464,8 @@ def grow(
 
     ``df`` carries the cells ``tn, fp, fn, tp`` for a classification metric, or
     ``y`` for ``d_outcome``.  ``splitting`` is ``one_at_time`` (one tree per
-    numeric attribute) or ``all_attributes`` (one tree over all of them, text
-    attributes with at most ten values included).
+    numeric attribute) or ``all_attributes`` (one tree over all of them; text
+    attributes with at most ten values are cut by equality, others by order).
     """
     if splitting not in ("one_at_time", "all_attributes"):
         raise ValueError(f"unknown splitting {splitting!r}")
@@ -468,15 +481,13 @@ def grow(
         raise ValueError(f"unknown tree metric {metric!r}")
     kinds = {a: df.schema[a].dataType for a in attributes}
     numeric = {a for a, t in kinds.items() if isinstance(t, T.NumericType)}
-    discrete = set(attributes) - numeric
-    if discrete and splitting == "one_at_time":
-        raise ValueError(f"not numeric: {sorted(discrete)}")
-    if discrete:
-        _check_discrete(df, sorted(discrete))
+    text = set(attributes) - numeric
+    if text and splitting == "one_at_time":
+        raise ValueError(f"not numeric: {sorted(text)}")
     spec = _Spec(
         attributes=list(attributes),
         integral={a: isinstance(kinds[a], T.IntegralType) for a in attributes},
-        discrete=discrete, measures=measures, num=num, den=den, criterion=criterion,
+        text=text, measures=measures, num=num, den=den, criterion=criterion,
         min_support=float(min_support), minimal_gain=minimal_gain, max_depth=max_depth,
     )
     slim = df.select(*[F.col(f"`{a}`") for a in attributes], *measures)
@@ -484,13 +495,6 @@ def grow(
     return Trees(df.sparkSession, nodes, spec, metric, slim)
 
 
-def _check_discrete(df: DataFrame, attributes: list[str]) -> None:
-    counts = df.agg(*[F.count_distinct(F.col(f"`{a}`")).alias(a) for a in attributes]).first()
-    large = [a for a in attributes if counts[a] > _MAX_DISCRETE]
-    if large:
-        raise ValueError(f"more than {_MAX_DISCRETE} values: {large}; recode them first")
-
-
 # ---------------------------------------------------------------- node names
 
 
@@ -531,6 +535,11 @@ def relations(path, attr: str, open_lower: bool = False) -> tuple[list[str], lis
     return (["<="], [hi]) if lo is None else ([">" if open_lower else ">="], [lo])
 
 
+def _bound(x):
+    """A bound as number; bounds of text are found in the relations."""
+    return None if x is None or isinstance(x, str) else float(x)
+
+
 class Trees:
     """Grown trees and the tables derived from them (at most a few thousand nodes)."""
 
@@ -584,7 +593,7 @@ class Trees:
                 (
                     nd.tree, nd.id, nd.parent, nd.depth, nd.attr, path[-1][1] if path else "",
                     None if not path else str(path[-1][2]),
-                    None if lo is None else float(lo), not open_lower, None if hi is None else float(hi),
+                    _bound(lo), not open_lower, _bound(hi),
                     None if eq is None else str(eq), [str(x) for x in ne], item, parent_item,
                     rels, [str(v) for v in vals], [f"{a}{r}{v}" for a, r, v in path], above,
                     nd.is_leaf, nd.n, nd.n / spec.total, nd.metric, nd.divergence, nd.value, nd.split, nd.gain,
@@ -660,7 +669,7 @@ class Trees:
 
     def min_max(self) -> DataFrame:
         """Smallest and largest value per numeric attribute."""
-        return min_max(self._rows, [a for a in self._spec.attributes if a not in self._spec.discrete])
+        return min_max(self._rows, [a for a in self._spec.attributes if a not in self._spec.text])
 
     def node_counts(self) -> DataFrame:
         """Internal and leaf nodes per tree, roots not counted."""

@@ -95,14 +95,22 @@ def test_discrete_attributes(spark):
     assert trees.nodes().count() > 1
     with pytest.raises(ValueError):
         T.grow(df, ["t"], "d_error", 0.1)
-    many = df.withColumn("t", F.monotonically_increasing_id().cast("string"))
-    with pytest.raises(ValueError):
-        T.grow(many, ["t"], "d_error", 0.1, splitting="all_attributes")
     two = df.withColumn("t", F.when(F.col("t") == "c", "b").otherwise(F.col("t")))
     items = {r["item"] for r in T.grow(two, ["t"], "d_error", 0.1, splitting="all_attributes").nodes().where("attr is not null").collect()}
     assert items in ({"=a", "=b"}, set())
 
 
+def test_text_with_many_values_is_cut_by_order(spark):
+    rows = table(14)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("t", F.lpad((F.col("x") * 4).cast("int").cast("string"), 3, "0"))
+    text = T.grow(df, ["t"], "d_error", 0.15, splitting="all_attributes")
+    number = T.grow(df, ["x"], "d_error", 0.15)
+    sizes = lambda trees: sorted((r["n"], r["divergence"]) for r in trees.nodes().collect())
+    assert sizes(text) == sizes(number)
+    ranges = text.discretizations()["t"]
+    assert any(r["rels"] == ["<="] and isinstance(r["vals"][0], str) for r in ranges.values())
+
+
 def test_names():
     path = [("x", "<=", 9), ("x", ">=", 2), ("y", "<=", 1), ("x", "<=", 5)]
     assert T.item_name(path, "x") == "[2-5]"
