@@ -28,9 +28,7 @@ HEADLINE = [
     "tre14_one_tree_over_all_attributes",
     "e2e2_tree_ranges_to_itemsets",
     "prp11_quantile_bins",
-    "sel8_not_redundant",
     "shp1_local_shapley",
-    "cor4_correction_t_values",
     "e2e5_support_sweep",
 ]
 
@@ -38,7 +36,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")

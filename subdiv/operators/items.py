@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subdiv.functions.metrics import with_divergence, with_outcome_divergence
+from subdiv.functions.values import attribute
 from subdiv.operators.mine import admit
 from subdiv.session import materialize, small_table
 
@@ -105,7 +106,7 @@ def discretize_ranges(df: DataFrame, discretizations: dict, unmatched: str = "dr
         raise ValueError(f"no such columns: {missing}")
     return df.select(
         *[
-            range_label(F.col(f"`{c}`"), discretizations[c], unmatched).alias(c)
+            range_label(attribute(df, c), discretizations[c], unmatched).alias(c)
             if c in discretizations
             else F.col(f"`{c}`")
             for c in df.columns
@@ -117,7 +118,7 @@ def discretize_overlapping(df: DataFrame, discretizations: dict) -> DataFrame:
     """Replace each listed attribute by the array of all its ranges that hold the value."""
 
     def labels(c):
-        col = F.col(f"`{c}`")
+        col = attribute(df, c)
         flags = [F.when(in_range(col, s["rels"], s["vals"]), F.lit(k)) for k, s in discretizations[c].items()]
         return F.array_compact(F.array(*flags)).alias(c)
 
@@ -129,7 +130,7 @@ def range_flags(df: DataFrame, discretizations: dict, sep: str = "=") -> DataFra
     flags = {}
     for attr, ranges in discretizations.items():
         for label, spec in ranges.items():
-            test = F.coalesce(in_range(F.col(f"`{attr}`"), spec["rels"], spec["vals"]), F.lit(False))
+            test = F.coalesce(in_range(attribute(df, attr), spec["rels"], spec["vals"]), F.lit(False))
             flags[f"{attr}{sep}{label}"] = test.cast("int")
     return df.withColumns(flags).drop(*discretizations)
 
@@ -138,7 +139,7 @@ def itemize(df: DataFrame, attributes: list[str], name: str = "items") -> DataFr
     """Add ``items: array<struct<attr, item>>``; NULL gives no element."""
     parts = []
     for a in attributes:
-        col = F.col(f"`{a}`")
+        col = attribute(df, a)
         if isinstance(df.schema[a].dataType, T.ArrayType):
             parts.append(_tagged(a, col))
         else:
@@ -169,7 +170,7 @@ def one_hot(df: DataFrame, attributes: list[str], max_columns: int = 10_000, sep
 
 def item_names(df: DataFrame, attributes: list[str]) -> DataFrame:
     """Distinct ``(attr, value)`` of the listed columns, in one pass."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"`{a}`").cast("string").alias("value")) for a in attributes])
+    pairs = F.array(*[F.struct(F.lit(a).alias("attr"), attribute(df, a).cast("string").alias("value")) for a in attributes])
     return df.select(F.explode(pairs).alias("p")).select("p.attr", "p.value").where("value is not null").distinct()
 
 
@@ -206,17 +207,17 @@ def invalid_one_hot_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[invalid(c) for c in columns])
 
 
-def extend_items(df: DataFrame, closure: DataFrame, attribute: str) -> DataFrame:
+def extend_items(df: DataFrame, closure: DataFrame, name: str) -> DataFrame:
     """Replace a value column by the array of the value and its ancestors."""
     chains = (
-        closure.where(F.col("attr") == attribute)
+        closure.where(F.col("attr") == name)
         .groupBy(F.col("leaf").alias("_leaf"))
         .agg(F.array_sort(F.collect_set("item")).alias("_up"))
     )
-    own = F.array_compact(F.array(F.col(f"`{attribute}`").cast("string")))
-    joined = df.join(chains, F.col(f"`{attribute}`").cast("string") == F.col("_leaf"), "left")
+    own = F.array_compact(F.array(F.col(f"`{name}`").cast("string")))
+    joined = df.join(chains, F.col(f"`{name}`").cast("string") == F.col("_leaf"), "left")
     both = F.array_union(own, F.coalesce(F.col("_up"), F.array().cast("array<string>")))
-    return joined.select(*[both.alias(c) if c == attribute else F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[both.alias(c) if c == name else F.col(f"`{c}`") for c in df.columns])
 
 
 def preserve_values(df: DataFrame, keep: dict[str, list[str]]) -> DataFrame:
@@ -239,7 +240,7 @@ def keep_table(spark, keep: dict[str, list[str]]) -> DataFrame:
 
 def admitted_only(df: DataFrame, attributes: list[str], keep: DataFrame) -> DataFrame:
     """Items of the rows that pass an admission list, as ``(attr, item, n)``."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"`{a}`").cast("string").alias("item")) for a in attributes])
+    pairs = F.array(*[F.struct(F.lit(a).alias("attr"), attribute(df, a).cast("string").alias("item")) for a in attributes])
     items = (
         df.select(F.explode(pairs).alias("p"))
         .select("p.attr", "p.item")
@@ -260,6 +261,7 @@ def divergent_values(df: DataFrame, attributes: list[str], metric: str, measures
     names = small_table(
         df.sparkSession, pa.schema([("a", pa.int32()), ("attr", pa.string())]), list(enumerate(attributes))
     )
+    df = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
     counts = item_counts(df, attributes, measures).join(names, "a")
     whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures])
     root = whole.select(

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subdiv.functions.values import attribute
 from subdiv.session import arrow_type, int_literals, materialize, small_table, string_literals
 
 #: largest number of combinations per row for which one grouping is used
@@ -323,7 +324,7 @@ def mine(
     """
     _check(attributes, min_support, method, overlap)
     spark = df.sparkSession
-    df = df.select(*[F.col(f"`{a}`") for a in attributes], *measures)
+    df = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
     root, rows = _group_rows(df, attributes, measures)
     total = root["n"]
     counts = item_counts(rows, attributes, measures, weight="n")

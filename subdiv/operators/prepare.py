@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subdiv.functions.values import attribute
 from subdiv.operators.histogram import order_statistics, value_histogram
 from subdiv.session import materialize, small_table
 
@@ -120,7 +121,7 @@ def zero_low_high(df: DataFrame, columns: list[str]) -> DataFrame:
     }
 
     def label(c):
-        x = F.col(f"`{c}`").cast("double")
+        x = attribute(df, c).cast("double")
         return (
             F.when(x <= 0, "0")
             .when(x <= F.lit(medians.get(c, 0.0)), "Low")
@@ -249,7 +250,7 @@ def bin_columns(
         if c in dropped:
             continue
         if c in found:
-            columns.append(label_bins(col, found[c]["edges"], round_v).alias(c))
+            columns.append(label_bins(attribute(df, c), found[c]["edges"], round_v).alias(c))
         elif c in numeric:
             columns.append(col.cast("string").alias(c))
         else:

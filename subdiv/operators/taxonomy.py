@@ -98,10 +98,13 @@ def closure(edges: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
             .join(found, ["attr", "leaf", "item"], "left_anti")
         )
         frontier = materialize(further, "closure")
-        if frontier.isEmpty():
-            break
-        if not frontier.where(F.col("leaf") == F.col("item")).isEmpty():
+        new = frontier.agg(
+            F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("leaf") == F.col("item")).alias("loops")
+        ).first()
+        if new["loops"]:
             raise ValueError("the taxonomy has a cycle")
+        if not new["pairs"]:
+            break
         found = found.unionByName(frontier)
     return found
 

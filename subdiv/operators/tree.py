@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from subdiv.functions import criteria
 from subdiv.functions.cells import check_criterion
+from subdiv.functions.values import attribute
 from subdiv.operators.histogram import running_sums, value_histogram
 from subdiv.session import arrow_type, materialize, small_table
 
@@ -490,7 +491,7 @@ def grow(
         text=text, measures=measures, num=num, den=den, criterion=criterion,
         min_support=float(min_support), minimal_gain=minimal_gain, max_depth=max_depth,
     )
-    slim = df.select(*[F.col(f"`{a}`") for a in attributes], *measures)
+    slim = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
     nodes = _grow_separately(slim, spec) if splitting == "one_at_time" else _grow_jointly(slim, spec)
     return Trees(df.sparkSession, nodes, spec, metric, slim)
 
@@ -722,7 +723,7 @@ def min_max(df: DataFrame, attributes: list[str]) -> DataFrame:
     """``(attr, min, max)`` of numeric columns in one aggregation."""
     aggs = []
     for i, a in enumerate(attributes):
-        col = F.col(f"`{a}`").cast("double")
+        col = attribute(df, a).cast("double")
         aggs += [F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")]
     one = df.agg(*aggs)
     packed = F.array(

@@ -104,6 +104,26 @@ def test_ranges_in_gaps(spark):
     assert one(I.discretize_ranges(df, many), "x") == [("[1-1.5]",), ("[2-2.5]",), ("[3-3.5]",), ("[9-9.5]",), (None,)]
 
 
+def test_nan_is_missing(spark):
+    from subdiv.operators import tree as T
+    from subdiv.operators.mine import mine
+
+    nan = float("nan")
+    rows = [(float(i % 20), nan if i % 4 == 0 else 1.5, 1, int(i % 20 > 9), 0, int(i % 20 <= 9)) for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, y double, tn int, fp int, fn int, tp int")
+    found = {r["key"]: r["support_count"] for r in mine(df, ["y"], ["tn", "fp", "fn", "tp"], 0.01).collect()}
+    assert found == {"": 100, "y=1.5": 75}
+    ranges = {"y": {">=1": {"rels": [">="], "vals": [1.0]}}}
+    assert I.discretize_ranges(df, ranges).where("y is null").count() == 25
+    assert I.discretize_overlapping(df, ranges).where("size(y) = 0").count() == 25
+    holes = df.withColumn("x", F.when(F.col("x") == 0, F.lit(nan)).otherwise(F.col("x")))
+    binned = P.bin_columns(holes.select("x"), bins=4)[0]
+    assert binned.where("x is null").count() == 5
+    joint = T.grow(holes, ["x"], "d_error", 0.2, splitting="all_attributes", max_depth=2)
+    assert joint.nodes().where("depth = 1").agg(F.sum("n")).first()[0] == 95
+    assert joint.min_max().first()["max"] == 19.0
+
+
 def test_items_of_missing_values(spark):
     df = spark.createDataFrame([("x=1", None), (None, 2)], "a string, b int")
     got = [[tuple(i) for i in r["items"]] for r in I.itemize(df, ["a", "b"]).collect()]
