@@ -10,7 +10,7 @@ from catalog.base import (
 from subdiv.functions import criteria as C
 from subdiv.functions.metrics import CELLS
 from subdiv.operators import tree as T
-from subdiv.operators.histogram import running_sums, value_histogram
+from subdiv.operators.histogram import range_blocks, running_sums, value_histogram
 
 # ------------------------------------------------------------------ SQL side
 
@@ -191,7 +191,7 @@ FROM h WINDOW w AS (PARTITION BY attr ORDER BY v ROWS UNBOUNDED PRECEDING)""",
 def tre3(spark, d):
     names = F.array(*[F.lit(a) for a in LINE_ATTRS])
     hist = value_histogram(lineitem_cls(spark, d), LINE_ATTRS, CELLS)
-    cumulated = running_sums(hist, ["a"], ["n", "fp"])
+    cumulated = running_sums(range_blocks(hist, ["a"]), ["a"], ["n", "fp"])
     return cumulated.select(
         F.element_at(names, F.col("a") + 1).alias("attr"), "v", "n", "n_le", "fp_le", "next_v",
     )
@@ -499,7 +499,7 @@ def tre25(spark, d):
             F.sum(F.col("fp") + F.col("tn")).cast("double").alias("d"),
         ).alias("w")
     ).scalar()
-    c = running_sums(hist, ["a"], ["n", "fp", "tn"]).where("next_v is not null").withColumns(
+    c = running_sums(range_blocks(hist, ["a"]), ["a"], ["n", "fp", "tn"]).where("next_v is not null").withColumns(
         {
             "f1": F.col("fp_le").cast("double"), "d1": (F.col("fp_le") + F.col("tn_le")).cast("double"),
             "s1": F.col("n_le") / whole["n"], "n0": whole["f"], "d0": whole["d"],

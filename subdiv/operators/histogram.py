@@ -46,16 +46,19 @@ def value_histogram(
     )
 
 
-def running_sums(hist: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+def range_blocks(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """A histogram written in ranges of ``(keys, value)``; ``block`` numbers the ranges."""
+    ordered = hist.repartitionByRange(*keys, "v", "s").withColumn("block", F.spark_partition_id())
+    return materialize(ordered, "histogram")
+
+
+def running_sums(blocks: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Add ``<sum>_le`` and the next larger value of the same key, ``next_v`` or ``next_s``.
 
-    Blocks are ranges of ``(keys, value)``; sums run inside a block and are
+    ``blocks`` comes from :func:`range_blocks`.  Sums run inside a block and are
     shifted by the totals of earlier blocks, of which there are as many as
     partitions.
     """
-    blocks = materialize(
-        hist.repartitionByRange(*keys, "v", "s").withColumn("block", F.spark_partition_id()), "histogram"
-    )
     totals = blocks.groupBy(*keys, "block").agg(
         F.min("v").alias("first_v"), F.min("s").alias("first_s"), *[F.sum(c).alias(f"{c}_block") for c in sums]
     )
@@ -77,22 +80,22 @@ def running_sums(hist: DataFrame, keys: list[str], sums: list[str]) -> DataFrame
         *[F.sum(c).over(upto).alias(f"{c}_here") for c in sums],
     )
     return local.join(offsets, [*keys, "block"]).select(
-        *[c for c in hist.columns],
+        *[c for c in blocks.columns if c != "block"],
         F.coalesce("v_here", "following_v").alias("next_v"),
         F.coalesce("s_here", "following_s").alias("next_s"),
         *[(F.col(f"{c}_here") + F.col(f"{c}_before")).alias(f"{c}_le") for c in sums],
     )
 
 
-def order_statistics(hist: DataFrame, attributes: list[str], quantiles: dict[str, list[float]]) -> DataFrame:
+def order_statistics(blocks: DataFrame, attributes: list[str], quantiles: dict[str, list[float]]) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(a, q, value)``.
 
-    ``hist`` is a materialized :func:`value_histogram`.  The wanted ranks are a
-    short list; each histogram row looks up which of them it covers.
+    ``blocks`` holds a :func:`value_histogram` ranged by attribute.  The wanted
+    ranks are a short list; each histogram row looks up which of them it covers.
     """
-    spark = hist.sparkSession
+    spark = blocks.sparkSession
     counts = {
-        r["a"]: r["n"] for r in hist.where("a >= 0").groupBy("a").agg(F.sum("n").alias("n")).collect()
+        r["a"]: r["n"] for r in blocks.groupBy("a").agg(F.sum("n").alias("n")).collect()
     }
     wanted = []
     for i, name in enumerate(attributes):
@@ -110,7 +113,7 @@ def order_statistics(hist: DataFrame, attributes: list[str], quantiles: dict[str
         .groupBy("a")
         .agg(F.array_sort(F.collect_set("k")).alias("ranks"))
     )
-    cumulated = running_sums(hist.where("a >= 0"), ["a"], ["n"])
+    cumulated = running_sums(blocks, ["a"], ["n"])
     first = F.col("n_le") - F.col("n")
     hits = cumulated.join(ranks, "a").select(
         "a", "v", F.explode(F.filter("ranks", lambda k: (k >= first) & (k < F.col("n_le")))).alias("k")

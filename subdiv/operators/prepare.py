@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subdiv.functions.values import attribute
-from subdiv.operators.histogram import order_statistics, value_histogram
-from subdiv.session import materialize, small_table
+from subdiv.operators.histogram import order_statistics, range_blocks, value_histogram
+from subdiv.session import small_table
 
 #: recodes of at most this many entries become a map literal, larger ones a join
 _MAP_LIMIT = 64
@@ -114,7 +114,7 @@ def edge_bin(x: Column, edges: list) -> Column:
 def zero_low_high(df: DataFrame, columns: list[str]) -> DataFrame:
     """``0``, ``Low``, ``High``: split at the median of the positive values."""
     slim = df.select(*[F.when(F.col(f"`{c}`") > 0, F.col(f"`{c}`")).alias(c) for c in columns])
-    hist = materialize(value_histogram(slim, columns, []), "histogram")
+    hist = range_blocks(value_histogram(slim, columns, []), ["a"])
     medians = {
         columns[r["a"]]: r["value"]
         for r in order_statistics(hist, columns, {c: [0.5] for c in columns}).collect()
@@ -162,7 +162,7 @@ def bin_edges(
     if strategy not in ("quantile", "uniform"):
         raise ValueError(f"unknown strategy {strategy!r}")
     slim = df.select(*[F.col(f"`{c}`") for c in attributes])
-    hist = materialize(value_histogram(slim, attributes, []), "histogram")
+    hist = range_blocks(value_histogram(slim, attributes, []), ["a"])
     facts = {
         attributes[r["a"]]: r
         for r in hist.groupBy("a")

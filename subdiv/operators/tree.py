@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from subdiv.functions import criteria
 from subdiv.functions.cells import check_criterion
 from subdiv.functions.values import attribute
-from subdiv.operators.histogram import running_sums, value_histogram
+from subdiv.operators.histogram import range_blocks, running_sums, value_histogram
 from subdiv.session import arrow_type, materialize, small_table
 
 #: depths after which the node of each row is written instead of re-derived
@@ -304,7 +304,7 @@ def _cut_table(spark, made: list[Node], spec: _Spec) -> DataFrame:
 
 def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
     spark = df.sparkSession
-    hist = materialize(value_histogram(df, spec.attributes, spec.measures, whole=True), "histogram")
+    hist = range_blocks(value_histogram(df, spec.attributes, spec.measures, whole=True), ["a"])
     whole = hist.where("a = -1").first()
     _set_baseline(spec, whole)
     sums = ["n", *spec.measures]
@@ -354,11 +354,11 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
         hist = value_histogram(rows, spec.attributes, spec.measures, keys=["node"], text=spec.text)
         num_type = arrow_type(hist.schema[spec.num[0]].dataType)
-        hist = materialize(hist, "histogram")
+        hist = range_blocks(hist, ["node", "a"])
         if depth == 0:
             spec.discrete = _few_valued(hist, spec)
         opened = _open_table(spark, list(open_nodes.values()), spec, num_type)
-        scored = candidate_cuts(_joint_cuts(hist, opened, spec), spec)
+        scored = materialize(candidate_cuts(_joint_cuts(hist, opened, spec), spec), "cuts")
         made = _apply(best_cuts(scored, opened, spec).collect(), open_nodes, spec, next_id)
         if not made:
             break
