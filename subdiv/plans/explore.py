@@ -101,8 +101,8 @@ def explore_hierarchical(
 def tree_hierarchy(df: DataFrame, continuous: list[str], metric: str, min_support: float, **options):
     """Grow trees and return ``(trees, discretizations, edges)`` of the continuous attributes.
 
-    Without ``storing`` anything: ranges of one-at-a-time trees are leaves with
-    their generalizations, those of a joint tree are all nodes without any.
+    Ranges of one-at-a-time trees are leaves with their generalizations; those of
+    a joint tree are all nodes, which overlap, without generalizations.
     """
     inputs = options.pop("attributes", continuous)
     trees = grow(df, inputs, metric, min_support, **options)
