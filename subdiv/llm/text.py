@@ -121,8 +121,8 @@ class Words:
         return at, total
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a text column (null: empty) into blocks of about ``limit`` bytes; no text is cut."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = 4096) -> Iterator[Block]:
+    """Cut a text column (null: empty) into blocks of about ``limit`` bytes and ``rows`` texts; no text is cut."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -132,7 +132,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, len(column), lo + rows)
         yield Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo)
         lo = hi
 
