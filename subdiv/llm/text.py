@@ -183,7 +183,7 @@ def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
     rows = (
         hashes.where(F.col(column).isNotNull())
         .groupBy((bit / 32).cast("int").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("bits"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("bits"))
         .collect()  # at most BITMAP_BITS / 32 rows
     )
     words = np.zeros(BITMAP_BITS // 32, dtype=np.uint32)
