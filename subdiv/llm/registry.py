@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from subdiv.llm.decontaminate import op2_decontamination
+from subdiv.llm.html_extract import op4_html_extraction
+from subdiv.llm.language_id import op7_language_id
+from subdiv.llm.license_scan import op6_license_scan
+from subdiv.llm.ngram_join import op3_ngram_join
+from subdiv.llm.packing import op8_best_fit_packing
 from subdiv.llm.quality_model import op5_quality_model
 from subdiv.llm.quality_rules import op10_quality_rules
+from subdiv.llm.toxicity import op9_toxicity
 from subdiv.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontamination": op2_decontamination,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_model": op5_quality_model,
+    "op6_license_scan": op6_license_scan,
+    "op7_language_id": op7_language_id,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
