@@ -201,7 +201,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     shared = materialize(neighbourhoods(docs, n, percent), "neighbourhoods")
     wanted = X.bitmap_of(shared, "set_id")
     ids = shared.select("set_id").distinct()
-    reps = materialize(rows.join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("bits").alias("bits")), "representatives")
+    reps = materialize(rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")).join(ids, "set_id"), "representatives")
     nulls = reps.where(F.col("doc_id").isNull()).limit(1).count() > 0
     sets = materialize(_shingles_of(docs, n, X.bitmap_of(reps.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id") if nulls else "doc_id"), "doc_id"), wanted), "shingles")
 
