@@ -62,8 +62,14 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """Bit i: whether an odd number of shingles hash to i; two sets differ in at least as many shingles as bits."""
-    bits = np.bincount((X.mix(shingles + np.uint64(7)) % np.uint64(_BITMAP)).astype(np.int64), minlength=_BITMAP) & 1
+    """Bit i: whether an odd number of shingles hash to i; two sets differ in at least as many shingles as bits.
+
+    There are two to four bits a shingle, a power of two; a longer bitmap folds to a shorter one by XOR of its halves.
+    """
+    width = _BITMAP
+    while width < 2 * len(shingles):
+        width *= 2
+    bits = np.bincount((X.mix(shingles + np.uint64(7)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -107,23 +113,25 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, set_id, n_shingles, bits`` of every document."""
+    """``doc_id, set_id, n_shingles`` and a coarse and a fine parity bitmap (``bits``, ``fine``) of every document."""
 
     def run(batch):
         out = []
         for block in X.blocks(batch.column("text")):
             sets = shingle_sets(block, n)
+            fine = [parity(s) for s in sets]
             out.append(
                 X.record_batch(
                     doc_id=batch.column("doc_id").slice(block.first, block.n),
                     set_id=pa.array([set_id(s) for s in sets], pa.int64()),
                     n_shingles=pa.array([len(s) for s in sets], pa.int64()),
-                    bits=pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
+                    bits=pa.array([np.bitwise_xor.reduce(f.reshape(-1, _BITMAP // 64), axis=0) for f in fine], pa.list_(pa.int64())),
+                    fine=pa.array(fine, pa.list_(pa.int64())),
                 )
             )
         return out
 
-    return X.map_batches(_rows(docs), run, "doc_id long, set_id long, n_shingles long, bits array<long>")
+    return X.map_batches(_rows(docs), run, "doc_id long, set_id long, n_shingles long, bits array<long>, fine array<long>")
 
 
 def neighbourhoods(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -142,8 +150,13 @@ def neighbourhoods(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return shared.select("sig", "set_id").distinct()
 
 
-def _shingles_of(docs: DataFrame, n: int, wanted_docs: np.ndarray, wanted_sets: np.ndarray) -> DataFrame:
-    """``set_id, shingles`` of the documents in a bitmap of ids."""
+def _shingles_of(docs: DataFrame, n: int, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_id, shingles`` of the sets in ``wanted``, read from their representatives' texts.
+
+    Ids are looked up in bitmaps, so a few more sets, or a set twice, may come along.
+    """
+    some = reps.join(wanted, "set_id").select("set_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+    wanted_docs, wanted_sets = X.bitmap_of(some, "doc_id"), X.bitmap_of(some, "set_id")
 
     def run(batch):
         out = []
@@ -156,22 +169,42 @@ def _shingles_of(docs: DataFrame, n: int, wanted_docs: np.ndarray, wanted_sets:
             out.append(X.record_batch(set_id=ids[keep], shingles=pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))))
         return out
 
-    return X.map_batches(_rows(docs), run, "set_id long, shingles array<long>").dropDuplicates(["set_id"])
+    return materialize(X.map_batches(_rows(docs), run, "set_id long, shingles array<long>"), "shingles")
+
+
+def _differ() -> Column:
+    """Bits in which the coarse bitmaps of sets a and b differ; cheap."""
+    one = [F.bit_count(F.col(f"c{i}_a").bitwiseXOR(F.col(f"c{i}_b"))) for i in range(_BITMAP // 64)]
+    return sum(one[1:], one[0])
+
 
+def _differ_finely() -> Column:
+    """Bits in which their fine bitmaps differ, at the width of the shorter one; linked sets' widths differ by one fold at most."""
+    xor = lambda x, y: x.bitwiseXOR(y)
 
-def _differ(a: str, b: str) -> Column:
-    """Bits in which two parity bitmaps differ."""
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, _BITMAP // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+    def fitted(x: str, other: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), xor)
+        return F.when(F.size(x) > F.size(other), folded).otherwise(F.col(x))
 
+    return F.aggregate(F.zip_with(fitted("fine_a", "fine_b"), fitted("fine_b", "fine_a"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(0)))
 
-def _may_link(n_a: Column, n_b: Column, differ: Column, percent: int) -> Column:
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
+
+def _sizes_near(percent: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sizes and bitmaps of sets a and b allow a link; the cheap tests come first."""
+    most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return _sizes_near(percent) & (_differ() * (100 + percent) <= most) & (_differ_finely() * (100 + percent) <= most)
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the exact number of shingles in common to pairs ``a, n_a, b, n_b``."""
+    """Add the exact number of shingles in common to pairs ``a, n_a, b, n_b``; best with few different ``a``."""
     left, right = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b"))).drop("s_a", "s_b")
+    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+    return pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("s_a", "s_b"))).drop("s_a", "s_b")
 
 
 def _linked(percent: int) -> Column:
@@ -195,24 +228,43 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.where("a <> b").distinct(), "edges")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)) if links.limit(1).count() else roots
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``; documents link when their Jaccard similarity is ``percent`` / 100 or more."""
     rows = materialize(members(docs, n), "shingle-members")
     shared = materialize(neighbourhoods(docs, n, percent), "neighbourhoods")
-    wanted = X.bitmap_of(shared, "set_id")
     ids = shared.select("set_id").distinct()
-    reps = materialize(rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")).join(ids, "set_id"), "representatives")
-    nulls = reps.where(F.col("doc_id").isNull()).limit(1).count() > 0
-    sets = materialize(_shingles_of(docs, n, X.bitmap_of(reps.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id") if nulls else "doc_id"), "doc_id"), wanted), "shingles")
+    coarse = [f"c{i}" for i in range(_BITMAP // 64)]
+    first = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("fine").alias("fine"))
+    reps = materialize(first.join(ids, "set_id").select("set_id", "doc_id", "n", "fine", *[F.get("bits", F.lit(i)).alias(c) for i, c in enumerate(coarse)]), "representatives")
 
     pivots = shared.groupBy("sig").agg(F.min("set_id").alias("pivot"))
     region = shared.join(pivots, "sig").select("pivot", "set_id").distinct()
-    of = lambda side: reps.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    star = region.where("pivot <> set_id").select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
-    star = materialize(star.join(of("a"), "a").join(of("b"), "b").withColumn("differ", _differ("bits_a", "bits_b")).drop("bits_a", "bits_b"), "star")
-    near = materialize(_distances(star.where(_may_link(F.col("n_a"), F.col("n_b"), F.col("differ"), percent)), sets), "star-links")
-    links = near.where(_linked(percent)).select("a", "b")
-    roots = components(links)
+    of = lambda s: reps.select(F.col("set_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "fine", *coarse)])
+    star = region.where("pivot <> set_id").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).join(of("a"), "a").join(of("b"), "b")
+    differ = F.greatest(_differ(), F.when(_sizes_near(percent), _differ_finely()))
+    star = materialize(star.select("a", "b", "n_a", "n_b", _may_link(percent).alias("maybe"), differ.alias("differ")), "star")
+    maybe = star.where("maybe").drop("maybe")
+    both = lambda pairs: pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    sets = _shingles_of(docs, n, reps, both(maybe))
+    # the home region first; other pivots only for sets that are still apart from them
+    home = maybe.groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b"), F.struct("differ", "a")).alias("home")).select("home.a", "home.n_a", "b", "home.n_b")
+    near = materialize(_distances(home, sets), "home-distances")
+    roots = components(near.where(_linked(percent)).select("a", "b"))
+    apart = _apart(maybe.join(home.select("a", "b"), ["a", "b"], "left_anti"), roots).select("a", "n_a", "b", "n_b")
+    others = materialize(_distances(apart, sets), "other-distances")
+    near = near.unionByName(others)
+    roots = _joined(roots, others.where(_linked(percent)).select("a", "b"))
 
     # bounds of every distance to the pivot, then what is left of each region with several components
     exact = (F.col("n_a") + F.col("n_b") - 2 * F.col("common")) / (F.col("n_a") + F.col("n_b") - F.col("common"))
@@ -226,20 +278,21 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select("pivot", "x", "low", "high", F.coalesce("root", "x").alias("root"))
     )
     open_regions = spread.groupBy("pivot").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot", F.ceil(F.col("size") / REGION_BLOCK).cast("int").alias("blocks"))
-    left_over = materialize(spread.join(open_regions, "pivot").join(reps.select(F.col("set_id").alias("x"), "n", "bits"), "x"), "open-regions")
-    side = lambda s, block: left_over.select("pivot", block.alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in ("x", "low", "high", "root", "n", "bits")])
+    left_over = materialize(spread.join(open_regions, "pivot").join(reps.withColumnRenamed("set_id", "x").drop("doc_id"), "x"), "open-regions")
+    side = lambda s, block: left_over.select("pivot", block.alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in ("x", "low", "high", "root", "n", "fine", *coarse)])
     one = side("a", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     other = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     radius = 1 - percent / 100 + 1e-9
     window = (F.col("low_a") - F.col("high_b") <= radius) & (F.col("low_b") - F.col("high_a") <= radius)
     pairs = (
         one.join(other, ["pivot", "block"])
-        .where((F.col("x_a") < F.col("x_b")) & (F.col("root_a") != F.col("root_b")) & window & _may_link(F.col("n_a"), F.col("n_b"), _differ("bits_a", "bits_b"), percent))
+        .where((F.col("x_a") < F.col("x_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_near(percent) & window & _may_link(percent))
         .select(F.col("x_a").alias("a"), F.col("n_a"), F.col("x_b").alias("b"), F.col("n_b"))
         .distinct()
     )
-    more = materialize(_distances(pairs, sets).where(_linked(percent)).select("a", "b"), "region-links")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.limit(1).count() else roots
+    pairs = materialize(pairs, "region-pairs")
+    more = _distances(pairs, _shingles_of(docs, n, reps, both(pairs))).where(_linked(percent)).select("a", "b")
+    roots = _joined(roots, materialize(more, "region-links"))
 
     class_of = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     least_id = class_of.groupBy("root").agg(F.min("first_id").alias("component_id"))
