@@ -83,29 +83,33 @@ def size_class(n: int, percent: int) -> tuple[int, int, int]:
         i, low = i + 1, high + 1
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set: linked sets agree in at least one.
+def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the parts of a set, of which linked sets share some, and what may be left out.
 
     Linked sets of at most m shingles differ in k = 2m(100-p)/(100+p) shingles at most, so
-    of k + 1 + e parts e + 1 hold no difference; unless a set has more than e empty parts,
-    one of these is not empty, and empty parts need no signature.
+    of k + 1 + e parts e + 1 hold no difference, and a set with f empty parts shares at
+    least e + 1 - f others with any set it links to.  So each set may leave out its last
+    e - f parts in an order that all sets follow.  The second array has, for each hash, the
+    number of its class and e - f as ``class * 2**16 + (e - f)``.
     """
     i, high, higher = size_class(len(shingles), percent)
-    out = []
+    out, notes = [], []
     for number, most in ((i, high), (i + 1, higher)):
         k = 2 * most * (100 - percent) // (100 + percent)
-        spare = 1 + k // 25 if k else 0
+        spare = 1 + k // 10 if k else 0
         parts = k + 1 + spare
         salt = np.uint64((number + 1) * _SALT % (1 << 64))
         part = (X.mix(shingles + salt) % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, dtype=np.uint64)
         np.add.at(total, part, X.mix(shingles ^ salt))
         filled = np.bincount(part, minlength=parts) > 0
-        if parts - filled.sum() > spare:
+        empty = int(parts - filled.sum())
+        if empty > spare:
             filled[:] = True
         at = np.flatnonzero(filled).astype(np.uint64)
         out.append(X.mix(total[filled] + X.mix(at + salt)))
-    return np.concatenate(out).view(np.int64)
+        notes.append(np.full(len(at), (number << 16) + min(0xFFFF, max(0, spare - empty)), dtype=np.int32))
+    return np.concatenate(out).view(np.int64), np.concatenate(notes)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -135,19 +139,24 @@ def members(docs: DataFrame, n: int) -> DataFrame:
 
 
 def neighbourhoods(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``sig, set_id`` of the signatures that two different sets share; one shuffle."""
+    """``sig, set_id`` of the signatures that two different sets share, without those a set may leave out.
+
+    The order is by frequency, so what goes are the parts made of passages that many
+    otherwise different documents have.
+    """
 
     def run(batch):
         for block in X.blocks(batch.column("text")):
             sets = [s for s in shingle_sets(block, n) if len(s)]
             sigs = [signatures(s, percent) for s in sets]
-            ids = np.repeat(np.array([set_id(s) for s in sets], dtype=np.int64), [len(x) for x in sigs])
-            yield X.record_batch(sig=np.concatenate([np.zeros(0, np.int64), *sigs]), set_id=ids)
+            ids = np.repeat(np.array([set_id(s) for s in sets], dtype=np.int64), [len(x) for x, _ in sigs])
+            yield X.record_batch(sig=np.concatenate([np.zeros(0, np.int64), *(x for x, _ in sigs)]), note=np.concatenate([np.zeros(0, np.int32), *(y for _, y in sigs)]), set_id=ids)
 
     group = Window.partitionBy("sig")
-    rows = X.map_batches(docs.select("text"), lambda batch: list(run(batch)), "sig long, set_id long")
-    shared = rows.withColumns({"low": F.min("set_id").over(group), "high": F.max("set_id").over(group)}).where("low <> high")
-    return shared.select("sig", "set_id").distinct()
+    rows = X.map_batches(docs.select("text"), lambda batch: list(run(batch)), "sig long, note int, set_id long")
+    shared = rows.withColumns({"low": F.min("set_id").over(group), "high": F.max("set_id").over(group), "n": F.count("*").over(group)}).where("low <> high")
+    last = Window.partitionBy("set_id", "note").orderBy(F.desc("n"), F.desc("sig"))
+    return shared.select("sig", "set_id", "note", "n").distinct().withColumn("turn", F.row_number().over(last)).where("turn > note % 65536").select("sig", "set_id")
 
 
 def _shingles_of(docs: DataFrame, n: int, reps: DataFrame, wanted: DataFrame) -> DataFrame:
