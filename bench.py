@@ -29,6 +29,8 @@ HEADLINE = [
     "e2e2_tree_ranges_to_itemsets",
     "prp11_quantile_bins",
     "shp1_local_shapley",
+    "sel8_not_redundant",
+    "cor4_correction_t_values",
     "e2e5_support_sweep",
 ]
 
@@ -36,7 +38,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
@@ -45,6 +47,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "20g")
+        .config("spark.checkpoint.dir", os.environ.get("CHECKPOINT_DIR", "/tmp/checkpoints"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -136,12 +136,12 @@ def from_wide(table: DataFrame, attr: str, level_columns: list[str], collapse: d
     child = F.col("child")
     for part, name in (collapse or {}).items():
         child = F.when(F.col("child").contains(part), F.lit(name)).otherwise(child)
-    pairs = pairs.select(child.alias("child"), "parent").distinct()
+    pairs = pairs.select(child.alias("child"), "parent").where(F.col("child") != F.col("parent")).distinct()
     conflict = pairs.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     first = conflict.first()
     if first is not None:
         raise ValueError(f"{first['child']!r} has more than one parent")
-    out = pairs.where(F.col("child") != F.col("parent"))
+    out = pairs
     if extra:
         # manual entries replace what the table says about the same child
         manual = edges_from_dict(table.sparkSession, {attr: extra}).select("child", "parent")
@@ -179,7 +179,8 @@ def unmatched_values(df: DataFrame, column: str, edges: DataFrame, slash_parent:
         F.lit(column).alias("attr"), F.col("value").alias("child"), F.lit(slash_parent).cast("string").alias("parent")
     )
     deleted = unknown.where(~has_parent)
-    rows = df.join(deleted.select("value"), value == F.col("value"), "left_anti")
+    gone = deleted.select(F.col("value").alias("_gone_value"))
+    rows = df.join(gone, value == F.col("_gone_value"), "left_anti")
     return edges.select(*EDGE).unionByName(added), rows, deleted
 
 

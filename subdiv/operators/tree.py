@@ -470,6 +470,8 @@ def grow(
     """
     if splitting not in ("one_at_time", "all_attributes"):
         raise ValueError(f"unknown splitting {splitting!r}")
+    if min_support is None or min_support <= 0:
+        raise ValueError("min_support must be positive")
     if criterion not in criteria.CRITERIA:
         raise ValueError(f"unknown criterion {criterion!r}; known: {criteria.CRITERIA}")
     if metric == "d_outcome":
