@@ -72,9 +72,8 @@ UNION SELECT DISTINCT 'nat', r_name, 'WORLD' FROM region JOIN nation ON n_region
 )
 def src4(spark, d):
     path = scratch(spark, "taxonomy")
-    edges = taxonomy.edges_to_dict(nation_edges(spark, d))
-    spark.createDataFrame([(taxonomy.to_json_text(edges),)], "value string").coalesce(1).write.text(path)
-    return taxonomy.edges_from_json(spark, path)
+    taxonomy.write_json(nation_edges(spark, d), path)
+    return taxonomy.edges_from_json(spark, path, lines=True)
 
 
 @query("snk1_csv_sink", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -96,7 +95,6 @@ _STATUS = {"F": "done", "O": "open"}
 )
 def prp1(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    # a long dictionary goes through a join
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     long = {n: f"P{n[0]}" for n in names} | {f"unused {i}": "x" for i in range(100)}
     out = P.recode(P.recode(o, "o_orderstatus", _STATUS), "o_orderpriority", long, to="prio")

@@ -145,7 +145,7 @@ _SIM_F = "greatest(least(hi, 5000) - greatest(lo, 2500), 0)"
     f"""{_HIER}, mm AS (SELECT min(acctbal) mn, max(acctbal) mx FROM ord),
 xx AS (SELECT key, coalesce(rv.lo, mn)::DOUBLE AS lo, coalesce(rv.hi, mx)::DOUBLE AS hi FROM it JOIN {_RANGE_VALUES} USING (acctbal), mm),
 y AS (SELECT key, {_SIM_F} / (hi - lo) AS p, {_SIM_F} / 2500.0 AS r FROM xx)
-SELECT key, 0 AS pattern, {q9('CASE WHEN p = 0 OR r = 0 THEN 0 ELSE 2 * (p * r) / (p + r) END')} AS similarity FROM y""",
+SELECT it.key, 0 AS pattern, {q9('CASE WHEN coalesce(p, 0) = 0 OR r = 0 THEN 0 ELSE 2 * (p * r) / (p + r) END')} AS similarity FROM it LEFT JOIN y ON it.key = y.key""",
 )
 def int6(spark, d):
     true = G.region_table(spark, [{"acctbal": [[(">=", 2500), ("<=", 5000)]]}])

@@ -10,6 +10,7 @@ NUMBER = r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"
 RANGE = rf"^[\[(]({NUMBER})-({NUMBER})[\])]$"
 LOWER = rf"^>=?({NUMBER})$"
 UPPER = rf"^<=?({NUMBER})$"
+POINT = rf"^=?({NUMBER})$"
 # ------------------------------------------------------------------------------
 
 
@@ -76,13 +77,13 @@ def edge_pairs(edges: Column) -> Column:
 
 
 def item_range(value: Column) -> Column:
-    """Bounds of ``>=v``, ``<=v``, ``[a-b]``, negative numbers included; an open end is NULL."""
+    """Bounds of ``>=v``, ``<=v``, ``[a-b]`` and of a point ``v`` or ``=v``; an open end is NULL."""
 
     def number(pattern, group):
         text = F.regexp_extract(value, pattern, group)
         return F.when(text != "", text.cast("double"))
 
     return F.struct(
-        F.coalesce(number(RANGE, 1), number(LOWER, 1)).alias("lo"),
-        F.coalesce(number(RANGE, 2), number(UPPER, 1)).alias("hi"),
+        F.coalesce(number(RANGE, 1), number(LOWER, 1), number(POINT, 1)).alias("lo"),
+        F.coalesce(number(RANGE, 2), number(UPPER, 1), number(POINT, 1)).alias("hi"),
     )

@@ -15,29 +15,54 @@ from subdiv.functions.values import attribute
 from subdiv.operators.histogram import order_statistics, range_blocks, value_histogram
 from subdiv.session import small_table
 
-#: recodes of at most this many entries become a map literal, larger ones a join
-_MAP_LIMIT = 64
-#: columns with at most this many distinct values keep them as items
-_FEW_VALUES = 10
-
-
 # ------------------------------------------------------------------ recodes
 
 
 def recode(df: DataFrame, column: str, mapping: dict, to: str | None = None) -> DataFrame:
-    """Replace values found in ``mapping``; others stay."""
-    source = F.col(f"`{column}`")
-    name = to or column
-    if len(mapping) <= _MAP_LIMIT:
-        pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-        return df.withColumn(name, F.coalesce(F.element_at(F.create_map(*pairs), source), source))
+    """Replace values found in ``mapping``; others stay, and a None target makes NULL.
+
+    Keys take the column's type, a None key stands for NULL, and keys that become
+    equal raise.  The result keeps the column's type where all targets are of its
+    kind and in its range; else it is text if either side is text, or the type that Spark
+    widens both to.  One lookup join, whatever the size of the dictionary.
+    """
+    source, name = F.col(f"`{column}`"), to or column
+    kind = df.schema[column].dataType
+    keys = [None if k is None else str(k) for k in mapping]
+    if len(set(keys)) < len(keys):
+        raise ValueError("keys of the mapping repeat")
+    if not keys:
+        return df.withColumn(name, source)
+    values = pa.array(list(mapping.values()))
+    if pa.types.is_null(values.type):
+        values = values.cast(pa.string())
     table = small_table(
         df.sparkSession,
-        pa.schema([("_from", pa.string()), ("_to", pa.string())]),
-        [(str(k), str(v)) for k, v in mapping.items()],
+        pa.schema([("__from", pa.string()), ("__to", values.type)]),
+        list(zip(keys, values.to_pylist())),
     )
-    joined = df.join(table, source.cast("string") == F.col("_from"), "left")
-    return joined.withColumn(name, F.coalesce("_to", source.cast("string"))).drop("_from", "_to")
+    new, old = F.col("__to"), source
+    if _fits(values, kind):
+        new = new.cast(kind)
+    elif pa.types.is_string(values.type) or isinstance(kind, T.StringType):
+        new, old = new.cast("string"), source.cast("string")
+    key = F.col("__from").try_cast(kind)  # a key that the column cannot hold occurs nowhere
+    table = table.where(F.col("__from").isNull() | key.isNotNull()).select(key.alias("__from"), new.alias("__to"), F.lit(True).alias("__found"))
+    joined = df.join(table, source.eqNullSafe(F.col("__from")), "left")
+    return joined.withColumn(name, F.when(F.col("__found"), F.col("__to")).otherwise(old)).drop("__from", "__to", "__found")
+
+
+def _fits(values: pa.Array, kind: T.DataType) -> bool:
+    """Whether a column of this type can hold the targets as they are."""
+    if values.null_count == len(values):
+        return True
+    if pa.types.is_integer(values.type) and isinstance(kind, T.IntegralType):
+        bits = {"tinyint": 8, "smallint": 16, "int": 32}.get(kind.simpleString(), 64)
+        return all(-(1 << bits - 1) <= v < 1 << bits - 1 for v in values.drop_null().to_pylist())
+    if pa.types.is_string(values.type):
+        return isinstance(kind, T.StringType)
+    numbers = pa.types.is_integer(values.type) or pa.types.is_floating(values.type)
+    return numbers and isinstance(kind, T.DoubleType)
 
 
 def exclude(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -153,8 +178,9 @@ def bin_edges(
     adaptive: bool = False,
     round_v: int = 0,
     approximate: bool = False,
+    few: int = 10,
 ) -> dict[str, dict]:
-    """Per attribute ``{"edges", "min", "max"}``; attributes with few values are left out.
+    """Per attribute ``{"edges", "min", "max"}``; attributes with at most ``few`` values are left out.
 
     Quantiles are exact unless ``approximate``.  ``adaptive`` tries up to four
     more bins until the wanted number remains after rounding.
@@ -169,7 +195,7 @@ def bin_edges(
         .agg(F.count(F.lit(1)).alias("distinct"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     }
-    wide = [a for a in attributes if a in facts and facts[a]["distinct"] > _FEW_VALUES]
+    wide = [a for a in attributes if a in facts and facts[a]["distinct"] > few]
     counts = range(bins, bins + 5) if adaptive else [bins]
     grids: dict[tuple[str, int], list[float]] = {}
     if strategy == "uniform":
@@ -233,14 +259,15 @@ def bin_columns(
     adaptive: bool = False,
     round_v: int = 0,
     approximate: bool = False,
+    few: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """Bin numeric columns; returns the table and its edges ``(attr, edges)``.
 
-    Columns with at most ten distinct values become strings, a column whose bins
-    collapse to one is dropped with a warning.
+    Columns with at most ``few`` distinct values become strings and have no row among
+    the edges; a column whose bins collapse to one is dropped with a warning.
     """
     numeric = [a for a in (attributes or df.columns) if isinstance(df.schema[a].dataType, T.NumericType)]
-    found = bin_edges(df, numeric, bins, strategy, adaptive, round_v, approximate)
+    found = bin_edges(df, numeric, bins, strategy, adaptive, round_v, approximate, few)
     dropped = [a for a, f in found.items() if not f["edges"]]
     if dropped:
         warnings.warn(f"no cut found for {dropped}; dropped")

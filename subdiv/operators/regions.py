@@ -93,8 +93,8 @@ def itemset_ranges(itemsets: DataFrame) -> DataFrame:
 def itemset_similarity(itemsets: DataFrame, true: DataFrame, min_max: DataFrame) -> DataFrame:
     """Similarity of each itemset to each pattern: ``(key, pattern, similarity)``.
 
-    Patterns are few and known beforehand; an itemset scores 0 for an attribute
-    it does not restrict.  Only itemsets that share an attribute appear.
+    Every itemset is scored for every pattern, which are few and known beforehand; an
+    attribute that it does not restrict counts 0.
     """
     found = close_bounds(itemset_ranges(itemsets), min_max)
     closed = close_bounds(true, min_max)
@@ -105,9 +105,11 @@ def itemset_similarity(itemsets: DataFrame, true: DataFrame, min_max: DataFrame)
         intervals.f_measure(F.col("lo"), F.col("hi"), F.col("flo"), F.col("fhi")).alias("f"),
     )
     width = true.groupBy("pattern").agg(F.count(F.lit(1)).alias("attrs"))
+    patterns = true.agg(F.collect_set("pattern").alias("p")).scalar()
+    wanted = itemsets.select("key", F.explode(patterns).alias("pattern"))
+    totals = scored.groupBy("key", "pattern").agg(F.sum("f").alias("total"))
     return (
-        scored.groupBy("key", "pattern")
-        .agg(F.sum("f").alias("total"))
+        wanted.join(totals, ["key", "pattern"], "left")
         .join(width, "pattern")
-        .select("key", "pattern", (F.col("total") / F.col("attrs")).alias("similarity"))
+        .select("key", "pattern", (F.coalesce("total", F.lit(0.0)) / F.col("attrs")).alias("similarity"))
     )

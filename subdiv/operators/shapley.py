@@ -21,7 +21,7 @@ def local_shapley(itemsets: DataFrame, metric: str, targets: list[list[str]] | N
 
     For all itemsets, or for ``targets``.  Each subset is looked up once; an item
     inside the subset gets ``+w(|S|-1)`` of its value, one outside ``-w(|S|)``,
-    with ``w(s) = s! (n-s-1)! / n!``.
+    with ``w(s) = s! (n-s-1)! / n!``.  NULL where a cut table lacks a subset.
     """
     wanted = itemsets.where("length > 0")
     if targets is not None:
@@ -35,7 +35,8 @@ def local_shapley(itemsets: DataFrame, metric: str, targets: list[list[str]] | N
     s = F.when(inside, F.col("subset_length") - 1).otherwise(F.col("subset_length"))
     weight = _weight(s, F.col("length"))
     signed = F.when(inside, weight * F.col("v")).otherwise(-weight * F.col("v"))
-    return shares.groupBy("key", "item").agg(F.sum(signed).alias("shapley"))
+    whole = F.count(F.lit(1)) == F.pow(F.lit(2.0), F.max("length"))
+    return shares.groupBy("key", "item").agg(F.when(whole, F.sum(signed)).alias("shapley"))
 
 
 def _weight(s: Column, n: Column) -> Column:

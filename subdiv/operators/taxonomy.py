@@ -33,9 +33,15 @@ def edges_from_dict(spark: SparkSession, taxonomy: dict) -> DataFrame:
     return small_table(spark, schema, sorted(set(rows)))
 
 
-def edges_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Edges from a JSON file ``{attr: {child: parent}}``."""
-    text = spark.read.text(path, wholetext=True)
+def write_json(edges: DataFrame, path: str) -> None:
+    """Write edges from the executors; every line is a taxonomy ``{attr: {child: parent}}`` of one edge."""
+    line = F.to_json(F.create_map("attr", F.create_map("child", "parent")))
+    edges.select(*EDGE).distinct().select(line.alias("value")).write.text(path)
+
+
+def edges_from_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Edges from JSON ``{attr: {child: parent}}``: one per file, or one per line with ``lines``."""
+    text = spark.read.text(path, wholetext=not lines)
     parsed = text.select(F.from_json("value", "map<string,map<string,string>>").alias("t"))
     per_attr = parsed.select(F.explode("t").alias("attr", "tree"))
     return per_attr.select("attr", F.explode("tree").alias("child", "parent"))

@@ -33,7 +33,6 @@ from subdiv.session import arrow_type, materialize, small_table
 
 #: depths after which the node of each row is written instead of re-derived
 _REWRITE_EVERY = 6
-_MAX_DISCRETE = 10
 
 
 @dataclass
@@ -73,6 +72,7 @@ class _Spec:
     min_support: float
     minimal_gain: float | None
     max_depth: int | None
+    max_discrete: int
     total: int = 0
     baseline: float = 0.0
     #: text attributes cut by equality, as they have few values; others by order
@@ -374,7 +374,7 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
 
 def _few_valued(hist: DataFrame, spec: _Spec) -> set[str]:
     counts = hist.where("s is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    return {spec.attributes[r["a"]] for r in counts.where(F.col("n") <= _MAX_DISCRETE).collect()}
+    return {spec.attributes[r["a"]] for r in counts.where(F.col("n") <= spec.max_discrete).collect()}
 
 
 def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
@@ -392,7 +392,7 @@ def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
     cuts = ordered
     if spec.discrete:
         # a cut singles out one value; of a two-valued attribute only the first is tried
-        group = Window.partitionBy(*keys)  # at most _MAX_DISCRETE rows
+        group = Window.partitionBy(*keys)  # at most max_discrete rows
         values = hist.where(singled).withColumns(
             {
                 "binary": F.count(F.lit(1)).over(group) == 2,
@@ -460,13 +460,15 @@ def grow(
     criterion: str = "divergence_criterion",
     minimal_gain: float | None = None,
     max_depth: int | None = None,
+    max_discrete: int = 10,
 ) -> "Trees":
     """Grow divergence trees.
 
     ``df`` carries the cells ``tn, fp, fn, tp`` for a classification metric, or
     ``y`` for ``d_outcome``.  ``splitting`` is ``one_at_time`` (one tree per
     numeric attribute) or ``all_attributes`` (one tree over all of them; text
-    attributes with at most ten values are cut by equality, others by order).
+    attributes with at most ``max_discrete`` values are cut by equality, others by
+    order).
     """
     if splitting not in ("one_at_time", "all_attributes"):
         raise ValueError(f"unknown splitting {splitting!r}")
@@ -491,7 +493,7 @@ def grow(
         attributes=list(attributes),
         integral={a: isinstance(kinds[a], T.IntegralType) for a in attributes},
         text=text, measures=measures, num=num, den=den, criterion=criterion,
-        min_support=float(min_support), minimal_gain=minimal_gain, max_depth=max_depth,
+        min_support=float(min_support), minimal_gain=minimal_gain, max_depth=max_depth, max_discrete=max_discrete,
     )
     slim = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
     nodes = _grow_separately(slim, spec) if splitting == "one_at_time" else _grow_jointly(slim, spec)

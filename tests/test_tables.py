@@ -34,6 +34,15 @@ def test_recode_and_filters(spark):
     assert one(P.recode(df, "x", {"a": "z"}), "x") == [("z",), ("b",), (None,)]
     long = {str(i): "n" for i in range(100)} | {"b": "y"}
     assert sorted(one(P.recode(df, "x", long), "x"), key=str) == [("a",), ("y",), (None,)]
+    numbers = spark.createDataFrame([(1,), (2,), (3,), (None,)], "x int")
+    for more in ({}, {i: i for i in range(100, 200)}):  # the same at any length
+        out = P.recode(numbers, "x", {1: 10, 2: None} | more)
+        assert out.schema["x"].dataType.simpleString() == "int"
+        assert sorted(one(out, "x"), key=str) == [(10,), (3,), (None,), (None,)]
+    assert P.recode(numbers, "x", {1: "one"}).schema["x"].dataType.simpleString() == "string"
+    assert P.recode(numbers, "x", {1: 1 << 40}).schema["x"].dataType.simpleString() == "bigint"
+    with pytest.raises(ValueError):
+        P.recode(numbers, "x", {1: 2, "1": 3})
     assert one(P.exclude(df, "x", ["a"]), "x") == [("b",), (None,)]
     assert one(P.fill_text(df, ["x"]), "x")[-1] == ("NaN",)
 
@@ -80,7 +89,12 @@ def test_out_of_fold_uses_every_row_once(spark):
     assert out.where("predicted = y").count() > 60
 
 
-def test_taxonomy_cycle_and_levels(spark):
+def _written(edges, folder):
+    X.write_json(edges, str(folder / "edges"))
+    return str(folder / "edges")
+
+
+def test_taxonomy_cycle_and_levels(spark, tmp_path):
     loop = X.edges_from_dict(spark, {"a": {"x": "y", "y": "z", "z": "x"}})
     with pytest.raises(ValueError):
         X.levels(loop)
@@ -89,6 +103,8 @@ def test_taxonomy_cycle_and_levels(spark):
     dag = X.edges_from_dict(spark, {"a": {1: {"x": ["y", "z"]}, 2: {"y": "z"}}})
     assert {tuple(r) for r in X.levels(dag).select("child", "level").collect()} == {("x", 1), ("y", 2)}
     assert {(r["leaf"], r["item"]) for r in X.closure(dag).collect()} == {("x", "y"), ("x", "z"), ("y", "z")}
+    back = X.edges_from_json(spark, _written(dag, tmp_path), lines=True)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in dag.collect()}
     assert X.edges_to_dict(dag) == {"a": {"x": ["y", "z"], "y": "z"}}
     with pytest.raises(ValueError):
         X.from_wide(spark.createDataFrame([("c", "r1"), ("c", "r2")], "a string, b string"), "n", ["a", "b"])
@@ -135,9 +151,9 @@ def test_items_of_missing_values(spark):
 
 
 def test_item_ranges(spark):
-    df = spark.createDataFrame([(v,) for v in [">=1.5", "<=-2", "[-3--1]", "[-3.5-2]", "[1-2]", "x"]], "v string")
+    df = spark.createDataFrame([(v,) for v in [">=1.5", "<=-2", "[-3--1]", "[-3.5-2]", "[1-2]", "x", "5", "=-5.5"]], "v string")
     got = [tuple(r["r"]) for r in df.select(V.item_range(F.col("v")).alias("r")).collect()]
-    assert got == [(1.5, None), (None, -2.0), (-3.0, -1.0), (-3.5, 2.0), (1.0, 2.0), (None, None)]
+    assert got == [(1.5, None), (None, -2.0), (-3.0, -1.0), (-3.5, 2.0), (1.0, 2.0), (None, None), (5.0, 5.0), (-5.5, -5.5)]
 
 
 def test_region_scores(spark):
