@@ -5,10 +5,13 @@ the symbols.  A document leaks an item when some stretch of it lies within
 ``floor(SHARE * words of the item)`` edits of the item.
 
 Item-sized windows start at every word.  CGK random walks embed windows and items so that
-few edits change few coordinates, and repeated samples of coordinates are the LSH keys;
-pairs that share a key are verified by an exact semi-global edit distance.  Windows whose
-word pairs rule an item out are skipped before the walks: an edit removes at most three
-changes of a word pair, so this loses nothing.
+few edits change few coordinates, and repeated samples of coordinates are the LSH keys.
+Insertions and deletions part the walks, so what the walks miss is caught exactly: an item
+is cut into one more piece than it may have edits, so every leak holds a whole piece, and
+pieces are keys too.  Pairs that share a key are verified by an exact semi-global edit
+distance.  Windows whose word pairs rule an item out are skipped before both: an edit
+removes at most three changes of a word pair, and the words before a window one more, so
+this loses nothing.
 
 Null texts count as empty and leak nothing; items without words are ignored; repeated
 rows, items or both give one row per pair of ids, the closest match (ties: the earliest).
@@ -71,6 +74,25 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
     return keys
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Start and length of the pieces of an item of n words, one more than its edits."""
+    parts = int(SHARE * n) + 1
+    cuts = [i * n // parts for i in range(parts + 1)]
+    return [(s, e - s) for s, e in zip(cuts, cuts[1:])]
+
+
+def piece_keys(grams: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Keys of pieces of ``length`` words (their ``ngrams`` hashes) of the class whose windows have ``size``."""
+    return X.mix(X.mix(grams) + np.uint64((size << 16) + length))
+
+
+def _gram(words: np.ndarray) -> np.ndarray:
+    total = np.zeros(1, dtype=np.uint64)
+    for w in words:
+        total = X.mix(total + w)
+    return total
+
+
 def word_hashes(block: X.Block) -> tuple[X.Words, np.ndarray]:
     words = block.words(X.ALNUM)
     return words, words.hashes(_FOLDED)
@@ -152,14 +174,17 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         size = F.when(F.size("words").between(a, b), a).otherwise(size)
     fewest = {r["size"]: r["fewest"] for r in listed.groupBy(size.alias("size")).agg(F.min(F.element_at("changes", size)).alias("fewest")).collect()}
     edits = {a: int(SHARE * b) for a, b in groups}
-    need = {a: max(0, fewest[a] - 3 * edits[a]) for a, _ in groups}
+    need = {a: max(0, fewest[a] - 3 * edits[a] - 1) for a, _ in groups}
+    lengths = {a: sorted({q for r in per_length if a <= r["n"] <= b for _, q in pieces(r["n"])}) for a, b in groups}
 
     def keys_of_items(batch):
         rows = []
         for item, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist()):
             a, _ = _class_of(groups, len(words))
-            keys = window_keys(np.array(words, dtype=np.int64).view(np.uint64), np.zeros(1, dtype=np.int64), a)[0]
-            rows += [(k, item, words) for k in keys.view(np.int64)]
+            hashes = np.array(words, dtype=np.int64).view(np.uint64)
+            keys = [window_keys(hashes, np.zeros(1, dtype=np.int64), a)[0]]
+            keys += [piece_keys(_gram(hashes[s : s + q]), a, q) for s, q in pieces(len(words))]
+            rows += [(k, item, words) for k in np.unique(np.concatenate(keys)).view(np.int64)]
         ids, items_, words_ = zip(*rows) if rows else ((), (), ())
         return X.record_batch(key=pa.array(ids, pa.int64()), item_id=pa.array(items_, pa.int64()), item=pa.array(words_, pa.list_(pa.int64())))
 
@@ -176,13 +201,32 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             hit[at] = X.in_bitmap(pair_bits, pairs.view(np.int64))
             hits = np.concatenate([[0], np.cumsum(hit)])
             ends = words.bounds[1:][words.text]
+            grams = {q: words.ngrams(hashes, q) for q in {q for each in lengths.values() for q in each}}
             for a, b in groups:
                 k = edits[a]
                 start = np.arange(len(hashes))
                 near = hits[np.minimum(start + a + k, ends)] - hits[start]
-                start = start[(near >= need[a]) & (start + a - k <= ends)]
+                able = (near >= need[a]) & (start + a - k <= ends)
+                start = start[able]
                 if not len(start):
                     continue
+                # a piece counts where an item that holds it can start; its region is all such an item can reach
+                before = np.concatenate([[0], np.cumsum(able)])
+                for q in lengths[a]:
+                    at, gram = grams[q]
+                    first = words.bounds[words.text[at]]
+                    possible = before[at + 1] > before[np.maximum(at - b - k, first)]
+                    at, keys = at[possible], piece_keys(gram[possible], a, q).view(np.int64)
+                    hit_at = np.flatnonzero(X.in_bitmap(key_bits, keys))
+                    reached: dict[tuple[int, int], int] = {}
+                    for s, key in zip(at[hit_at], keys[hit_at]):
+                        text = words.text[s]
+                        if reached.get((text, key), -1) >= s:
+                            continue  # the region of the earlier piece covers this one
+                        reached[(text, key)] = s + k
+                        lo = max(words.bounds[text], s - b - k)
+                        hi = min(words.bounds[text + 1], s + b + 2 * k)
+                        found.append((block.first + int(text), int(key), int(lo - words.bounds[text]), hashes[lo:hi].view(np.int64)))
                 # a window that reaches past its text is padded by what follows; verification reads the text alone
                 keys = window_keys(hashes, start, a).view(np.int64)
                 row, column = np.nonzero(X.in_bitmap(key_bits, keys))
@@ -199,7 +243,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         return X.record_batch(doc_id=batch.column("doc_id").take(pa.array(which, pa.int64())), key=pa.array(key, pa.int64()), first=pa.array(first, pa.int64()), region=pa.array(region, pa.list_(pa.int64())))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    candidates = X.map_batches(rows, search, "doc_id long, key long, first long, region array<long>").join(keyed, "key").drop("key").dropDuplicates(["doc_id", "item_id", "first"])
+    candidates = X.map_batches(rows, search, "doc_id long, key long, first long, region array<long>").join(keyed, "key").drop("key").dropDuplicates(["doc_id", "item_id", "first", "region"])
 
     def verify(batch):
         keep, distance, end, n_words = [], [], [], []
