@@ -103,7 +103,14 @@ def signatures() -> list[Signature]:
     return sorted(rules, key=lambda s: (-s.priority, s.label, s.pattern.pattern))
 
 
-_ANY = re.compile(rb"licen[cs]e|copyright|public +domain|reserved|proprietary|spdx|cc +by|creative +commons|cc0|apache +license|all +content")
+def _needed() -> re.Pattern:
+    """What any text with a detection or base phrase holds: of a wording the part after its name, or before it if that is optional."""
+    parts = [after if after and not after.endswith("?") else before for before, after in (wording.split("{}") for _, _, wording in WORDINGS)]
+    parts += [pattern.replace(r"\d", ".") for *_, pattern in GENERAL] + [phrase for phrase, _ in BASE]
+    return re.compile("|".join(dict.fromkeys(p.replace(" ", " +") for p in parts)).encode(), re.S)
+
+
+_ANY = _needed()
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if X.ALNUM[c] else 32 for c in range(256))
 
 

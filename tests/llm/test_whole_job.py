@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import re
+from re import _parser as parser
 
 import pytest
 
-from subdiv.llm import decontaminate
+from subdiv.llm import decontaminate, license_scan
 from tests.llm.test_brute_force import edits
 
 
@@ -35,3 +37,43 @@ def test_every_leak_at_the_edit_limit_is_found(spark, kind):
     got = {(r.doc_id, r.item_id): r.distance for r in found}
     recall = {len(items[k]): sum(got.get(t) is not None for t in truth if t[1] == k) / 30 for k in range(len(items))}
     assert got == truth, recall
+
+
+def example(rng, parsed):
+    """A text that a parsed regular expression of the rules matches."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                out += rng.choice("0123456789") if str(arg[0][0]) == "CATEGORY" else chr(rng.choice(arg)[1])
+            case "MAX_REPEAT":
+                out += "".join(example(rng, arg[2]) for _ in range(rng.randint(*arg[:2])))
+            case "SUBPATTERN":
+                out += example(rng, arg[3])
+            case "BRANCH":
+                out += example(rng, rng.choice(arg[1]))
+            case "ASSERT" | "ASSERT_NOT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_every_license_rule_is_reached_by_scan(spark):
+    rng, rules, texts = random.Random(6), license_scan.signatures(), []
+    for rule in rules:
+        for _ in range(6):
+            text = example(rng, parser.parse(rule.pattern.pattern))
+            assert rule.keyword in text and rule.pattern.search(f" x {text} y ")
+            texts.append("X, " + re.sub(" ", lambda _: rng.choice([" ", "  ", "-", ", "]), text.upper()) + ". y")
+    texts += ["released under the gpl version 3", "distributed under the bsd 3 clause", "this work is governed by the apache 2 0 terms", "published under mpl 2 0", "no words of that kind"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.labels, len(r.detections)) for r in rows}
+    for i, text in enumerate(texts):
+        found = license_scan.detect(license_scan.reduced(text.encode()), rules)
+        base = {label for _, label in license_scan.base_places(license_scan.reduced(text.encode()))}
+        assert got[i] == (",".join(sorted(base | {r.label for _, _, r in found})), len(found)), text
+    assert [got[len(texts) - k][0] for k in (5, 4, 3, 2, 1)] == ["gpl-3", "bsd-3", "apache-2", "mpl-2", ""]
+    assert all(got[i][1] for i in range(len(texts) - 1))
