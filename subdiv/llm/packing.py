@@ -16,8 +16,10 @@ result.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,7 +36,7 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str | None):
-    """Byte-level BPE by rank file; the ids are those of byte_bpe_50k.json, which the tests compare."""
+    """Byte-level BPE by rank file, with the added tokens of the tokenizer file (.json) beside it, if any; the tests compare the ids with it."""
     import public_tokenizers
     import tiktoken
 
@@ -42,7 +44,9 @@ def encoder(path: str | None):
     if path not in _ENCODERS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        file = Path(path).with_suffix(".json")
+        added = {t["content"]: t["id"] for t in json.loads(file.read_text("utf-8"))["added_tokens"]} if file.exists() else {}
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={w: r for w, r in ranks.items() if r not in added.values()}, special_tokens=added)
     return _ENCODERS[path]
 
 
@@ -61,7 +65,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
             which, rows = [], []
             for i in range(block.n):
                 text = bytes(block.data[block.offsets[i] : block.offsets[i + 1]]).decode("utf-8", "replace")
-                ids = np.append(encode.encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(encode.encode_to_numpy(text, allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     which.append(block.first + i)
                     rows.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes())))

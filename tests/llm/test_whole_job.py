@@ -2,11 +2,13 @@
 
 import random
 import re
+import zlib
 from re import _parser as parser
 
+import numpy as np
 import pytest
 
-from subdiv.llm import decontaminate, license_scan
+from subdiv.llm import decontaminate, license_scan, packing
 from tests.llm.test_brute_force import edits
 
 
@@ -77,3 +79,17 @@ def test_every_license_rule_is_reached_by_scan(spark):
         assert got[i] == (",".join(sorted(base | {r.label for _, _, r in found})), len(found)), text
     assert [got[len(texts) - k][0] for k in (5, 4, 3, 2, 1)] == ["gpl-3", "bsd-3", "apache-2", "mpl-2", ""]
     assert all(got[i][1] for i in range(len(texts) - 1))
+
+
+def test_ids_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added = "<|endoftext|>"
+    texts = [f"end {added} start", added, f"a  {added}{added}  \n b", "<|endoftext|", f"x{added}'s 12", "<|ENDOFTEXT|>", f"\n\n{added} ü"]
+    got = {r.doc_id: (r.start, r.length, r.ids_crc32) for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[i] == (0, len(ids), zlib.crc32(ids.tobytes())), text
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 923]
