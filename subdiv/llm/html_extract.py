@@ -52,11 +52,14 @@ _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|textarea|title|noscript|svg|iframe|object|canvas)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style|template|textarea|title|noscript|svg|iframe|object|canvas)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements without an end tag that reach to the end of the page; of others like them only the tag is skipped.
+_TO_THE_END = {"script", "style", "textarea", "title"}
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template textarea title noscript svg iframe object canvas".split()}
 _ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -91,6 +94,24 @@ class Node:
                 self.truth = parent.truth
 
 
+def tokens(page: str):
+    """``(match, end)`` of every tag, comment and element whose inside is no text; a search for an end tag that fails is not repeated."""
+    at, endless = 0, set()
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m["raw"]:
+            name = m["raw"].lower()
+            if name in endless or name == "svg" and m[0].endswith("/>"):
+                pass
+            elif end := _RAW_END[name].search(page, at):
+                at = end.end()
+            elif name in _TO_THE_END:
+                at = len(page)
+            else:
+                endless.add(name)
+        yield m, at
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
     """Nodes, parents before children, and text pieces ``(node number, text, block number)``."""
     root = Node("html", None)
@@ -111,10 +132,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         elif text and pieces:
             pieces.append((number[id(stack[-1][0])], " ", block))
 
-    for m in _TOKEN.finditer(page):
+    for m, end in tokens(page):
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = end
         tag = m["tag"]
         if tag is None:
             continue

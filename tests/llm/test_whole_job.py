@@ -8,7 +8,7 @@ from re import _parser as parser
 import numpy as np
 import pytest
 
-from subdiv.llm import decontaminate, license_scan, packing
+from subdiv.llm import decontaminate, html_extract, license_scan, packing
 from tests.llm.test_brute_force import edits
 
 
@@ -93,3 +93,22 @@ def test_ids_of_added_tokens(spark):
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
         assert got[i] == (0, len(ids), zlib.crc32(ids.tobytes())), text
     assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 923]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>a</p><svg-icon name="x"></svg-icon><p>b</p></article>', "a\nb"),
+        ("<p>a</p><object-view><p>b</p></object-view><p>c</p>", "a\nb\nc"),
+        ('<p>a</p><svg class="i"/><p>b</p><p>c</p>', "a\nb\nc"),
+        ('<p>a</p><svg class="i" /><p>b</p><svg><title>t</title></svg><p>c</p>', "a\nb\nc"),
+        *[(f"<p>a</p><{name} id='i'><p>b</p><p>c</p>", "a\nb\nc") for name in ("template", "noscript", "svg", "iframe", "object", "canvas")],
+        *[(f"<p>a</p><{name} id='i'>no</{name.upper()} ><p>c</p>", "a\nc") for name in ("template", "noscript", "svg", "iframe", "object", "canvas", "script", "style", "textarea", "title")],
+        *[(f"<p>a</p><{name}>no<p>no</p>", "a") for name in ("script", "style", "textarea", "title")],
+        ("<p>a</p><script>x<y</script><svg>no</svg><svg><p>b</p>", "a\nb"),
+        ("<p>a</p><svg data-x='1>2'>no</svg>b", "a\nb"),
+    ],
+)
+def test_text_after_elements_without_text(page, text):
+    nodes, pieces = html_extract.parse(page)
+    assert html_extract.text_of(pieces, np.ones(len(nodes), dtype=bool)) == text
