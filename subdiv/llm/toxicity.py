@@ -28,8 +28,9 @@ from subdiv.session import materialize
 
 #: Labelled rows of each label to learn from, at most; lexicon entries, at most (the strongest).
 LEARN_PER_LABEL, LEXICON = 5000, 20_000
-#: Least toxic documents of an entry, least share of them, and its least log ratio of document shares.
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 4, 0.02, 2.0
+#: Least toxic documents of an entry, its least log ratio of document shares, and how many standard errors that ratio must lie above 0.
+#: None of them grows with the sample, so a larger one only adds rarer entries.
+LEAST_DOCUMENTS, LEAST_RATIO, ERRORS = 4, 2.0, 2.0
 #: Tokens around a lexicon token that the CRF sees when it learns.
 AROUND = 4
 THRESHOLD = 0.3
@@ -37,7 +38,7 @@ THRESHOLD = 0.3
 #: Token features: the word (None) and its first bytes.
 _PREFIXES = (None, 4, 5, 6)
 _RATIO_EDGES = np.array([2.5, 3.0, 3.75, 4.5])
-_COUNT_EDGES = np.array([0.03, 0.06, 0.12])  # share of the toxic learning documents
+_COUNT_EDGES = np.array([7, 10, 20, 40, 80, 160, 320])  # toxic learning documents
 _PER_GROUP = 1 + (len(_RATIO_EDGES) + 1) * (len(_COUNT_EDGES) + 1)
 N_BINS = _PER_GROUP * len(_PREFIXES)
 _NEUTRAL = np.arange(len(_PREFIXES)) * _PER_GROUP
@@ -112,13 +113,13 @@ def lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
         return F.log((toxic + 0.5) / (t + 1.0)) - F.log((clean + 0.5) / (c + 1.0))
 
     counts = [F.sum(F.when(F.col("of") == y + 2 * h, F.col("n")).otherwise(0)).alias(f"{'ct'[y]}{h}") for y in (0, 1) for h in (0, 1)]
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * by_label[1])
+    error = F.sqrt(1 / (F.col("t0") + F.col("t1") + 0.5) + 1 / (F.col("c0") + F.col("c1") + 0.5))
     found = (
         X.map_batches(sample.select("text", "toxic", "half"), count, "feature long, kind int, n long, of int")
         .groupBy("feature", "kind")
         .agg(*counts)
         .withColumn("toxic", F.col("t0") + F.col("t1"))
-        .where((F.col("toxic") >= least) & (ratio(0) >= LEAST_RATIO) & (ratio(1) >= LEAST_RATIO))
+        .where((F.col("toxic") >= LEAST_DOCUMENTS) & (ratio(None) >= ERRORS * error) & (ratio(0) >= LEAST_RATIO) & (ratio(1) >= LEAST_RATIO))
         .withColumn("ratio", ratio(None))
         .orderBy(F.desc(F.col("ratio") * F.col("toxic")), "feature")
         .limit(LEXICON)
@@ -130,7 +131,7 @@ def lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
     )
     if not len(found):
         return none
-    level = np.searchsorted(_RATIO_EDGES, found["ratio"], side="right") * (len(_COUNT_EDGES) + 1) + np.searchsorted(_COUNT_EDGES, found["toxic"] / by_label[1], side="right")
+    level = np.searchsorted(_RATIO_EDGES, found["ratio"], side="right") * (len(_COUNT_EDGES) + 1) + np.searchsorted(_COUNT_EDGES, found["toxic"], side="right")
     return found["key"].to_numpy(), found["kind"].to_numpy() * _PER_GROUP + 1 + level, by_label
 
 

@@ -8,7 +8,7 @@ from re import _parser as parser
 import numpy as np
 import pytest
 
-from subdiv.llm import decontaminate, html_extract, license_scan, packing
+from subdiv.llm import decontaminate, html_extract, license_scan, packing, toxicity
 from tests.llm.test_brute_force import edits
 
 
@@ -112,3 +112,26 @@ def test_ids_of_added_tokens(spark):
 def test_text_after_elements_without_text(page, text):
     nodes, pieces = html_extract.parse(page)
     assert html_extract.text_of(pieces, np.ones(len(nodes), dtype=bool)) == text
+
+
+@pytest.mark.parametrize(("n_toxic", "n_tail"), [(200, 5), (1000, 31)])
+def test_rare_toxic_words_count_in_samples_of_any_size(spark, n_toxic, n_tail):
+    rng = random.Random(9)
+
+    def word():
+        return "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+
+    tail, plain = [word() for _ in range(n_tail)], [word() for _ in range(300)]
+
+    def text(*bad):
+        words = [*bad, *rng.choices(plain, k=20)]
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(text("idiot"), 1) for _ in range(n_toxic // 2)] + [(text(tail[i % n_tail]), 1) for i in range(n_toxic // 2)]
+    rows += [(text(), 0) for _ in range(n_toxic)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    held_out = [("idiot", text("idiot")) for _ in range(20)] + [("tail", text(w)) for w in tail for _ in range(4)] + [("clean", text()) for _ in range(200)]
+    scores = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame([(i, True, x) for i, (_, x) in enumerate(held_out)], "doc_id long, held_out boolean, text string"), model).collect()}
+    share = {kind: sum(scores[i] for i, (k, _) in enumerate(held_out) if k == kind) / sum(k == kind for k, _ in held_out) for kind in ("idiot", "tail", "clean")}
+    assert share["idiot"] == 1 and share["tail"] >= 0.9 and share["clean"] <= 0.05, share
