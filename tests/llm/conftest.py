@@ -47,6 +47,21 @@ def odd_pages():
     return rows + [(50, None, None), (51, "no scheme", ""), (52, "http://m.casino-win.example.org/a.html", "<p>unclosed <b>text"), (52, "http://m.casino-win.example.org/a.html", "<"), (None, "http://EXAMPLE.com/de/x", "plain")]
 
 
+def odd_embeddings():
+    """Copies, near copies, ties, repeated rows and ids, and vectors that link with nothing."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1, 90):
+        v = [rng.gauss(0, 1) for _ in range(8)]
+        rows.append((i, v, i % 3))
+    first = rows[0][1]
+    rows += [(100 + i, [x + rng.gauss(0, 0.05) for x in first], 1) for i in range(30)]
+    rows += [(200 + i, list(first), 1) for i in range(40)] + [(300, list(first), 1)] * 2 + [(300, list(first), 2), (None, list(first), 1)]
+    nan, inf = float("nan"), float("inf")
+    rows += [(400, None, 1), (401, [], 1), (402, [0.0] * 8, 1), (403, [nan] * 8, 1), (404, [inf] + [0.0] * 7, 1), (405, [None] + [1.0] * 7, 1), (406, list(first), None), (407, [2 * x for x in first], 1), (408, [1.0, 2.0], 1)]
+    return rows
+
+
 @pytest.fixture(scope="session")
 def odd_dir(spark, tmp_path_factory):
     """Tables with nulls, empty and very long texts, ties, repeated rows and clashing columns."""
@@ -57,12 +72,15 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1)).write.parquet(f"{out}/benchmark.parquet")
     spark.createDataFrame(odd_pages(), "page_id long, url string, html string").withColumns(extra).write.parquet(f"{out}/pages.parquet")
+    clashing = {**extra, **{c: F.lit("x") for c in ("place", "unit", "q", "cell", "copies", "anchor", "block", "first")}}
+    vectors = spark.createDataFrame(odd_embeddings(), "vec_id long, embedding array<double>, of int").withColumns({k: v for k, v in clashing.items() if k != "label"})
+    vectors.withColumnRenamed("of", "label").write.parquet(f"{out}/embeddings.parquet")
     return out
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{name}.parquet").limit(0).write.parquet(f"{out}/{name}.parquet")
     return out
