@@ -135,7 +135,7 @@ def phrase_counts_by_definition(docs, longest):
             words = re.findall(r"[^\x20\x09]+", piece)
             for n in range(1, longest + 1):
                 for i in range(len(words) - n + 1):
-                    key = (lang or "und", " ".join(words[i : i + n]), n)
+                    key = ("und" if lang is None else lang, " ".join(words[i : i + n]), n)
                     counts[key] += 1
                     left[key] += i > 0
                     right[key] += i + n < len(words)
