@@ -17,6 +17,8 @@ count, then to the smaller phrase in byte order, so ranks are unique.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,13 +32,16 @@ from subdiv.session import materialize
 SHARD_WORDS = 1 << 20
 #: Bytes of pair hashes that one task adds up, about.
 BUCKET_BYTES = 32 << 20
+#: Bits of the hash of a word pair.
+PAIR_BITS = 48
 #: Copies of the counts of single phrases, so that candidates of one very frequent word join in several tasks; and first parts of a ranking.
 SALTS, RANK_PARTS = 8, 64
 
 _BREAKS, _BLANKS = X.byte_class(b".,;:!?\n\x0b\x0c\r"), X.byte_class(b" \t")
 _WORD = ~(_BREAKS | _BLANKS)
-_FOLDED = X.byte_values(fold_case=True)
+_FOLDED, _EXACT = X.byte_values(fold_case=True), X.byte_values(fold_case=False)
 _NO_LANG = "und"
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 class _Shard:
@@ -66,19 +71,22 @@ class _Shard:
 
     def row(self, number: int) -> pa.RecordBatch:
         hashes, starts = np.concatenate(self.hashes), np.concatenate(self.starts)
-        unique, ids = np.unique(hashes, return_inverse=True)
+        unique, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words have small ids, of which three bytes are mostly 0
+        new = np.empty(len(order), dtype=np.int64)
+        new[order] = np.arange(1, len(order) + 1)
         tokens = np.zeros(len(ids) + int(starts.sum()) + 1, dtype=np.int32)
-        tokens[np.arange(len(ids)) + np.cumsum(starts)] = ids + 1
+        tokens[np.arange(len(ids)) + np.cumsum(starts)] = new[ids]
+        planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T)
+        words = json.dumps([self.known[h] for h in unique[order].tolist()], ensure_ascii=False).encode()
         return X.record_batch(
-            shard=pa.array([number], pa.int64()),
-            words=pa.array([[self.known[h] for h in unique.tolist()]], pa.list_(pa.string())),
-            hashes=pa.array([unique.view(np.int64)], pa.list_(pa.int64())),
-            tokens=pa.array([tokens.tobytes()], pa.binary()),
+            shard=pa.array([number], pa.int64()), n_words=pa.array([self.n], pa.int64()), n_bytes=pa.array([len(words)], pa.int64()), n_tokens=pa.array([len(tokens)], pa.int64()),
+            words=pa.array([_CODEC.compress(words, asbytes=True)], pa.binary()), tokens=pa.array([_CODEC.compress(planes.tobytes(), asbytes=True)], pa.binary()),
         )
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """``shard, words, hashes, tokens``: word and language of every id from 1, their hashes, ids with 0 between pieces."""
+    """One row per shard: words and languages of the ids from 1, and ids with 0 between pieces, both compressed."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -96,20 +104,51 @@ def shards(docs: DataFrame) -> DataFrame:
 
     X.workers_find_package(docs.sparkSession)
     rows = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(run, "shard long, words array<string>, hashes array<long>, tokens binary")
+    return rows.mapInArrow(run, "shard long, n_words long, n_bytes long, n_tokens long, words binary, tokens binary")
 
 
 def _tokens(row) -> np.ndarray:
-    return np.frombuffer(row["tokens"].as_py(), dtype=np.int32)
+    n = row["n_tokens"].as_py()
+    planes = np.frombuffer(_CODEC.decompress(row["tokens"].as_py(), decompressed_size=4 * n, asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32)[:, 0]
+
+
+def _words(row) -> list[list[str]]:
+    """Word and language of every id from 1."""
+    return [w.split("\t", 1) for w in json.loads(_CODEC.decompress(row["words"].as_py(), decompressed_size=row["n_bytes"].as_py(), asbytes=True))]
 
 
-def _hashes(row) -> np.ndarray:
+def _hashes(words: list[list[str]]) -> np.ndarray:
     """Hash of every word id; that of 0 is never used."""
-    return np.concatenate([[0], row["hashes"].values.to_numpy(zero_copy_only=False)]).astype(np.int64).view(np.uint64)
+    joined = pa.array(["\t".join(w) for w in words], pa.large_string())
+    parts = [_whole_hash(block) for block in X.blocks(joined, rows=1 << 16)]
+    return np.concatenate([np.zeros(1, np.uint64), *parts])
+
+
+def _whole_hash(block: X.Block) -> np.ndarray:
+    running, undo = block.prefix_hashes(_EXACT)
+    start, end = block.offsets[:-1], block.offsets[1:]
+    return X.mix((running[end] - running[start]) * undo[start] + (end - start).astype(np.uint64))
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return X.mix(X.mix(first + np.uint64(0x5851F42D4C957F2D)) + second)
+    """PAIR_BITS of a hash; equal ones of different pairs only make both be extended."""
+    return X.mix(X.mix(first + np.uint64(0x5851F42D4C957F2D)) + second) >> np.uint64(64 - PAIR_BITS)
+
+
+def _floor(bucket: int, buckets: int) -> int:
+    """Smallest pair hash of a bucket."""
+    return -(-(bucket << PAIR_BITS) // buckets)
+
+
+def _steps(sorted_pairs: np.ndarray, floor: int) -> bytes:
+    """Sorted hashes as differences, in four bytes each where they fit."""
+    steps = np.diff(sorted_pairs, prepend=np.uint64(floor))
+    return (steps.astype(np.uint32) if not len(steps) or steps.max() < 1 << 32 else steps).tobytes()
+
+
+def _pairs(steps: bytes, n: int, floor: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, dtype=np.uint32 if len(steps) == 4 * n else np.uint64), dtype=np.uint64) + np.uint64(floor)
 
 
 def _rows_of(batches):
@@ -124,34 +163,35 @@ def frequent_pairs(indexed: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def count(batches):
         for row in _rows_of(batches):
-            text, hashes = _tokens(row), _hashes(row)
+            text, hashes = _tokens(row), _hashes(_words(row))
             index = Index.of(text, 2, len(hashes))
             owner, word, low, high = index.extend(index.first[1:-1], index.first[2:])
             # owner k is word k + 1; a count over ``least`` adds no more than ``least``
             pairs, counts = _pair_hash(hashes[word], hashes[owner + 1]), np.minimum(high - low, least).astype(cap)
             order = np.argsort(pairs)
             pairs, counts = pairs[order], counts[order]
-            bucket = (pairs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(edges))
+            floors = [_floor(i, buckets) for i in range(buckets)]
+            edges = [*np.searchsorted(pairs, np.array(floors, dtype=np.uint64)).tolist(), len(pairs)]
+            some = [i for i in range(buckets) if edges[i] < edges[i + 1]]
             yield X.record_batch(
                 bucket=pa.array(some, pa.int32()),
                 shard=pa.array([row["shard"].as_py()] * len(some), pa.int64()),
-                pairs=pa.array([pairs[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary()),
+                pairs=pa.array([_steps(pairs[edges[i] : edges[i + 1]], floors[i]) for i in some], pa.binary()),
                 counts=pa.array([counts[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary()),
             )
 
     def add_up(table: pa.Table) -> pa.Table:
-        pairs = [np.frombuffer(x, dtype=np.uint64) for x in table["pairs"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, dtype=cap) for x in table["counts"].to_pylist()])
+        floor = _floor(table["bucket"][0].as_py(), buckets)
+        counts = [np.frombuffer(x, dtype=cap) for x in table["counts"].to_pylist()]
+        pairs = [_pairs(x, len(c), floor) for x, c in zip(table["pairs"].to_pylist(), counts)]
         unique, which = np.unique(np.concatenate(pairs), return_inverse=True)
-        enough = (np.bincount(which, weights=counts) >= least)[which]
+        enough = (np.bincount(which, weights=np.concatenate(counts)) >= least)[which]
         ends = np.cumsum([len(x) for x in pairs])
         kept = [x[enough[end - len(x) : end]] for x, end in zip(pairs, ends)]
         some = [i for i, x in enumerate(kept) if len(x)]
         return pa.table({"shard": table["shard"].take(pa.array(some, pa.int64())), "pairs": pa.array([kept[i].tobytes() for i in some], pa.binary())})
 
-    emitted = indexed.select("shard", "hashes", "tokens").mapInArrow(count, "bucket int, shard long, pairs binary, counts binary")
+    emitted = indexed.mapInArrow(count, "bucket int, shard long, pairs binary, counts binary")
     return emitted.groupBy("bucket").applyInArrow(add_up, "shard long, pairs binary").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
 
 
@@ -163,12 +203,13 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
     occurrences with a word before and behind in the same piece.
     """
     indexed = materialize(shards(docs), "phrase-shards")
-    amount = indexed.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0  # four bytes a word; a pair takes nine
-    wanted = frequent_pairs(indexed, least, max(16, -(-amount * 9 // 4 // BUCKET_BYTES))) if longest > 1 else None
+    amount = indexed.agg(F.sum("n_words")).first()[0] or 0
+    wanted = frequent_pairs(indexed, least, max(16, -(-amount * 5 // BUCKET_BYTES))) if longest > 1 else None  # a pair takes five bytes
 
     def enumerate_phrases(batches):
         for row in _rows_of(batches):
-            text, hashes, words = _tokens(row), _hashes(row), [None, *(w.split("\t", 1) for w in row["words"].as_py())]
+            text, words = _tokens(row), _words(row)
+            hashes, words = _hashes(words), [None, *words]
             pairs = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, dtype=np.uint64) for x in row["pairs"].as_py() or [])]))
             index = TwoWay(text, longest, len(hashes))
             level = index.single()
@@ -195,9 +236,9 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
                     )
 
     if wanted is None:
-        rows = indexed.select("words", "hashes", "tokens", F.lit(None).cast("array<binary>").alias("pairs"))
+        rows = indexed.withColumn("pairs", F.lit(None).cast("array<binary>"))
     else:
-        rows = indexed.join(wanted, "shard", "left").select("words", "hashes", "tokens", "pairs")
+        rows = indexed.join(wanted, "shard", "left")
     found = rows.mapInArrow(enumerate_phrases, "lang string, phrase string, words int, count long, left long, right long")
     return found.groupBy("lang", "phrase", "words").agg(*[F.sum(c).alias(c) for c in ("count", "left", "right")])
 
