@@ -43,12 +43,13 @@ class Index:
     first: np.ndarray  # first row of each word, and the number of rows
 
     @classmethod
-    def of(cls, text: np.ndarray, depth: int, words: int) -> Index:
+    def of(cls, text: np.ndarray, depth: int, words: int) -> tuple[Index, np.ndarray]:
+        """The index, and the position of each row."""
         order = order_of(text, depth)
         bwt = text[order - 1]  # the position before the first is the last, which is 0 as well
         to_front = np.empty(len(text), dtype=np.int64)
         to_front[np.argsort(bwt.astype(np.int64) * len(text) + np.arange(len(text)))] = np.arange(len(text))
-        return cls(bwt, to_front, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=words))]))
+        return cls(bwt, to_front, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=words))])), order
 
     def extend(self, low: np.ndarray, high: np.ndarray):
         """All one-word extensions of disjoint intervals: number of the interval, word, new interval."""
@@ -88,10 +89,13 @@ class Grams:
 class TwoWay:
     """Index of a text and of its reverse, moved together."""
 
-    def __init__(self, text: np.ndarray, depth: int, words: int):
-        self.depth, self.words = depth, words
-        self.ahead, self.reverse = Index.of(text, depth, words), Index.of(text[::-1], depth, words)
+    def __init__(self, text: np.ndarray, depth: int, words: int, followed: tuple[np.ndarray, np.ndarray] | None = None):
+        """``followed``: whether a word stands before, and behind, each position; by default what the text shows."""
+        self.ahead, order = Index.of(text, depth, words)
+        self.reverse, back = Index.of(text[::-1], depth, words)
         self._empty = [np.concatenate([[0], np.cumsum(i.bwt == 0)]) for i in (self.ahead, self.reverse)]
+        before, behind = followed or (np.roll(text, 1) != 0, np.roll(text, -1) != 0)
+        self._next = [np.concatenate([[0], np.cumsum(x)]) for x in (before[order], behind[len(text) - 1 - back])]
 
     def single(self) -> Grams:
         words = 1 + np.flatnonzero(np.diff(self.ahead.first)[1:])
@@ -125,5 +129,5 @@ class TwoWay:
 
     def neighbours(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences with a word in front, and with a word behind, in the same piece."""
-        end = grams.back + grams.count
-        return grams.count - (self._empty[0][grams.high] - self._empty[0][grams.low]), grams.count - (self._empty[1][end] - self._empty[1][grams.back])
+        before, behind = self._next
+        return before[grams.high] - before[grams.low], behind[grams.back + grams.count] - behind[grams.back]

@@ -5,8 +5,8 @@ Texts become shards of about SHARD_WORDS words: a dictionary and a sequence of w
 extends single words to the left and sums the hashes of word pairs over all shards; pairs
 that reach ``least`` go back to the shards that hold them.  A second pass extends only
 those, to the left and then to the right, as no phrase can be more frequent than the pairs
-it consists of, and emits phrases with their counts and with how often a word stands before
-and behind them.  Sums over all shards are exact: hashes only choose what is extended, and
+it consists of: words outside of frequent pairs leave the text before it is indexed again.
+It emits phrases with their counts and with how often a word stands before and behind them.  Sums over all shards are exact: hashes only choose what is extended, and
 chance equality of two hashes makes work, not errors.
 
 Null texts are empty; a null language is ``und``.  Rows that repeat count again, other
@@ -21,6 +21,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class _Shard:
     """Words of some blocks of texts, until they are enough for an index."""
 
     def __init__(self):
-        self.hashes, self.starts, self.known, self.n = [], [], {}, 0
+        self.blocks, self.starts, self.known, self.n = [], [], {}, 0
 
     def add(self, block: X.Block, langs: list[str]) -> None:
         words = block.words(_WORD)
@@ -60,18 +61,21 @@ class _Shard:
         hashes = X.mix(words.hashes(_FOLDED) + of_text[words.text])
         piece = np.cumsum(_BREAKS[block.data])[words.start]
         starts = np.concatenate([[True], (piece[1:] != piece[:-1]) | (words.text[1:] != words.text[:-1])])
-        unique, at = np.unique(hashes, return_index=True)
+        unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         for h, i in zip(unique.tolist(), at.tolist()):
             if h not in self.known:
                 word = bytes(block.data[words.start[i] : words.end[i]]).lower().decode("utf-8", "replace")
                 self.known[h] = f"{word}\t{langs[words.text[i]]}"  # a word holds no tab
-        self.hashes.append(hashes)
+        self.blocks.append((unique, which.astype(np.int32)))
         self.starts.append(starts)
         self.n += len(hashes)
 
     def row(self, number: int) -> pa.RecordBatch:
-        hashes, starts = np.concatenate(self.hashes), np.concatenate(self.starts)
-        unique, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        starts = np.concatenate(self.starts)
+        unique, names = np.unique(np.concatenate([u for u, _ in self.blocks]), return_inverse=True)
+        ends = np.cumsum([len(u) for u, _ in self.blocks])
+        ids = np.concatenate([names[end - len(u) : end][which] for (u, which), end in zip(self.blocks, ends)])
+        counts = np.bincount(ids, minlength=len(unique))
         order = np.argsort(-counts, kind="stable")  # frequent words have small ids, of which three bytes are mostly 0
         new = np.empty(len(order), dtype=np.int64)
         new[order] = np.arange(1, len(order) + 1)
@@ -164,7 +168,7 @@ def frequent_pairs(indexed: DataFrame, least: int, buckets: int) -> DataFrame:
     def count(batches):
         for row in _rows_of(batches):
             text, hashes = _tokens(row), _hashes(_words(row))
-            index = Index.of(text, 2, len(hashes))
+            index, _ = Index.of(text, 2, len(hashes))
             owner, word, low, high = index.extend(index.first[1:-1], index.first[2:])
             # owner k is word k + 1; a count over ``least`` adds no more than ``least``
             pairs, counts = _pair_hash(hashes[word], hashes[owner + 1]), np.minimum(high - low, least).astype(cap)
@@ -204,43 +208,81 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
     """
     indexed = materialize(shards(docs), "phrase-shards")
     amount = indexed.agg(F.sum("n_words")).first()[0] or 0
+    parts = max(16, -(-amount * 16 // BUCKET_BYTES))
     wanted = frequent_pairs(indexed, least, max(16, -(-amount * 5 // BUCKET_BYTES))) if longest > 1 else None  # a pair takes five bytes
 
     def enumerate_phrases(batches):
         for row in _rows_of(batches):
             text, words = _tokens(row), _words(row)
-            hashes, words = _hashes(words), [None, *words]
-            pairs = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, dtype=np.uint64) for x in row["pairs"].as_py() or [])]))
-            index = TwoWay(text, longest, len(hashes))
-            level = index.single()
-            for length in range(1, longest + 1):
-                if length == 2:
-                    level = index.to_left(level)
-                    hashed = _pair_hash(hashes[level.words[:, 0]], hashes[level.words[:, 1]])
-                    level = level.some(np.isin(hashed, pairs))
-                elif length > 2:
-                    level = index.to_right(level)
-                    hashed = _pair_hash(hashes[level.words[:, -2]], hashes[level.words[:, -1]])
-                    level = level.some(np.isin(hashed, pairs))
-                left, right = index.neighbours(level)
-                for lo in range(0, len(level.low), 100_000):
-                    part = level.words[lo : lo + 100_000].tolist()
-                    span = slice(lo, lo + 100_000)
-                    yield X.record_batch(
-                        lang=pa.array([words[p[0]][1] for p in part], pa.string()),
-                        phrase=pa.array([" ".join([words[w][0] for w in p]) for p in part], pa.string()),
-                        words=pa.array(np.full(len(part), length), pa.int32()),
-                        count=pa.array(level.count[span], pa.int64()),
-                        left=pa.array(left[span], pa.int64()),
-                        right=pa.array(right[span], pa.int64()),
-                    )
-
-    if wanted is None:
-        rows = indexed.withColumn("pairs", F.lit(None).cast("array<binary>"))
-    else:
-        rows = indexed.join(wanted, "shard", "left")
-    found = rows.mapInArrow(enumerate_phrases, "lang string, phrase string, words int, count long, left long, right long")
-    return found.groupBy("lang", "phrase", "words").agg(*[F.sum(c).alias(c) for c in ("count", "left", "right")])
+            hashes = _hashes(words)
+            names = pa.array([None, *(w for w, _ in words)], pa.string())
+            langs = pa.array([None, *(lang for _, lang in words)], pa.string())
+            for length, ids, count, left, right in _enumerated(text, hashes, row["pairs"].as_py() or [], longest):
+                whole = hashes[ids[:, 0]]
+                for k in range(1, length):
+                    whole = _pair_hash(whole, hashes[ids[:, k]])
+                bucket = (whole % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                ids, count, left, right = ids[order], count[order], left[order], right[order]
+                columns = [names.take(pa.array(ids[:, k])) for k in range(length)]
+                table = pa.table(
+                    {
+                        "lang": langs.take(pa.array(ids[:, 0])).dictionary_encode(), "phrase": pc.binary_join_element_wise(*columns, " "),
+                        "words": pa.array(np.full(len(ids), length, dtype=np.int32)), "count": pa.array(count, pa.int64()), "left": pa.array(left, pa.int64()), "right": pa.array(right, pa.int64()),
+                    }
+                )
+                edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+                some = [i for i in range(parts) if edges[i] < edges[i + 1]]
+                yield X.record_batch(bucket=pa.array(some, pa.int32()), rows=pa.array([_packed(table.slice(edges[i], edges[i + 1] - edges[i])) for i in some], pa.binary()))
+
+    def add_up(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x).read_all().cast(_PHRASES) for x in table["rows"].to_pylist()])
+        sums = rows.group_by(["lang", "phrase", "words"]).aggregate([(c, "sum") for c in ("count", "left", "right")])
+        return sums.select(["lang", "phrase", "words", "count_sum", "left_sum", "right_sum"]).rename_columns(_PHRASES.names)
+
+    rows = indexed.withColumn("pairs", F.lit(None).cast("array<binary>")) if wanted is None else indexed.join(wanted, "shard", "left")
+    emitted = rows.mapInArrow(enumerate_phrases, "bucket int, rows binary")
+    return emitted.groupBy("bucket").applyInArrow(add_up, "lang string, phrase string, words int, count long, left long, right long")
+
+
+_PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    """Rows of one bucket, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _enumerated(text: np.ndarray, hashes: np.ndarray, pairs: list[bytes], longest: int):
+    """Length, words, count, and occurrences with a word before and behind: all words, and phrases made of ``pairs`` only."""
+    real = text != 0
+    count, before, behind = (np.bincount(text[x], minlength=len(hashes)) for x in (real, real & np.roll(real, 1), real & np.roll(real, -1)))
+    yield 1, np.arange(1, len(hashes))[:, None], count[1:], before[1:], behind[1:]
+    if longest < 2:
+        return
+    # what no frequent pair covers leaves the text, and runs of frequent pairs become its pieces
+    sorted_pairs = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, dtype=np.uint64) for x in pairs)]))
+    at = np.flatnonzero(real[:-1] & real[1:])
+    hashed = _pair_hash(hashes[text[at]], hashes[text[at + 1]])
+    found = np.searchsorted(sorted_pairs, hashed)
+    joined = np.zeros(len(text), dtype=bool)
+    if len(sorted_pairs):
+        joined[at[sorted_pairs[np.minimum(found, len(sorted_pairs) - 1)] == hashed]] = True
+    kept = np.flatnonzero(joined | np.roll(joined, 1))
+    if not len(kept):
+        return
+    to = np.arange(len(kept)) + 1 + np.concatenate([[0], np.cumsum(~joined[kept])[:-1]])
+    size = int(to[-1]) + 2
+    short, left, right = np.zeros(size, dtype=text.dtype), np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+    short[to], left[to], right[to] = text[kept], real[kept - 1], real[kept + 1]
+    index = TwoWay(short, longest, len(hashes), (left, right))
+    level = index.to_left(index.single())
+    for length in range(2, longest + 1):
+        level = index.to_right(level) if length > 2 else level
+        yield (length, level.words, level.count, *index.neighbours(level))
 
 
 def collocations(counts: DataFrame, least: int = 10, inside_percent: int = 50) -> DataFrame:
