@@ -29,8 +29,8 @@ from subdiv.llm import text as X
 from subdiv.llm.fm_index import Index, TwoWay
 from subdiv.session import materialize
 
-#: Words of a shard, about; the index takes some 150 bytes a word in its task.
-SHARD_WORDS = 1 << 20
+#: Words of a shard, about; the index takes some 300 bytes a word in its task.
+SHARD_WORDS = 1 << 19
 #: Bytes of pair hashes that one task adds up, about.
 BUCKET_BYTES = 32 << 20
 #: Bits of the hash of a word pair.
