@@ -300,7 +300,7 @@ def tre13_outcome(spark, d):
     return _nodes(T.grow(events_outcome(spark, d), ["k"], "d_outcome", 0.2))
 
 
-_JOINT = sql_tree("line", LINE_ATTRS, "d_fpr", 0.1, 3, joint=True)
+_JOINT = sql_tree("line", LINE_ATTRS, "d_fpr", 0.1, 9, joint=True)
 
 
 @query(
@@ -309,7 +309,7 @@ _JOINT = sql_tree("line", LINE_ATTRS, "d_fpr", 0.1, 3, joint=True)
 {q9('split')} AS split_criterion FROM nodes""",
 )
 def tre14(spark, d):
-    t = T.grow(lineitem_cls(spark, d), LINE_ATTRS, "d_fpr", 0.1, splitting="all_attributes", max_depth=3)
+    t = T.grow(lineitem_cls(spark, d), LINE_ATTRS, "d_fpr", 0.1, splitting="all_attributes")
     return t.nodes().select(
         "depth", "attr", "n", r9("metric").alias("metric"), r9("divergence").alias("divergence"),
         r9("split_criterion").alias("split_criterion"),

@@ -17,12 +17,14 @@ def value_histogram(
     keys: list[str] | None = None,
     text: set[str] | None = None,
     whole: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows and summed measures per attribute value, all attributes in one pass.
 
     Output ``(keys, a, v, s, n, measures)``: position of the attribute, numeric
     value or text value.  NULL and NaN are left out.  ``whole`` adds a row
-    ``a = -1`` for the whole table.
+    ``a = -1`` for the whole table.  ``weight`` names a column with the number of
+    rows that each row stands for; its measures are then sums already.
     """
     keys, text = keys or [], text or set()
 
@@ -39,10 +41,10 @@ def value_histogram(
         values.append(F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("v"), F.lit(None).cast("string").alias("s")))
     present = (F.col("x.v").isNotNull() & ~F.isnan("x.v")) | F.col("x.s").isNotNull()
     return (
-        df.select(*keys, F.explode(F.array(*values)).alias("x"), *measures)
+        df.select(*keys, F.explode(F.array(*values)).alias("x"), *([F.col(weight).alias("n")] if weight else []), *measures)
         .where(present)
         .groupBy(*keys, F.col("x.a").alias("a"), F.col("x.v").alias("v"), F.col("x.s").alias("s"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures])
+        .agg((F.sum("n") if weight else F.count(F.lit(1))).alias("n"), *[F.sum(m).alias(m) for m in measures])
     )
 
 

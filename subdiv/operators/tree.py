@@ -8,8 +8,9 @@ node.  A node holds at least ``min_support`` of all rows, so a depth has at most
 intervals of it, so the sums left of any cut are a difference of two running
 sums, and a depth is one scan of the histogram with a small aggregate.
 
-``all_attributes``: a node is a conjunction over attributes, so the histogram is
-rebuilt per depth from the rows.
+``all_attributes``: a node is a conjunction over attributes.  The source is read
+once, into equal rows with their sums; every histogram is kept until its node is
+cut, rows of the smaller child are counted, and the larger child has what is left.
 
 Running sums are taken in range-partitioned blocks plus block offsets, so no
 attribute has to fit in one task.
@@ -31,10 +32,6 @@ from subdiv.functions.values import attribute
 from subdiv.operators.histogram import range_blocks, running_sums, value_histogram
 from subdiv.session import arrow_type, materialize, small_table
 
-#: depths after which the node of each row is written instead of re-derived
-_REWRITE_EVERY = 6
-
-
 @dataclass
 class Node:
     id: int
@@ -193,15 +190,11 @@ def gain(spec: _Spec):
 def best_cuts(scored: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
     """Per node the best cut; ties go to the first attribute, then the lowest value.
 
-    The best criterion comes first, from a hash aggregate on a single number;
-    only the cuts that reach it take part in breaking ties.
+    One aggregate over all cuts; those of a joint tree come sorted by node already.
     """
-    best = F.min if spec.criterion == "entropy" else F.max
-    best_split = scored.groupBy("node").agg(best("split").alias("best_split"))
-    # one row per open node, of which there are at most attributes / min_support
-    tied = scored.join(F.broadcast(best_split), "node").where(F.col("split") == F.col("best_split"))
     payload = ["a", "v", "s", "next_v", "binary", "other", "split", "l_n", "l_num", "l_den", "t_n", "t_num", "t_den", "sums", "t_sums"]
-    first = tied.groupBy("node").agg(F.min(F.struct(*payload)).alias("b")).select("node", "b.*")
+    order = F.col("split") if spec.criterion == "entropy" else -F.col("split")
+    first = scored.groupBy("node").agg(F.min(F.struct(order.alias("order"), *payload)).alias("b")).select("node", "b.*")
     sides = _sides(spec)
     chosen = (
         first.join(opened.select("node", "rows", "t_div", "t_value"), "node")
@@ -253,6 +246,7 @@ def _children(row, nd: Node, spec: _Spec, next_id: int) -> list[Node]:
     else:
         left_val, left_rel = _number(row["v"], spec.integral[attr]), "<="
         right_val, right_rel = _number(row["next_v"], spec.integral[attr]), ">="
+    joint = nd.tree not in spec.attributes  # whose nodes have histograms of their own
     totals = nd.total if row["t_sums"] is None else row["t_sums"].asDict()
     left_sums = {m: row["sums"][m] - nd.base[m] for m in spec.measures}
     right_sums = {m: totals[m] - left_sums[m] for m in spec.measures}
@@ -269,7 +263,7 @@ def _children(row, nd: Node, spec: _Spec, next_id: int) -> list[Node]:
         child(0, "l", left_rel, left_val, left_sums, nd.base_n, nd.base),
         child(
             1, "r", right_rel, right_val, right_sums,
-            nd.base_n + row["l_n"], {m: nd.base[m] + left_sums[m] for m in spec.measures},
+            *((nd.base_n, nd.base) if joint else (nd.base_n + row["l_n"], {m: nd.base[m] + left_sums[m] for m in spec.measures})),
         ),
     ]
 
@@ -344,34 +338,76 @@ def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
 
 
 def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
-    spark = df.sparkSession
-    whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in spec.measures]).first()
+    """The source is read once, into equal rows with their sums and the node they are in."""
+    spark, sums = df.sparkSession, ["n", *spec.measures]
+    groups = df.groupBy(*[F.col(f"`{a}`") for a in spec.attributes]).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(m).alias(f"__{m}") for m in spec.measures])
+    packed = F.struct(*[F.col(f"__{c}").alias(c) for c in sums]).alias("__sums")
+    rows = materialize(groups.select(F.lit(0).cast("bigint").alias("__node"), *[F.col(f"`{a}`") for a in spec.attributes], packed), "row-groups")
+    whole = rows.agg(*[F.sum(f"__sums.{c}").alias(c) for c in sums]).first()
     _set_baseline(spec, whole)
     all_nodes = [_root("*", 0, whole, spec, whole["n"], {m: whole[m] for m in spec.measures})]
     open_nodes = {0: all_nodes[0]}
-    rows = df.withColumn("node", F.lit(0).cast("bigint"))
+    hist = range_blocks(_group_histogram(rows, ["__node"], spec).withColumnRenamed("__node", "node"), ["node", "a"])
+    num_type = arrow_type(hist.schema[spec.num[0]].dataType)
+    spec.discrete = _few_valued(hist, spec)
     next_id, depth = 1, 0
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
-        hist = value_histogram(rows, spec.attributes, spec.measures, keys=["node"], text=spec.text)
-        num_type = arrow_type(hist.schema[spec.num[0]].dataType)
-        hist = range_blocks(hist, ["node", "a"])
-        if depth == 0:
-            spec.discrete = _few_valued(hist, spec)
         opened = _open_table(spark, list(open_nodes.values()), spec, num_type)
-        scored = materialize(candidate_cuts(_joint_cuts(hist, opened, spec), spec), "cuts")
+        scored = candidate_cuts(_joint_cuts(hist, opened, spec), spec)
         made = _apply(best_cuts(scored, opened, spec).collect(), open_nodes, spec, next_id)
         if not made:
             break
-        rows = _descend(rows, _cut_table(spark, made, spec), spec)
         depth += 1
-        if depth % _REWRITE_EVERY == 0:
-            rows = materialize(rows, "rows")
         next_id += len(made)
         all_nodes += made
         open_nodes = {nd.id: nd for nd in made if _may_split(nd, spec)}
+        if open_nodes and (spec.max_depth is None or depth < spec.max_depth):
+            moved = materialize(_descend(rows, _cut_table(spark, made, spec), spec), "row-groups")
+            hist = materialize(_child_histograms(hist, moved, made, spec), "histogram")
+            kept = [nd.id for nd in made if nd.id in open_nodes]
+            rows = moved.where(F.col("__node").isin(kept)).drop("__parent")
     return all_nodes
 
 
+def _group_histogram(rows: DataFrame, keys: list[str], spec: _Spec) -> DataFrame:
+    flat = rows.select(*keys, *[F.col(f"`{a}`") for a in spec.attributes], F.col("__sums.n").alias("__weight"), *[F.col(f"__sums.{m}").alias(f"__{m}") for m in spec.measures])
+    found = value_histogram(flat, spec.attributes, [f"__{m}" for m in spec.measures], keys=keys, text=spec.text, weight="__weight")
+    return found.withColumnsRenamed({f"__{m}": m for m in spec.measures})
+
+
+def _child_histograms(hist: DataFrame, moved: DataFrame, made: list[Node], spec: _Spec) -> DataFrame:
+    """Histograms of the children that may split, in the blocks of the root's.
+
+    Per cut only rows that do not go to the larger child are counted; the larger
+    child has its parent's histogram less theirs.  Rows without a value of the cut
+    attribute go to no child.
+    """
+    sums = ["n", *spec.measures]
+    pairs = list(zip(made[::2], made[1::2]))
+    larger = [max(pair, key=lambda nd: nd.n) for pair in pairs]
+    smaller = [min(reversed(pair), key=lambda nd: nd.n) for pair in pairs]
+    going = F.when(F.col("__node").isin([nd.id for nd in smaller]), F.col("__node"))
+    counted = moved.where(F.col("__node").isNull() | going.isNotNull()).withColumn("__small", going.isNotNull())
+    less = _group_histogram(counted, ["__parent", "__small"], spec)
+    less = less.groupBy("__parent", "a", "v", "s").agg(
+        F.struct(*[F.sum(c).alias(c) for c in sums]).alias("out"),
+        F.struct(*[F.sum(F.when(F.col("__small"), F.col(c))).alias(c) for c in sums]).alias("small"),
+    )
+    parent = [nd.parent for nd in larger]
+    children = small_table(
+        hist.sparkSession,
+        pa.schema([("node", pa.int64()), ("large_id", pa.int64()), ("small_id", pa.int64())]),
+        [(p, nd.id, other.id) for p, nd, other in zip(parent, larger, smaller)],
+    )
+    same = (F.col("node") == F.col("__parent")) & (F.col("h.a") == F.col("l.a")) & F.col("h.v").eqNullSafe(F.col("l.v")) & F.col("h.s").eqNullSafe(F.col("l.s"))
+    both = hist.join(children, "node").alias("h").join(less.alias("l"), same, "left")
+    rest = [(F.col(f"h.{c}") - F.coalesce(F.col(f"out.{c}"), F.lit(0))).cast(hist.schema[c].dataType).alias(c) for c in sums]
+    small = [F.col(f"small.{c}").cast(hist.schema[c].dataType).alias(c) for c in sums]
+    child = F.explode(F.array(F.struct(F.col("large_id").alias("node"), *rest), F.struct(F.col("small_id").alias("node"), *small)))
+    open_ids = [nd.id for nd in made if _may_split(nd, spec)]
+    return both.select("h.a", "h.v", "h.s", "h.block", child.alias("c")).where((F.col("c.n") > 0) & F.col("c.node").isin(open_ids)).select("c.node", "a", "v", "s", *[f"c.{c}" for c in sums], "block")
+
+
 def _few_valued(hist: DataFrame, spec: _Spec) -> set[str]:
     counts = hist.where("s is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     return {spec.attributes[r["a"]] for r in counts.where(F.col("n") <= spec.max_discrete).collect()}
@@ -407,12 +443,11 @@ def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
         )
         cuts = ordered.unionByName(discrete)
     facts = opened.select("node", "t_div", "t_split")
-    # one row per node and attribute
-    return cuts.join(F.broadcast(totals), keys).join(facts, "node")
+    return cuts.join(totals, keys).join(facts, "node")
 
 
 def _descend(rows: DataFrame, cuts: DataFrame, spec: _Spec) -> DataFrame:
-    """Move each row to the child of its node; rows of finished nodes leave."""
+    """Move each row of a cut node to a child, or to none where it has no value of the cut attribute."""
     left = right = None
     for i, a in enumerate(spec.attributes):
         here = F.col("cut_a") == i
@@ -429,12 +464,8 @@ def _descend(rows: DataFrame, cuts: DataFrame, spec: _Spec) -> DataFrame:
         left = is_left if left is None else left | is_left
         right = is_right if right is None else right | is_right
     moved = F.when(left, F.col("left")).when(right, F.col("right"))
-    columns = [c for c in rows.columns if c != "node"]
-    return (
-        rows.join(cuts, "node")
-        .select(moved.alias("node"), *[F.col(f"`{c}`") for c in columns])
-        .where(F.col("node").isNotNull())
-    )
+    kept = [F.col(f"`{a}`") for a in spec.attributes]
+    return rows.join(cuts, F.col("__node") == F.col("node")).select(F.col("node").alias("__parent"), moved.alias("__node"), *kept, "__sums")
 
 
 def _may_split(nd: Node, spec: _Spec) -> bool:

@@ -131,3 +131,36 @@ def test_arguments(spark):
         T.grow(df, ["x"], "d_ppv")
     with pytest.raises(ValueError):
         T.grow(df.withColumn("y", F.col("x")), ["x"], "d_outcome", criterion="entropy")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nodes_of_a_joint_tree_hold_the_rows_of_their_path(spark, seed):
+    """Histograms of larger children are differences; rows without a value of a cut attribute leave."""
+    rng = random.Random(seed)
+    rows = table(seed + 20, 400)
+    for r in rows:
+        r["t"] = rng.choice([None, "a", "b", "c", "d"])
+        r["x"] = None if rng.random() < 0.2 else r["x"]
+        r["y0"] = None if rng.random() < 0.1 else r["y0"]
+    trees = T.grow(spark.createDataFrame(rows, SCHEMA), ["x", "t", "y0"], "d_error", 0.05, splitting="all_attributes")
+    hold = {"<=": lambda x, v: x <= v, ">=": lambda x, v: x >= v, "=": lambda x, v: x == v, "!=": lambda x, v: x != v}
+    cut = set()
+    for node in trees._nodes:
+        inside = [r for r in rows if all(r[a] is not None and hold[rel](r[a], v) for a, rel, v in node.path)]
+        assert node.n == len(inside)
+        assert node.sums == {m: sum(r[m] for r in inside) for m in ("tn", "fp", "fn", "tp")}
+        cut.add((node.attr, node.depth > 2))
+    assert {("t", True), ("x", True)} <= cut or {("y0", True), ("x", True)} <= cut
+
+
+def test_a_joint_tree_reads_its_source_once(spark):
+    df = spark.createDataFrame(table(31, 300), SCHEMA).repartition(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    trees = T.grow(df.mapInArrow(count, df.schema), ["x", "t"], "d_error", 0.05, splitting="all_attributes")
+    assert max(n.depth for n in trees._nodes) > 2 and read.value == 300
