@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subdiv.functions.metrics import beta_mean, beta_variance, t_value, t_value_name
+from subdiv.operators.subsets import join_values
 
 
 def corrective_items(marginal: DataFrame, squared: bool = False) -> DataFrame:
@@ -21,8 +22,9 @@ def corrective_items(marginal: DataFrame, squared: bool = False) -> DataFrame:
 
 def strongest(corrective: DataFrame) -> DataFrame:
     """Per item the itemsets it corrects most, ties kept."""
-    best = corrective.groupBy("item").agg(F.min("corr_coef").alias("corr_coef"))
-    return corrective.join(best, ["item", "corr_coef"], "left_semi").orderBy("corr_coef", "item", "s_key")
+    best = corrective.groupBy("item").agg(F.min("corr_coef").alias("best"))
+    found = join_values(corrective, "item", 1, "si_key", best, 1).where("corr_coef = best")
+    return found.select(*corrective.columns).orderBy("corr_coef", "item", "s_key")
 
 
 def statistics(corrective: DataFrame, marginal: DataFrame) -> DataFrame:
@@ -56,14 +58,14 @@ def statistics(corrective: DataFrame, marginal: DataFrame) -> DataFrame:
 
 def significance(corrective: DataFrame, itemsets: DataFrame, metric: str) -> DataFrame:
     """Add ``t_value_corr`` between S and S+i, the t-value of S+i and the corrective factor."""
-    beta = itemsets.select("key", beta_mean(metric).alias("m"), beta_variance(metric).alias("v"), t_value_name(metric))
-    at_s = beta.select(F.col("key").alias("s_key"), F.col("m").alias("m_s"), F.col("v").alias("var_s"))
+    beta = itemsets.select("key", "length", beta_mean(metric).alias("m"), beta_variance(metric).alias("v"), t_value_name(metric))
+    at_s = beta.select(F.col("key").alias("s_key"), F.col("length").alias("v_length"), F.col("m").alias("m_s"), F.col("v").alias("var_s"))
     at_si = beta.select(
         F.col("key").alias("si_key"), F.col("m").alias("m_si"), F.col("v").alias("var_si"),
         F.col(t_value_name(metric)).alias("t_value_si"),
     )
     return (
-        corrective.join(at_s, "s_key")
+        join_values(corrective, "s_key", "s_length", "si_key", at_s, "v_length")
         .join(at_si, "si_key")
         .withColumns(
             {

@@ -48,6 +48,9 @@ def recode(df: DataFrame, column: str, mapping: dict, to: str | None = None) ->
         new, old = new.cast("string"), source.cast("string")
     key = F.col("__from").try_cast(kind)  # a key that the column cannot hold occurs nowhere
     table = table.where(F.col("__from").isNull() | key.isNotNull()).select(key.alias("__from"), new.alias("__to"), F.lit(True).alias("__found"))
+    clash = table.groupBy("__from").count().where("count > 1").first()  # "1" and "01" are one integer
+    if clash is not None:
+        raise ValueError(f"keys of the mapping become equal as {kind.simpleString()}: {clash['__from']!r}")
     joined = df.join(table, source.eqNullSafe(F.col("__from")), "left")
     return joined.withColumn(name, F.when(F.col("__found"), F.col("__to")).otherwise(old)).drop("__from", "__to", "__found")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subdiv.operators.subsets import explode_subsets
+from subdiv.operators.subsets import explode_subsets, join_values
 
 
 def base_metric(metric: str) -> str:
@@ -77,20 +77,17 @@ def marginals(itemsets: DataFrame, metric: str) -> DataFrame:
     """What each item adds to each itemset.
 
     Output ``item, s_key, si_key, s_length, v_i, v_s, v_si, delta``: ``s`` is the
-    itemset without the item, ``si`` the one with it.  Two equi-joins on keys;
-    a key of ``s`` meets at most one row per single item.  Rows whose subset is
-    not in the table (a top-k table, say) drop out, see
+    itemset without the item, ``si`` the one with it.  Two equi-joins on keys, in
+    which short itemsets and frequent items are dealt over several tasks.  Rows whose
+    subset is not in the table (a top-k table, say) drop out, see
     :func:`missing_subsets`.
     """
-    values = itemsets.select("key", F.col(metric).alias("v"))
+    values = itemsets.select(F.col("key").alias("s_key"), F.col(metric).alias("v_s"), F.col("length").alias("v_length"))
     singles = itemsets.where("length = 1").select(F.col("key").alias("item"), F.col(metric).alias("v_i"))
     without = _without_each_item(itemsets, metric)
-    return (
-        without.join(values.select(F.col("key").alias("s_key"), F.col("v").alias("v_s")), "s_key")
-        .join(singles, "item")
-        .select(
-            "item", "s_key", "si_key", "s_length", "v_i", "v_s", "v_si", (F.col("v_si") - F.col("v_s")).alias("delta")
-        )
+    found = join_values(without, "s_key", "s_length", "si_key", values, "v_length")
+    return join_values(found, "item", 1, "si_key", singles, 1).select(
+        "item", "s_key", "si_key", "s_length", "v_i", "v_s", "v_si", (F.col("v_si") - F.col("v_s")).alias("delta")
     )
 
 
@@ -127,16 +124,37 @@ def redundant_marginals(itemsets: DataFrame, metric: str, threshold: float = 0.0
     return marginals(itemsets, metric).where(F.abs("delta") <= threshold)
 
 
+#: Items up to which the subsets of an itemset are listed; longer ones look for sets they contain.
+LISTED_ITEMS = 8
+
+
 def minimal(itemsets: DataFrame, metric: str) -> DataFrame:
-    """Drop itemsets that have a strict subset with the very same metric value; NULLs form one group."""
-    value = itemsets.select(F.col("key").alias("subset_key"), F.col(metric).alias("subset_value"))
-    subsets = explode_subsets(itemsets.select("key", "itemset", F.col(metric).alias("value")), strict=True)
-    covered = subsets.join(
-        value,
-        (subsets["subset_key"] == value["subset_key"]) & F.col("value").eqNullSafe(F.col("subset_value")),
-        "left_semi",
+    """Drop itemsets that have a strict subset with the very same metric value; NULLs form one group.
+
+    Subsets of short itemsets are looked up by their keys.  A longer itemset meets, by each
+    of its items, the sets of its value that have this item as their rarest one, and is
+    compared with those.
+    """
+    valued = itemsets.select("key", "itemset", "length", F.col(metric).alias("value"))
+    value = valued.select(F.col("key").alias("subset_key"), F.col("value").alias("subset_value"), F.col("length").alias("v_length"))
+    short = explode_subsets(valued.where(F.col("length") <= LISTED_ITEMS).select("key", "itemset", "value"), strict=True)
+    listed = join_values(short, "subset_key", "subset_length", "key", value, "v_length").where(F.col("value").eqNullSafe(F.col("subset_value")))
+    covered = listed.select("key").unionByName(_containing(valued, F.col("length") > LISTED_ITEMS))
+    return itemsets.join(covered.distinct(), "key", "left_anti")
+
+
+def _containing(valued: DataFrame, which: Column) -> DataFrame:
+    """Keys of the chosen itemsets that contain another one with the same value."""
+    items = valued.select("key", "length", F.explode("itemset").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    rarest = join_values(items, "item", 1, "key", often, 1).groupBy("key").agg(F.min(F.struct("often", "item")).alias("r"))
+    contained = valued.join(rarest, "key", "left").select(
+        F.coalesce("r.item", F.lit("")).alias("item"), F.col("itemset").alias("inner"), F.col("length").alias("inner_length"), F.col("value").alias("inner_value")
     )
-    return itemsets.join(covered.select("key").distinct(), "key", "left_anti")
+    # the empty itemset is met by an item that no itemset has
+    asking = valued.where(which).select("key", "itemset", "length", "value", F.explode(F.concat("itemset", F.array(F.lit("")))).alias("item"))
+    pairs = asking.join(contained, (asking["item"] == contained["item"]) & F.col("value").eqNullSafe(F.col("inner_value")) & (F.col("inner_length") < F.col("length")))
+    return pairs.where(F.size(F.array_except("inner", "itemset")) == 0).select("key").distinct()
 
 
 def strongest_negative(marginal: DataFrame) -> DataFrame:
@@ -149,8 +167,8 @@ def strongest_positive(marginal: DataFrame) -> DataFrame:
 
 
 def _extreme(rows: DataFrame, which, value: str = "delta") -> DataFrame:
-    best = rows.groupBy("item").agg(which(value).alias(value))
-    return rows.join(best, ["item", value], "left_semi")
+    best = rows.groupBy("item").agg(which(value).alias("best"))
+    return join_values(rows, "item", 1, "si_key", best, 1).where(F.col(value) == F.col("best")).drop("best")
 
 
 def marginal_statistics(marginal: DataFrame) -> DataFrame:

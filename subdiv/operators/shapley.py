@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subdiv.operators.select import itemset_key
-from subdiv.operators.subsets import explode_subsets
+from subdiv.operators.subsets import explode_subsets, join_values
 
 
 def _attr(item: Column) -> Column:
@@ -26,8 +26,8 @@ def local_shapley(itemsets: DataFrame, metric: str, targets: list[list[str]] | N
     wanted = itemsets.where("length > 0")
     if targets is not None:
         wanted = wanted.where(F.col("key").isin([itemset_key(t) for t in targets]))
-    values = itemsets.select(F.col("key").alias("subset_key"), F.col(metric).alias("v"))
-    subsets = explode_subsets(wanted.select("key", "itemset", "length")).join(values, "subset_key")
+    values = itemsets.select(F.col("key").alias("subset_key"), F.col(metric).alias("v"), F.col("length").alias("v_length"))
+    subsets = join_values(explode_subsets(wanted.select("key", "itemset", "length")), "subset_key", "subset_length", "key", values, "v_length")
     shares = subsets.select(
         "key", "length", "v", "subset", "subset_length", F.explode("itemset").alias("item")
     )
