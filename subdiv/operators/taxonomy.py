@@ -59,60 +59,48 @@ def edges_to_dict(edges: DataFrame, max_edges: int = 1_000_000) -> dict:
     return {a: {c: p[0] if len(p) == 1 else p for c, p in t.items()} for a, t in out.items()}
 
 
+def _paths(edges: DataFrame) -> DataFrame:
+    """Every value above another one with the longest way there: ``(attr, low, high, hops)``.
+
+    Every round joins ways to ways, so a taxonomy of n levels takes log2(n) rounds
+    and one that changes nothing.
+    """
+    known = materialize(edges.select("attr", F.col("child").alias("low"), F.col("parent").alias("high"), F.lit(1).alias("hops")).distinct(), "paths")
+    before = None
+    while True:
+        now = known.agg(F.count(F.lit(1)).alias("n"), F.sum("hops").alias("hops"), F.count_if(F.col("low") == F.col("high")).alias("loops")).first()
+        if now["loops"]:
+            sample = [(r["attr"], r["low"]) for r in known.where("low = high").limit(3).collect()]
+            raise ValueError(f"the taxonomy has a cycle, for example through {sample}")
+        if now == before or not now["n"]:
+            return known
+        before = now
+        on = known.select("attr", F.col("low").alias("high"), F.col("high").alias("top"), F.col("hops").alias("more"))
+        joined = known.join(on, ["attr", "high"]).select("attr", "low", F.col("top").alias("high"), (F.col("hops") + F.col("more")).alias("hops"))
+        known = materialize(known.unionByName(joined).groupBy("attr", "low", "high").agg(F.max("hops").alias("hops")), "paths")
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """Order children before parents: ``(attr, child, parent, level)``.
 
     Level 1 children are nobody's parent; a child's level is one above the
-    highest of its own children.  Edges that stay unresolved form a cycle and
-    raise ``ValueError``.
+    highest of its own children.  A cycle raises ``ValueError``.
     """
-    pending = materialize(edges.select(*EDGE).distinct(), "edges")
-    done, level = [], 1
-    while not pending.isEmpty():
-        parents = pending.select("attr", F.col("parent").alias("child")).distinct()
-        ready = pending.join(parents, ["attr", "child"], "left_anti")
-        ready = materialize(ready.withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
-            sample = [tuple(r) for r in pending.limit(3).collect()]
-            raise ValueError(f"the taxonomy has a cycle, for example through {sample}")
-        done.append(ready)
-        pending = materialize(pending.join(ready.select(*EDGE), EDGE, "left_anti"), "edges")
-        level += 1
-    out = done[0] if done else edges.select(*EDGE, F.lit(1).alias("level")).limit(0)
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    below = _paths(edges).groupBy("attr", F.col("high").alias("child")).agg(F.max("hops").alias("below"))
+    return edges.select(*EDGE).distinct().join(below, ["attr", "child"], "left").select(*EDGE, (F.coalesce("below", F.lit(0)) + 1).alias("level"))
 
 
 def closure(edges: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """Every value with each of its ancestors: ``(attr, leaf, item)``.
 
     ``leaves (attr, leaf)`` restricts the result to values present in the data;
-    a taxonomy entry that the data lacks then yields nothing.
+    a taxonomy entry that the data lacks then yields nothing.  A cycle raises
+    ``ValueError``, wherever it is.
     """
-    edges = materialize(edges.select(*EDGE).distinct(), "edges")
-    reach = edges.select("attr", F.col("child").alias("leaf"), F.col("parent").alias("item"))
+    reach = _paths(edges).select("attr", F.col("low").alias("leaf"), F.col("high").alias("item"))
     if leaves is not None:
         reach = reach.join(leaves.select("attr", "leaf").distinct(), ["attr", "leaf"], "left_semi")
-    found = frontier = materialize(reach.distinct(), "closure")
-    step = edges.select("attr", F.col("child").alias("item"), F.col("parent").alias("next"))
-    while True:
-        further = (
-            frontier.join(step, ["attr", "item"])
-            .select("attr", "leaf", F.col("next").alias("item"))
-            .distinct()
-            .join(found, ["attr", "leaf", "item"], "left_anti")
-        )
-        frontier = materialize(further, "closure")
-        new = frontier.agg(
-            F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("leaf") == F.col("item")).alias("loops")
-        ).first()
-        if new["loops"]:
-            raise ValueError("the taxonomy has a cycle")
-        if not new["pairs"]:
-            break
-        found = found.unionByName(frontier)
-    return found
+    return reach
 
 
 def only_attributes(edges: DataFrame, attributes: list[str]) -> DataFrame:
