@@ -11,12 +11,12 @@ from catalog.base import (
     SQL_ORDERS, orders_cls, q9, query, r9, scratch, sql_itemsets, sql_rate,
 )
 from catalog.mining import RANGES, hier_edges, sql_hier
-from subdiv.functions.cells import check_target
+from catalog.trees import sql_tree
 from subdiv.functions.metrics import CELLS
 from subdiv.operators.items import keep_table
 from subdiv.operators.mine import mine
 from subdiv.operators.prepare import bin_columns
-from subdiv.operators.tree import grow
+from subdiv.operators.tree import grow, grow_each
 from subdiv.plans import explore as E
 from subdiv.sources import tables as S
 
@@ -99,7 +99,7 @@ def tgt4(spark, d):
         "entropy of an outcome": lambda: grow(
             rows.withColumn("y", F.col("totalprice")), ["acctbal"], "d_outcome", 0.1, criterion="entropy"
         ),
-        "outcome": lambda: check_target(outcome="totalprice"),
+        "outcome": lambda: E.explore(rows, ["seg"], 0.1, ["d_outcome"], outcome="totalprice"),
     }
     counted = rows.agg(F.count(F.lit(1)).alias("rows"))
     parts = [
@@ -124,7 +124,7 @@ def fim10(spark, d):
         "support 0": lambda: mine(rows, ["seg"], CELLS, 0.0),
         "negative support": lambda: mine(rows, ["seg"], CELLS, -0.1),
         "unknown method": lambda: mine(rows, ["seg"], CELLS, 0.1, method="depth_first"),
-        "support 0.1": lambda: None,
+        "support 0.1": lambda: mine(rows, ["seg"], CELLS, 0.1),
     }
     parts = [
         found.select(F.lit(name).alias("setting"), F.lit(_rejected(call)).alias("verdict"), "itemsets")
@@ -133,10 +133,33 @@ def fim10(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Tree supports of the sensitivity study; fixed values.
+_TREE_SUPPORTS = [0.005, 0.01, 0.02, 0.025, 0.035, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.25, 0.3]
+
+
 @query("e2e6_tree_support_sensitivity")
 def e2e6(spark, d):
     return E.tree_support_sweep(
-        orders_cls(spark, d), ["acctbal", "seg"], ["acctbal"], [0.4, 0.3], 0.05, "d_fpr", **_ROLES
+        orders_cls(spark, d), ["acctbal", "seg"], ["acctbal"], _TREE_SUPPORTS, 0.025, "d_fpr", **_ROLES
+    )
+
+
+def _sql_forest():
+    parts = [
+        f"""SELECT {s}::DOUBLE AS min_sup_tree, depth, count(*) AS nodes, sum(n)::BIGINT AS covered, {q9('min(div)')} AS lowest, {q9('max(div)')} AS highest
+  FROM (WITH {SQL_ORDERS}, {sql_tree('ord', ['acctbal'], 'd_fpr', s, 15 if s < 0.02 else 11 if s < 0.075 else 6)} SELECT * FROM nodes) GROUP BY depth"""
+        for s in _TREE_SUPPORTS
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("e2e6_trees_of_all_supports", _sql_forest())
+def e2e6_trees(spark, d):
+    """Nodes of every depth of the trees of fourteen supports, grown together."""
+    forest = grow_each(orders_cls(spark, d), ["acctbal"], "d_fpr", _TREE_SUPPORTS)
+    nodes = reduce(DataFrame.unionByName, [t.nodes().select(F.lit(s).alias("min_sup_tree"), "depth", "n", "divergence") for s, t in forest.items()])
+    return nodes.coalesce(1).groupBy("min_sup_tree", "depth").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("covered"), r9(F.min("divergence")).alias("lowest"), r9(F.max("divergence")).alias("highest")
     )
 
 

@@ -54,6 +54,7 @@ class Node:
     path: list = field(default_factory=list)  # [(attr, rel, val)]
     is_leaf: bool = True
     total_n: int | None = None  # rows usable for a split, without NULLs
+    min_support: float = 0.0  # of its tree
     total: dict = field(default_factory=dict)
 
 
@@ -87,7 +88,7 @@ def _open_table(spark: SparkSession, nodes: list[Node], spec: _Spec, num_type: p
     schema = pa.schema(
         [
             ("node", pa.int64()), ("a", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()),
-            ("rows", pa.int64()), ("t_div", pa.float64()), ("t_value", pa.float64()), ("t_split", pa.float64()), ("t_n", pa.int64()), ("t_num", num_type), ("t_den", pa.int64()),
+            ("rows", pa.int64()), ("min_support", pa.float64()), ("t_div", pa.float64()), ("t_value", pa.float64()), ("t_split", pa.float64()), ("t_n", pa.int64()), ("t_num", num_type), ("t_den", pa.int64()),
             ("b_n", pa.int64()), ("b_num", num_type), ("b_den", pa.int64()),
         ]
     )
@@ -107,7 +108,7 @@ def _open_table(spark: SparkSession, nodes: list[Node], spec: _Spec, num_type: p
         spark,
         schema,
         [
-            (nd.id, *interval(nd), nd.n, nd.divergence, nd.value, nd.parent_split, *sums(nd.total_n, nd.total), *sums(nd.base_n, nd.base))
+            (nd.id, *interval(nd), nd.n, nd.min_support, nd.divergence, nd.value, nd.parent_split, *sums(nd.total_n, nd.total), *sums(nd.base_n, nd.base))
             for nd in nodes
         ],
     )
@@ -162,7 +163,7 @@ def candidate_cuts(rows: DataFrame, spec: _Spec) -> DataFrame:
     """Admissible cuts with their split criterion."""
     total = F.lit(float(spec.total))
     side = _sides(spec)
-    enough = (side["l_n"] / total >= spec.min_support) & (side["r_n"] / total >= spec.min_support)
+    enough = (side["l_n"] / total >= F.col("min_support")) & (side["r_n"] / total >= F.col("min_support"))
     split = criteria.split_value(
         spec.criterion, side["l_value"], side["r_value"], side["l_den"], side["r_den"],
         side["l_n"].cast("double"), side["r_n"].cast("double"), total,
@@ -210,12 +211,12 @@ def best_cuts(scored: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
 # ---------------------------------------------------------------- growth
 
 
-def _root(tree, node_id, whole, spec, total_n, total) -> Node:
+def _root(tree, node_id, whole, spec, total_n, total, min_support) -> Node:
     sums = {m: whole[m] for m in spec.measures}
     return Node(
         id=node_id, tree=tree, parent=None, depth=0, attr=None, rel="", val=None, n=whole["n"], sums=sums,
         metric=spec.baseline, divergence=0.0, value=_root_value(spec),
-        base_n=0, base={m: _zero(sums[m]) for m in spec.measures}, total_n=total_n, total=total,
+        base_n=0, base={m: _zero(sums[m]) for m in spec.measures}, total_n=total_n, total=total, min_support=min_support,
     )
 
 
@@ -256,7 +257,7 @@ def _children(row, nd: Node, spec: _Spec, next_id: int) -> list[Node]:
             id=next_id + offset, tree=nd.tree, parent=nd.id, depth=nd.depth + 1, attr=attr, rel=rel, val=val,
             n=row[f"{side}_n"], sums=sums, metric=row[f"{side}_p"], divergence=row[f"{side}_div"],
             value=row[f"{side}_value"], base_n=base_n, base=base, parent_split=row["split"],
-            path=[*nd.path, (attr, rel, val)], total_n=row[f"{side}_n"], total=sums,
+            path=[*nd.path, (attr, rel, val)], total_n=row[f"{side}_n"], total=sums, min_support=nd.min_support,
         )
 
     return [
@@ -296,7 +297,8 @@ def _cut_table(spark, made: list[Node], spec: _Spec) -> DataFrame:
     return small_table(spark, schema, rows)
 
 
-def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
+def _grow_separately(df: DataFrame, spec: _Spec, supports: list[float]) -> list[Node]:
+    """Trees of every attribute for every support, all from one histogram and one scan of it per depth."""
     spark = df.sparkSession
     hist = range_blocks(value_histogram(df, spec.attributes, spec.measures, whole=True), ["a"])
     whole = hist.where("a = -1").first()
@@ -309,12 +311,13 @@ def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
         r["a"]: r for r in hist.where("a >= 0").groupBy("a").agg(*[F.sum(c).alias(c) for c in sums]).collect()
     }
     all_nodes = [
-        _root(a, i, whole, spec, per_attr[i]["n"], {m: per_attr[i][m] for m in spec.measures})
+        _root(a, k * len(spec.attributes) + i, whole, spec, per_attr[i]["n"], {m: per_attr[i][m] for m in spec.measures}, support)
+        for k, support in enumerate(supports)
         for i, a in enumerate(spec.attributes)
         if i in per_attr
     ]
     open_nodes = {nd.id: nd for nd in all_nodes}
-    next_id, depth = len(spec.attributes), 0
+    next_id, depth = len(spec.attributes) * len(supports), 0
     none = F.lit(None)
     while open_nodes and (spec.max_depth is None or depth < spec.max_depth):
         opened = _open_table(spark, list(open_nodes.values()), spec, num_type)
@@ -324,7 +327,7 @@ def _grow_separately(df: DataFrame, spec: _Spec) -> list[Node]:
             "node", rows["a"], "v", none.cast("string").alias("s"), "next_v", F.lit(False).alias("binary"),
             none.cast("string").alias("other"), "sums", none.cast(rows.schema["sums"].dataType).alias("t_sums"),
             *[(F.col(f"l_{x}") - F.col(f"b_{x}")).alias(f"l_{x}") for x in ("n", "num", "den")],
-            "t_n", "t_num", "t_den", "t_div", "t_split",
+            "t_n", "t_num", "t_den", "t_div", "t_split", "min_support",
         )
         cuts = best_cuts(candidate_cuts(inside, spec), opened, spec).collect()
         made = _apply(cuts, open_nodes, spec, next_id)
@@ -345,7 +348,7 @@ def _grow_jointly(df: DataFrame, spec: _Spec) -> list[Node]:
     rows = materialize(groups.select(F.lit(0).cast("bigint").alias("__node"), *[F.col(f"`{a}`") for a in spec.attributes], packed), "row-groups")
     whole = rows.agg(*[F.sum(f"__sums.{c}").alias(c) for c in sums]).first()
     _set_baseline(spec, whole)
-    all_nodes = [_root("*", 0, whole, spec, whole["n"], {m: whole[m] for m in spec.measures})]
+    all_nodes = [_root("*", 0, whole, spec, whole["n"], {m: whole[m] for m in spec.measures}, spec.min_support)]
     open_nodes = {0: all_nodes[0]}
     hist = range_blocks(_group_histogram(rows, ["__node"], spec).withColumnRenamed("__node", "node"), ["node", "a"])
     num_type = arrow_type(hist.schema[spec.num[0]].dataType)
@@ -442,7 +445,7 @@ def _joint_cuts(hist: DataFrame, opened: DataFrame, spec: _Spec) -> DataFrame:
             "s", "binary", "other",
         )
         cuts = ordered.unionByName(discrete)
-    facts = opened.select("node", "t_div", "t_split")
+    facts = opened.select("node", "t_div", "t_split", "min_support")
     return cuts.join(totals, keys).join(facts, "node")
 
 
@@ -469,7 +472,7 @@ def _descend(rows: DataFrame, cuts: DataFrame, spec: _Spec) -> DataFrame:
 
 
 def _may_split(nd: Node, spec: _Spec) -> bool:
-    return nd.n / spec.total >= spec.min_support
+    return nd.n / spec.total >= nd.min_support
 
 
 def _set_baseline(spec: _Spec, whole) -> None:
@@ -503,6 +506,45 @@ def grow(
     """
     if splitting not in ("one_at_time", "all_attributes"):
         raise ValueError(f"unknown splitting {splitting!r}")
+    spec = _spec_of(df, attributes, metric, min_support, criterion, minimal_gain, max_depth, max_discrete)
+    if spec.text and splitting == "one_at_time":
+        raise ValueError(f"not numeric: {sorted(spec.text)}")
+    slim = df.select(*[attribute(df, a).alias(a) for a in attributes], *spec.measures)
+    nodes = _grow_separately(slim, spec, [spec.min_support]) if splitting == "one_at_time" else _grow_jointly(slim, spec)
+    return Trees(df.sparkSession, nodes, spec, metric, slim)
+
+
+def grow_each(
+    df: DataFrame,
+    attributes: list[str],
+    metric: str,
+    supports: list[float],
+    *,
+    criterion: str = "divergence_criterion",
+    minimal_gain: float | None = None,
+    max_depth: int | None = None,
+) -> dict[float, "Trees"]:
+    """Trees of every attribute for each of several supports, grown together.
+
+    The same trees as :func:`grow` makes, from one histogram: the nodes of all
+    supports are open at once, and a depth is one scan for all of them.
+    """
+    specs = {float(s): _spec_of(df, attributes, metric, s, criterion, minimal_gain, max_depth, 0) for s in supports}
+    if not specs:
+        return {}
+    spec = next(iter(specs.values()))
+    if spec.text:
+        raise ValueError(f"not numeric: {sorted(spec.text)}")
+    slim = df.select(*[attribute(df, a).alias(a) for a in attributes], *spec.measures)
+    nodes = _grow_separately(slim, spec, list(specs))
+    out = {}
+    for support, own in specs.items():
+        own.total, own.baseline = spec.total, spec.baseline
+        out[support] = Trees(df.sparkSession, [nd for nd in nodes if nd.min_support == support], own, metric, slim)
+    return out
+
+
+def _spec_of(df, attributes, metric, min_support, criterion, minimal_gain, max_depth, max_discrete) -> _Spec:
     if min_support is None or min_support <= 0:
         raise ValueError("min_support must be positive")
     if criterion not in criteria.CRITERIA:
@@ -518,17 +560,12 @@ def grow(
     kinds = {a: df.schema[a].dataType for a in attributes}
     numeric = {a for a, t in kinds.items() if isinstance(t, T.NumericType)}
     text = set(attributes) - numeric
-    if text and splitting == "one_at_time":
-        raise ValueError(f"not numeric: {sorted(text)}")
-    spec = _Spec(
+    return _Spec(
         attributes=list(attributes),
         integral={a: isinstance(kinds[a], T.IntegralType) for a in attributes},
         text=text, measures=measures, num=num, den=den, criterion=criterion,
         min_support=float(min_support), minimal_gain=minimal_gain, max_depth=max_depth, max_discrete=max_discrete,
     )
-    slim = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
-    nodes = _grow_separately(slim, spec) if splitting == "one_at_time" else _grow_jointly(slim, spec)
-    return Trees(df.sparkSession, nodes, spec, metric, slim)
 
 
 # ---------------------------------------------------------------- node names

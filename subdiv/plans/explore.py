@@ -16,7 +16,7 @@ from subdiv.operators import taxonomy
 from subdiv.operators.mine import admit, mine, top_k
 from subdiv.operators.prepare import bin_columns
 from subdiv.operators.select import not_redundant, ranked
-from subdiv.operators.tree import grow
+from subdiv.operators.tree import grow, grow_each
 from subdiv.session import materialize, small_table
 
 
@@ -225,25 +225,30 @@ def tree_support_sweep(
     timed: bool = False,
     **options,
 ) -> DataFrame:
-    """Nodes, itemsets and highest divergence for several tree supports.
+    """Leaf ranges, itemsets and highest divergence for several tree supports.
 
-    ``timed`` adds the seconds of growing and mining.
+    The trees of all supports are grown together, and supports whose trees have the
+    same ranges share one run of mining.  ``timed`` adds the seconds of growing all
+    trees and of mining those of a setting.
     """
+    start = time.time()
+    forest = grow_each(df, continuous, metric, tree_supports)
+    grown = time.time() - start
+    mined: dict[str, tuple[DataFrame, float]] = {}
     parts = []
-    for support in tree_supports:
-        start = time.time()
-        trees, ranges, edges = tree_hierarchy(df, continuous, metric, support)
-        grown = time.time() - start
-        mined = explore_hierarchical(df, attributes, ranges, edges, min_support, [metric], **options)
-        columns = [
-            F.lit(float(support)).alias("min_sup_tree"),
-            F.count(F.lit(1)).alias("itemsets"),
-            F.max(metric).alias("max_divergence"),
-        ]
+    for support, trees in forest.items():
+        ranges = trees.discretizations(attributes=continuous)
+        setting = repr(sorted(trees.discretizations("all", continuous).items()))
+        if setting not in mined:
+            start = time.time()
+            found = explore_hierarchical(df, attributes, ranges, trees.generalization(), min_support, [metric], **options)
+            summary = materialize(found.agg(F.count(F.lit(1)).alias("itemsets"), F.max(metric).alias("max_divergence")), "setting")
+            mined[setting] = summary, time.time() - start
+        found, seconds = mined[setting]
         leaves = sum(len(r) for r in ranges.values())
-        part = mined.agg(*columns).withColumn("leaf_ranges", F.lit(leaves).cast("bigint"))
+        part = found.select(F.lit(support).alias("min_sup_tree"), "itemsets", "max_divergence", F.lit(leaves).cast("bigint").alias("leaf_ranges"))
         if timed:
-            part = part.withColumns({"tree_seconds": F.lit(grown), "seconds": F.lit(time.time() - start)})
+            part = part.withColumns({"tree_seconds": F.lit(grown), "seconds": F.lit(seconds)})
         parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 

@@ -164,3 +164,16 @@ def test_a_joint_tree_reads_its_source_once(spark):
 
     trees = T.grow(df.mapInArrow(count, df.schema), ["x", "t"], "d_error", 0.05, splitting="all_attributes")
     assert max(n.depth for n in trees._nodes) > 2 and read.value == 300
+
+
+def test_trees_grown_together_equal_trees_grown_alone(spark):
+    df = spark.createDataFrame(table(41, 400), SCHEMA)
+    supports = [0.02, 0.1, 0.3]
+    forest = T.grow_each(df, ["x", "y0"], "d_error", supports)
+    facts = lambda trees: [(n.tree, n.depth, n.path, n.n, n.sums, n.divergence, n.gain) for n in trees._nodes]
+    for support in supports:
+        alone = T.grow(df, ["x", "y0"], "d_error", support)
+        assert facts(forest[support]) == facts(alone)
+        assert forest[support].discretizations() == alone.discretizations()
+    with pytest.raises(ValueError):
+        T.grow_each(df, ["x"], "d_error", [0.1, 0.0])
