@@ -66,6 +66,21 @@ def snk3(spark, d):
     return S.read_statistics(spark, path).select("min_sup", "generalized", "pruned", "stat", r9("value").alias("value"))
 
 
+@query(
+    "src4_nested_run_statistics",
+    f"""{_sql_sweep()} SELECT min_sup, CASE WHEN generalized THEN 'generalized' ELSE 'base' END || CASE WHEN pruned THEN '_pruned' ELSE '' END AS configuration,
+{q9('value')} AS value, stat FROM stats WHERE stat = 'max_divergence' AND value IS NOT NULL""",
+)
+def src4_statistics(spark, d):
+    """Statistics of a sweep as one JSON object by support and configuration, read back."""
+    path = scratch(spark, "nested-statistics")
+    configuration = F.concat(F.when(F.col("generalized"), "generalized").otherwise("base"), F.when(F.col("pruned"), "_pruned").otherwise(""))
+    stats = _sweep(spark, d).where("stat = 'max_divergence' and value is not null").select(F.col("min_sup").cast("string").alias("min_sup"), configuration.alias("c"), "value")
+    by_support = stats.groupBy("min_sup").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("m"))
+    by_support.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("min_sup", "m")))).alias("value")).coalesce(1).write.text(path)
+    return S.read_nested_statistics(spark, path, "max_divergence").withColumn("value", r9("value"))
+
+
 @query(
     "e2e8_pruning_difference",
     f"""{_sql_sweep()} SELECT a.min_sup, a.generalized, {q9('a.value - b.value')} AS difference FROM stats a JOIN stats b USING (min_sup, generalized, stat)
