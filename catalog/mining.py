@@ -13,7 +13,7 @@ from subdiv.functions import metrics as M
 from subdiv.functions.metrics import CELLS
 from subdiv.operators import items as item_ops
 from subdiv.operators import taxonomy
-from subdiv.operators.mine import mine, top_k
+from subdiv.operators.mine import mine, mine_top_k, top_k
 from subdiv.operators.select import top
 from subdiv.plans import explore as E
 from subdiv.sources.tables import spill
@@ -134,6 +134,37 @@ def fim7(spark, d):
     return top_k(scored, "d_fpr", 25).select("key", "length", "support_count", r9("d_fpr").alias("d_fpr"))
 
 
+@query(
+    "fim7_top_k_while_mining",
+    f"""{sql_with_metric(SQL_IT_UP, ['fpr'])}
+(SELECT key, length, support_count, {q9('d_fpr')} AS d_fpr FROM d WHERE length > 0
+  ORDER BY d.d_fpr DESC, support DESC, length, key LIMIT 10)
+UNION ALL SELECT key, length, support_count, {q9('d_fpr')} FROM d WHERE length = 0""",
+)
+def fim7_while(spark, d):
+    """The best ten over a taxonomy; itemsets that cannot lead to one are not grown."""
+    closed = taxonomy.closure(nation_edges(spark, d))
+    found = mine_top_k(orders_cls(spark, d), ATTRS, CELLS, SUP_UP, "d_fpr", 10, closure=closed, method="level_wise")
+    scored = M.with_divergence(found, ["d_fpr"], significance=False)
+    return scored.select("key", "length", "support_count", r9("d_fpr").alias("d_fpr"))
+
+
+@query(
+    "fim7_top_k_outcome",
+    f"""{_SQL_EV_IT}, w AS (SELECT y::DOUBLE / support_count AS mean FROM it WHERE length = 0),
+d AS (SELECT it.*, y::DOUBLE / support_count - w.mean AS d_outcome FROM it, w)
+(SELECT key, length, support_count, {q9('d_outcome')} AS d_outcome FROM d WHERE length > 0
+  ORDER BY d.d_outcome DESC, support DESC, length, key LIMIT 10)
+UNION ALL SELECT key, length, support_count, {q9('d_outcome')} FROM d WHERE length = 0""",
+)
+def fim7_outcome(spark, d):
+    closed = taxonomy.closure(hour_edges(spark))
+    found = mine_top_k(
+        events_outcome(spark, d), ["etype", "hr"], ["y", "y2"], 0.005, "d_outcome", 10, closure=closed, method="level_wise"
+    )
+    return M.with_outcome_divergence(found).select("key", "length", "support_count", r9("d_outcome").alias("d_outcome"))
+
+
 @query("fim8_support_columns", f"{SQL_IT} SELECT key, length, {q9('support')} AS support, support_count FROM it")
 def fim8(spark, d):
     return mined_orders(spark, d).select("key", "length", r9("support").alias("support"), "support_count")

@@ -214,6 +214,38 @@ def with_outcome_divergence(itemsets: DataFrame, test: str = "welch", keep_sums:
     return out if keep_sums else out.drop("y", "y2")
 
 
+def optimistic(metric: str, fewest: int, root: dict, n: str = "support_count") -> Column | None:
+    """Upper bound of a divergence over all subsets of an itemset's rows with ``fewest`` rows or more.
+
+    A subset has at most the numerator's rows, and lost at most ``n - fewest`` of the
+    others; the mean of an outcome is bounded by mean, variance and size.  ``root``
+    holds the whole table's sums.  None for metrics without such a bound.
+    """
+    spare = F.col(n) - F.lit(fewest)
+    if metric == "d_outcome":
+        mean, square = outcome_mean(_renamed(n)), F.col("y2").cast("double") / F.col(n)
+        # the last term covers what the difference of two large sums loses
+        spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + 1e-12 * square)
+        return mean + spread * F.sqrt(F.greatest(spare, F.lit(0)) / F.lit(fewest)) - float(root["y"]) / root["support_count"]
+    name = metric.removeprefix("d_").removesuffix("_abs")
+    if f"d_{name}" not in DIVERGENCES or metric not in (f"d_{name}", f"d_{name}_abs"):
+        return None
+    num, den = (["fp", "fn"], CELLS) if name == "error" else RATES[name]
+    hits, others = total(num), total([c for c in den if c not in num])
+    left = F.greatest(others - spare, F.lit(0))
+    at_root = rate(name, lambda c: F.lit(root[c]))
+    above = F.coalesce(F.try_divide(hits, hits + left), F.lit(0.0)) - at_root
+    if metric == f"d_{name}":
+        return above
+    kept = F.greatest(hits - spare, F.lit(0))
+    below = F.coalesce(F.try_divide(kept, kept + others), F.lit(0.0)) - at_root
+    return F.greatest(F.abs(above), F.abs(below))
+
+
+def _renamed(n: str):
+    return lambda c: F.col(n if c == "support_count" else c)
+
+
 def with_mean_ratio(itemsets: DataFrame, metric: str = "outcome") -> DataFrame:
     """Ratio to the whole table and support-weighted log ratio."""
     root = root_values(itemsets, [metric])

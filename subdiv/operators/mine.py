@@ -20,12 +20,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subdiv.functions.metrics import METRICS, optimistic, with_divergence, with_outcome_divergence
 from subdiv.functions.values import attribute
 from subdiv.session import arrow_type, int_literals, materialize, small_table, string_literals
 
@@ -251,12 +253,59 @@ def _single_pass(compressed, codes, items, measures, frequent_enough, max_len):
     return grouped.select(ids.alias("ids"), "n", *measures).where(F.size("ids").between(1, longest))
 
 
-def _level_wise(compressed, codes, items, measures, frequent_enough, max_len):
+class _Best:
+    """The best k itemsets seen so far, and what may still lead to better ones.
+
+    Holds k rows.  The k-th metric is a threshold that only rises; an itemset whose
+    bound lies below it has no superset among the best, whatever is counted later.
+    """
+
+    def __init__(self, metric, k, min_support, singles, schema, total):
+        self.metric, self.k, self.schema, self.total = metric, k, schema, total
+        self.spark = singles.sparkSession
+        self.rows, self.threshold = [], None
+        everything = singles.where(F.size("itemset") == 0)
+        self.root = tuple(everything.first())
+        sums = dict(zip(["support_count", *schema.names[2:]], self.root[1:]))
+        self._bound = optimistic(metric, max(1, ceil(min_support * total - 1e-6)), sums, n="n")
+        bounded = singles.where(F.size("itemset") == 1)
+        bound = F.lit(float("inf")) if self._bound is None else self._bound
+        self.of_item = {r[0][0]: r[1] for r in bounded.select("itemset", bound.alias("b")).collect()}
+        self.see(bounded)
+
+    def see(self, level: DataFrame) -> None:
+        """Merge the best of a level (``itemset, n, measures``)."""
+        seen = small_table(self.spark, self.schema, [self.root, *self.rows]).unionByName(level.select(*self.schema.names))
+        score = with_outcome_divergence(_shaped(seen, self.schema.names[2:], self.total), keep_sums=True) if (
+            self.metric == "d_outcome"
+        ) else with_divergence(_shaped(seen, self.schema.names[2:], self.total), [self.metric], significance=False)
+        best = top_k(score, self.metric, self.k).where("length > 0").collect()
+        self.rows = [(r["itemset"], r["support_count"], *[r[m] for m in self.schema.names[2:]]) for r in best]
+        values = [r[self.metric] for r in best if r[self.metric] is not None]
+        if len(values) == self.k:
+            self.threshold = min(values) - 1e-9 * max(1.0, abs(min(values)))
+
+    def may_lead(self) -> Column:
+        """Over ``n`` and the measures: may a superset be among the best."""
+        if self._bound is None or self.threshold is None:
+            return F.lit(True)
+        return self._bound >= F.lit(self.threshold)
+
+    def items(self, names: list[str]) -> list[int]:
+        """Ids of the items that may be part of a better itemset."""
+        return [i + 1 for i, x in enumerate(names) if self.threshold is None or self.of_item[x] >= self.threshold]
+
+    def result(self) -> DataFrame:
+        return small_table(self.spark, self.schema, [self.root, *self.rows])
+
+
+def _level_wise(compressed, codes, items, measures, frequent_enough, max_len, best=None):
     """Grow itemsets by one item per level.
 
     The state is ``(ids, tail)``: an itemset and the items that may still extend
     it in the rows it covers.  Rows with the same pair are summed, so the state
-    shrinks as tails get shorter.
+    shrinks as tails get shorter.  With ``best`` only itemsets and items that may
+    lead to one of the best are extended, and only those are returned.
     """
     last_of_attr = int_literals(items.last_of_attr)
     sums = ["n", *measures]
@@ -272,9 +321,16 @@ def _level_wise(compressed, codes, items, measures, frequent_enough, max_len):
             "ids", F.filter("tail", lambda x: x > F.col("bound")).alias("tail"), *sums
         ).where(F.size("tail") > 0)
 
+    def promising(tail):
+        if best is None:
+            return tail
+        ids = best.items(items.names)
+        return tail if len(ids) == len(items.names) else F.array_intersect(tail, int_literals(ids) if ids else empty)
+
     empty = F.array().cast("array<int>")
+    names = string_literals(items.names)
     longest = items.longest if max_len is None else min(max_len, items.longest)
-    tail = F.array_sort(F.concat(*[F.coalesce(F.col(c), empty) for c in codes]))
+    tail = promising(F.array_sort(F.concat(*[F.coalesce(F.col(c), empty) for c in codes])))
     start = compressed.select(empty.alias("ids"), tail.alias("tail"), *sums)
     state = materialize(
         shorten(extended(start)).groupBy("ids", "tail").agg(*_resum(measures)), "state"
@@ -287,7 +343,12 @@ def _level_wise(compressed, codes, items, measures, frequent_enough, max_len):
         )
         if level.isEmpty():
             break
-        grown.append(level)
+        if best is None:
+            grown.append(level)
+        else:
+            best.see(level.withColumn("itemset", _decoded(names)))
+            candidates = candidates.withColumn("tail", promising(F.col("tail")))
+            level = level.where(best.may_lead())
         if length == longest:
             break
         state = materialize(
@@ -300,6 +361,22 @@ def _level_wise(compressed, codes, items, measures, frequent_enough, max_len):
     return grown
 
 
+def _decoded(names: Column) -> Column:
+    return F.array_sort(F.transform("ids", lambda i: F.element_at(names, i)))
+
+
+def _shaped(found: DataFrame, measures: list[str], total: int) -> DataFrame:
+    """``itemset, key, length, support, support_count, measures`` of ``itemset, n, measures``."""
+    return found.select(
+        "itemset",
+        F.array_join("itemset", ", ").alias("key"),
+        F.size("itemset").alias("length"),
+        (F.col("n") / F.lit(float(total))).alias("support"),
+        F.col("n").alias("support_count"),
+        *measures,
+    )
+
+
 def mine(
     df: DataFrame,
     attributes: list[str],
@@ -322,6 +399,37 @@ def mine(
     Output: ``itemset, key, length, support, support_count, measures``.  The row
     of the empty itemset is the whole table and is always present.
     """
+    return _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method)
+
+
+def mine_top_k(
+    df: DataFrame,
+    attributes: list[str],
+    measures: list[str],
+    min_support: float,
+    metric: str,
+    k: int,
+    *,
+    closure: DataFrame | None = None,
+    keep: DataFrame | None = None,
+    max_len: int | None = None,
+    overlap: bool = False,
+    method: str = "auto",
+) -> DataFrame:
+    """What ``top_k`` keeps of the itemsets with their metric, without mining them all.
+
+    While itemsets grow, the k-th best so far is compared with a bound of the metric
+    over every superset that is still frequent; what cannot reach it is not extended.
+    ``metric`` is a divergence over the cells, or ``d_outcome`` with measures ``y, y2``;
+    metrics without a bound are mined whole.  Output as :func:`mine`.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
+    _check_k(metric, k)
+    return _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, (metric, k))
+
+
+def _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, ranking=None):
     _check(attributes, min_support, method, overlap)
     spark = df.sparkSession
     df = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
@@ -344,6 +452,7 @@ def mine(
         + [([name], r["n"], *[r[m] for m in measures]) for name, r in zip(items.names, items.rows)],
     )
     found = [singles]
+    best = _Best(*ranking, min_support, singles, schema, total) if ranking else None
     if items.longest > 1 and max_len != 1:
         ancestors = _ancestor_counts(closure)
         compressed, codes = _encode(rows, items, chains, set(ancestors), measures)
@@ -357,21 +466,16 @@ def mine(
         if method == "single_pass":
             longer = [_single_pass(compressed, codes, items, measures, frequent_enough, max_len)]
         else:
-            longer = _level_wise(compressed, codes, items, measures, frequent_enough, max_len)
+            longer = _level_wise(compressed, codes, items, measures, frequent_enough, max_len, best)
         for level in longer:
-            decoded = F.array_sort(F.transform("ids", lambda i: F.element_at(names, i)))
             found.append(
-                level.where(F.size("ids") > 1).select(decoded.alias("itemset"), "n", *measures)
+                level.where(F.size("ids") > 1).select(_decoded(names).alias("itemset"), "n", *measures)
             )
-    result = reduce(DataFrame.unionByName, found).select(
-        "itemset",
-        F.array_join("itemset", ", ").alias("key"),
-        F.size("itemset").alias("length"),
-        (F.col("n") / F.lit(float(total))).alias("support"),
-        F.col("n").alias("support_count"),
-        *measures,
-    )
-    return materialize(result, "itemsets")
+            if best is not None:
+                best.see(found[-1])
+    if best is not None:
+        return _shaped(best.result(), measures, total)
+    return materialize(_shaped(reduce(DataFrame.unionByName, found), measures, total), "itemsets")
 
 
 def _ancestor_counts(closure: DataFrame | None) -> dict[str, int]:
@@ -382,12 +486,16 @@ def _ancestor_counts(closure: DataFrame | None) -> dict[str, int]:
     return {r["attr"]: r["n"] for r in per_leaf.groupBy("attr").agg(F.max("n").alias("n")).collect()}
 
 
-def top_k(itemsets: DataFrame, metric: str, k: int) -> DataFrame:
-    """The k itemsets with the highest metric, plus the whole-table row."""
+def _check_k(metric: str, k: int) -> None:
     if not isinstance(metric, str):
         raise ValueError(f"metric must be a column name, got {metric!r}")
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError(f"k must be a positive integer, got {k!r}")
+
+
+def top_k(itemsets: DataFrame, metric: str, k: int) -> DataFrame:
+    """The k itemsets with the highest metric, plus the whole-table row."""
+    _check_k(metric, k)
     best = (
         itemsets.where(F.col("length") > 0)
         .orderBy(F.col(metric).desc_nulls_last(), F.col("support").desc(), "length", "key")

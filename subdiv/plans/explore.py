@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subdiv.functions.cells import check_target, with_cells, with_outcome
-from subdiv.functions.metrics import CELLS, with_divergence, with_outcome_divergence
+from subdiv.functions.metrics import CELLS, METRICS, with_divergence, with_outcome_divergence
 from subdiv.operators import items as item_ops
 from subdiv.operators import taxonomy
-from subdiv.operators.mine import admit, mine, top_k
+from subdiv.operators.mine import admit, mine, mine_top_k, top_k
 from subdiv.operators.prepare import bin_columns
 from subdiv.operators.select import not_redundant, ranked
 from subdiv.operators.tree import grow, grow_each
@@ -46,20 +46,22 @@ def explore(
     """
     if method not in ("auto", "single_pass", "level_wise"):
         raise ValueError(f"unknown method {method!r}")
-    if check_target(true, predicted, outcome) == "outcome":
-        scored = mine(
-            with_outcome(df, outcome), attributes, ["y", "y2"], min_support,
-            closure=closure, keep=keep, max_len=max_len, overlap=overlap, method=method,
-        )
-        scored = with_outcome_divergence(scored)
+    target = check_target(true, predicted, outcome)
+    options = dict(closure=closure, keep=keep, max_len=max_len, overlap=overlap, method=method)
+    ranking = k_metric or metrics[0]
+
+    def found(rows, measures, known):
+        if k is not None and ranking in known:
+            return mine_top_k(rows, attributes, measures, min_support, ranking, k, **options)
+        return mine(rows, attributes, measures, min_support, **options)
+
+    if target == "outcome":
+        scored = with_outcome_divergence(found(with_outcome(df, outcome), ["y", "y2"], ["d_outcome"]))
     else:
-        found = mine(
-            with_cells(df, true, predicted, classes), attributes, CELLS, min_support,
-            closure=closure, keep=keep, max_len=max_len, overlap=overlap, method=method,
-        )
-        scored = with_divergence(found, metrics)
+        cells = [m for m in METRICS if m in metrics and m != "d_outcome"]
+        scored = with_divergence(found(with_cells(df, true, predicted, classes), CELLS, cells), metrics)
     if k is not None:
-        scored = top_k(scored, k_metric or metrics[0], k)
+        scored = top_k(scored, ranking, k)
     return scored.withColumn(mark, F.lit(True)) if mark else scored
 
 

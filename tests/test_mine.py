@@ -3,10 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from subdiv.functions.metrics import CELLS, with_divergence
+from subdiv.functions.cells import with_outcome
+from subdiv.functions.metrics import CELLS, with_divergence, with_outcome_divergence
 from subdiv.operators import items as I
 from subdiv.operators import taxonomy as X
-from subdiv.operators.mine import mine, top_k
+from subdiv.operators.mine import mine, mine_top_k, top_k
 from subdiv.session import materialize, shared_dir
 from tests import brute
 
@@ -146,3 +147,45 @@ def test_one_hot_validation(spark):
     arrays, attrs = I.from_one_hot(good, ["a=x", "a=y"])
     assert attrs == ["a"]
     assert [r["a"] for r in arrays.collect()] == [["x"], ["y"], ["x", "y"]]
+
+
+def test_top_k_while_mining_equals_top_k_of_all(spark):
+    df = spark.createDataFrame(table(), SCHEMA)
+    everything = mine(df, list("abcd"), CELLS, 0.05)
+    settings = [("d_fpr", 4, "level_wise"), ("d_fnr_abs", 1, "level_wise"), ("FPsf", 4, "level_wise"), ("d_error", 900, "single_pass")]
+    for metric, k, method in settings:
+        expected = top_k(with_divergence(everything, [metric]), metric, k)
+        assert as_dict(mine_top_k(df, list("abcd"), CELLS, 0.05, metric, k, method=method)) == as_dict(expected)
+
+
+def test_top_k_of_an_outcome_counts_fewer_candidates(spark, monkeypatch):
+    import subdiv.operators.mine as module
+
+    rng = random.Random(5)
+    rows = [tuple(rng.choice("pqrs") for _ in range(5)) for _ in range(600)]
+    rows = [(*r, (40.0 if r[:3] == ("p", "q", "r") else 0.0) + rng.random()) for r in rows]
+    df = with_outcome(spark.createDataFrame(rows, "a string, b string, c string, d string, e string, v double"), "v")
+    counted, write = [], module.materialize
+
+    def counting(frame, name, *rest):
+        out = write(frame, name, *rest)
+        if name.startswith("level"):
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", counting)
+    found = mine_top_k(df, list("abcde"), ["y", "y2"], 0.005, "d_outcome", 5, method="level_wise")
+    few, counted[:] = sum(counted), []
+    everything = mine(df, list("abcde"), ["y", "y2"], 0.005, method="level_wise")
+    best = top_k(with_outcome_divergence(everything), "d_outcome", 5)
+    assert {r["key"] for r in found.collect()} == {r["key"] for r in best.collect()}
+    assert few < sum(counted) / 2
+
+
+def test_top_k_of_overlapping_items_and_a_taxonomy(spark):
+    df = spark.createDataFrame(table(), SCHEMA).withColumn("b", F.array("b", F.concat(F.lit("x"), F.col("c"))))
+    found = mine_top_k(df, list("abd"), CELLS, 0.05, "d_error", 6, overlap=True)
+    expected = top_k(with_divergence(mine(df, list("abd"), CELLS, 0.05, overlap=True), ["d_error"]), "d_error", 6)
+    assert as_dict(found) == as_dict(expected)
+    with pytest.raises(ValueError):
+        mine_top_k(df, list("abd"), CELLS, 0.05, "d_nothing", 6, overlap=True)
