@@ -315,15 +315,49 @@ def prp18(spark, d):
     )
 
 
+_FEATURES = ["lang", "source", "n_chars"]
+
+
+def _labelled(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", *_FEATURES), "doc_id")
+
+
 @query("prp19_out_of_fold_predictions")
 def prp19(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
-    scored = P.out_of_fold(rows, "quality", ["lang", "source", "n_chars"], "doc_id", folds=3, trees=10)
+    scored = P.out_of_fold(_labelled(spark, d), "quality", _FEATURES, "doc_id", folds=10, trees=100)
     return with_cells(scored, "quality", "predicted", {"N": 0, "P": 1}).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CELLS]
     )
 
 
+@query(
+    "prp19_stratified_folds",
+    """SELECT doc_id, quality, ((row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':42'), doc_id) - 1) % 10)::INT AS fold
+FROM labels JOIN documents USING (doc_id)""",
+)
+def prp19_folds(spark, d):
+    return P.folds_of(_labelled(spark, d), "quality", "doc_id").select("doc_id", "quality", "fold")
+
+
+_SQL_HELD_OUT = """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) AS place, count(*) OVER () AS n
+FROM labels JOIN documents USING (doc_id))"""
+
+
+@query("prp19_held_out_rows", f"{_SQL_HELD_OUT} SELECT doc_id, TRUE AS scored FROM r WHERE place <= ceil(n * 0.3::DOUBLE)")
+def prp19_test(spark, d):
+    """Rows that a forest scores in the mode ``test``: three tenths of the table."""
+    scored = P.out_of_fold(_labelled(spark, d), "quality", _FEATURES, "doc_id", trees=20, validation="test", probability="share")
+    right = F.col("predicted").isin(0, 1) & F.col("share").between(0.0, 1.0)
+    return scored.select("doc_id", right.alias("scored"))
+
+
+@query("prp19_learned_rows", "SELECT doc_id, TRUE AS scored FROM labels JOIN documents USING (doc_id)")
+def prp19_all(spark, d):
+    """Rows that a forest scores in the mode ``all``: those it learned from."""
+    scored = P.out_of_fold(_labelled(spark, d), "quality", _FEATURES, "doc_id", trees=20, validation="all", probability="share")
+    return scored.select("doc_id", (F.col("predicted").isin(0, 1) & F.col("share").between(0.0, 1.0)).alias("scored"))
+
+
 # ------------------------------------------------------------------ targets
 
 

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subdiv.functions.values import attribute
 from subdiv.operators.histogram import order_statistics, range_blocks, value_histogram
-from subdiv.session import small_table
+from subdiv.session import materialize, small_table
 
 # ------------------------------------------------------------------ recodes
 
@@ -359,6 +359,54 @@ def profile(df: DataFrame, name: str, targets: list[str]) -> DataFrame:
 # ------------------------------------------------------ out-of-fold scoring
 
 
+def fold_ranks(df: DataFrame, id_column: str, label: str | None = None, seed: int = 42) -> DataFrame:
+    """Add ``_rank`` and ``_of``: a row's place from 0 in a shuffled order of its label, and their number.
+
+    The order is that of the MD5 hash of id and seed, then the id.  Rows are ranged by
+    label and hash, numbered inside a range and shifted by the counts of earlier ranges, so
+    a label that most rows have is not one task.  Without ``label`` the whole table is
+    one group; a NULL label is a group of its own.
+    """
+    key = F.col(f"`{label}`").cast("string") if label else F.lit("")
+    shuffled = F.md5(F.concat_ws(":", F.col(f"`{id_column}`").cast("string"), F.lit(str(seed))))
+    order = ["_hash", f"`{id_column}`"]
+    ranged = materialize(
+        df.withColumns({"_group": key, "_hash": shuffled})
+        .repartitionByRange("_group", *order)
+        .withColumn("_block", F.spark_partition_id()),
+        "folds",
+    )
+    counts = ranged.groupBy(F.col("_group").alias("_g"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = Window.partitionBy("_g").orderBy("_b")
+    offsets = counts.select(
+        "_g", "_b",
+        (F.sum("_n").over(blocks) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(Window.partitionBy("_g")).alias("_of"),
+    )
+    inside = Window.partitionBy("_group", "_block").orderBy(*order)
+    return (
+        ranged.withColumn("_place", F.row_number().over(inside))
+        .join(offsets, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
+        .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place") - 1).alias("_rank"), "_of")
+    )
+
+
+def folds_of(df: DataFrame, label: str, id_column: str, folds: int = 10, seed: int = 42, stratified: bool = True) -> DataFrame:
+    """Add ``fold``, 0 to ``folds - 1``; sizes differ by one at most, per label if ``stratified``."""
+    if folds < 2:
+        raise ValueError(f"folds must be at least 2, got {folds}")
+    ranked = fold_ranks(df, id_column, label if stratified else None, seed)
+    return ranked.withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_rank", "_of")
+
+
+def held_out(df: DataFrame, id_column: str, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """Add ``held_out``: true for the share of the rows, rounded up, that is for testing."""
+    if not 0 < share < 1:
+        raise ValueError(f"share must lie between 0 and 1, got {share}")
+    ranked = fold_ranks(df, id_column, None, seed)
+    return ranked.withColumn("held_out", F.col("_rank") < F.ceil(F.col("_of") * F.lit(share))).drop("_rank", "_of")
+
+
 def out_of_fold(
     df: DataFrame,
     label: str,
@@ -367,41 +415,61 @@ def out_of_fold(
     folds: int = 10,
     trees: int = 100,
     seed: int = 42,
+    validation: str = "cv",
+    stratified: bool = True,
+    test_share: float = 0.3,
+    probability: str | None = None,
 ) -> DataFrame:
-    """Add ``predicted``: each row is scored by a random forest that did not see it.
-
-    Folds come from a hash of label and id, so they are balanced per label and
-    need no sort.  Text features are indexed.
+    """Add ``predicted``, the label that a random forest gives to each row.
+
+    ``validation="cv"`` scores every row by a forest that did not see its fold (exact
+    folds, per label if ``stratified``), ``"test"`` learns from the rest and returns only
+    the held-out share of the rows, ``"all"`` learns from and scores every row.
+    Text features become a hash number, so no list of categories is kept anywhere; a
+    missing feature is -1.  More than 100 labels raise.  Rows without a label are scored but not learned from.
+    ``probability`` names a column for the share of the last label in sorted order.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-
-    text = [c for c in features if not isinstance(df.schema[c].dataType, T.NumericType)]
-    row_hash = F.xxhash64(F.col(f"`{label}`").cast("string"), F.col(f"`{id_column}`"), F.lit(seed))
-    data = df.withColumn("_fold", F.pmod(row_hash, F.lit(folds)).cast("int"))
-    data = data.withColumns({f"_txt_{c}": F.col(f"`{c}`").cast("string") for c in text})
-    data = data.withColumn("_label", F.col(f"`{label}`").cast("string"))
-    label_index = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(data)
-    indexers = [
-        StringIndexer(inputCol=f"_txt_{c}", outputCol=f"_idx_{c}", stringOrderType="alphabetAsc").fit(data)
-        for c in text
-    ]
-    widest = max([len(m.labels) for m in indexers] or [2])
-    numbers = [c for c in features if c not in text]
-    assembler = VectorAssembler(inputCols=numbers + [f"_idx_{c}" for c in text], outputCol="_features")
-    ready = Pipeline(stages=[label_index, *indexers, assembler]).fit(data).transform(data)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    if validation not in ("cv", "test", "all"):
+        raise ValueError(f"unknown validation {validation!r}")
+    kind = df.schema[label].dataType
+    found = [r["y"] for r in df.select(F.col(f"`{label}`").cast("string").alias("y")).where("y is not null").distinct().sort("y").limit(101).collect()]
+    if not 2 <= len(found) <= 100:
+        raise ValueError(f"a forest needs 2 to 100 labels, found {len(found)}{' or more' if len(found) > 100 else ''}")
+    if validation == "cv":
+        data = folds_of(df, label, id_column, folds, seed, stratified).withColumnRenamed("fold", "_fold")
+    elif validation == "test":
+        data = held_out(df, id_column, test_share, seed).withColumn("_fold", F.when(F.col("held_out"), 0).otherwise(1)).drop("held_out")
+    else:
+        data = df.withColumn("_fold", F.lit(0))
+
+    def number(name):
+        column = F.col(f"`{name}`")
+        if not isinstance(df.schema[name].dataType, T.NumericType):
+            column = F.when(column.isNotNull(), F.shiftrightunsigned(F.xxhash64(column.cast("string")), 12))
+        return F.coalesce(F.nanvl(column.cast("double"), F.lit(None)), F.lit(-1.0))
+
+    named = {f"_x{i}": number(c) for i, c in enumerate(features)}
+    place = F.array_position(F.array(*[F.lit(y) for y in found]), F.col(f"`{label}`").cast("string")) - 1
+    data = data.withColumns({**named, "_y": place.cast("double")})
+    # every forest reads this table, not its source
+    ready = materialize(VectorAssembler(inputCols=list(named), outputCol="_features").transform(data).drop(*named), "features")
     parts = []
-    for k in range(folds):
-        forest = RandomForestClassifier(
-            labelCol="_y", featuresCol="_features", predictionCol="_p", numTrees=trees, seed=seed,
-            maxBins=max(32, widest),
-        )
-        model = forest.fit(ready.where(F.col("_fold") != k))
-        scored = model.transform(ready.where(F.col("_fold") == k))
-        parts.append(IndexToString(inputCol="_p", outputCol="predicted", labels=label_index.labels).transform(scored))
-    out = stack(*[p.select(*[F.col(f"`{c}`") for c in df.columns], "predicted") for p in parts])
-    return out.withColumn("predicted", F.col("predicted").cast(df.schema[label].dataType))
+    for part in range(folds) if validation == "cv" else [0]:
+        forest = RandomForestClassifier(labelCol="_y", featuresCol="_features", predictionCol="_p", numTrees=trees, seed=seed)
+        learn = ready if validation == "all" else ready.where(F.col("_fold") != part)
+        model = forest.fit(learn.where(F.col("_y").isNotNull()))
+        parts.append(model.transform(ready.where(F.col("_fold") == part)))
+    named_label = F.element_at(F.array(*[F.lit(y) for y in found]), (F.col("_p") + 1).cast("int")).cast(kind)
+    columns = [F.col(f"`{c}`") for c in df.columns] + [named_label.alias("predicted")]
+    if probability:
+        shares = vector_to_array(F.col("probability"))
+        # a fold may lack the last label, and its forest then has fewer shares
+        columns.append(F.coalesce(F.get(shares, F.lit(len(found) - 1)), F.lit(0.0)).alias(probability))
+    return stack(*[p.select(*columns) for p in parts])
 
 
 def effect_size(df: DataFrame, slice_column: str, value: str) -> DataFrame:

@@ -202,3 +202,34 @@ def test_itemset_files_keep_commas(spark, tmp_path):
     df = spark.createDataFrame([(["a=x, y", "b=1"], 2)], "itemset array<string>, length int")
     S.write_itemsets(df, str(tmp_path / "its"))
     assert S.read_itemsets(spark, str(tmp_path / "its")).first()["itemset"] == ["a=x, y", "b=1"]
+
+
+def test_folds_are_exact_per_label(spark):
+    rows = [(i, "hot" if i % 10 else ("rare" if i % 20 else None)) for i in range(1003)]
+    df = spark.createDataFrame(rows, "id int, y string").repartition(5)
+    out = P.folds_of(df, "y", "id", 7)
+    sizes = out.groupBy("y", "fold").count().collect()
+    for label in ("hot", "rare", None):
+        own = [r["count"] for r in sizes if r["y"] == label]
+        assert len(own) == 7 and max(own) - min(own) <= 1
+    plain = [r["count"] for r in P.folds_of(df, "y", "id", 7, stratified=False).groupBy("fold").count().collect()]
+    assert sum(plain) == 1003 and max(plain) - min(plain) <= 1
+    assert sorted(map(tuple, out.select("id", "fold").collect())) == sorted(map(tuple, P.folds_of(df, "y", "id", 7).select("id", "fold").collect()))
+    assert P.held_out(df, "id", 0.3).where("held_out").count() == 301
+    assert P.folds_of(df.limit(0), "y", "id", 7).count() == 0
+    with pytest.raises(ValueError):
+        P.folds_of(df, "y", "id", 1)
+
+
+def test_out_of_fold_modes(spark):
+    rows = [(i, "u" if i % 2 else None, float(i % 7), "yes" if i % 2 and i % 7 > 1 else "no") for i in range(80)]
+    df = spark.createDataFrame(rows + [(80, "u", None, None)], "id int, t string, x double, y string")
+    tested = P.out_of_fold(df, "y", ["t", "x"], "id", trees=5, validation="test", probability="share")
+    assert tested.count() == 25 and tested.columns == ["id", "t", "x", "y", "predicted", "share"]
+    learned = P.out_of_fold(df, "y", ["t", "x"], "id", trees=5, validation="all", probability="share")
+    assert learned.count() == 81 and learned.where("(share > 0.5) = (predicted = 'yes')").count() == 81
+    assert learned.where("predicted = y").count() > 70
+    with pytest.raises(ValueError):
+        P.out_of_fold(df, "y", ["t", "x"], "id", validation="half")
+    with pytest.raises(ValueError):
+        P.out_of_fold(df.limit(0), "y", ["t", "x"], "id")
