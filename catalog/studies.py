@@ -16,6 +16,7 @@ from subdiv.functions.metrics import CELLS
 from subdiv.operators.items import keep_table
 from subdiv.operators.mine import mine
 from subdiv.operators.prepare import bin_columns
+from subdiv.operators.taxonomy import edges_from_dict
 from subdiv.operators.tree import grow, grow_each
 from subdiv.plans import explore as E
 from subdiv.sources import tables as S
@@ -59,6 +60,79 @@ def e2e5(spark, d):
     return _sweep(spark, d).select("min_sup", "generalized", "pruned", "stat", r9("value").alias("value"))
 
 
+def _sql_runs(source, chains, tail):
+    """Itemsets of ``acc`` and ``seg`` of a CTE ``x`` with divergences in ``dv``."""
+    return f"""it AS (SELECT {chains}, count(DISTINCT o_orderkey) AS n, sum(tn) tn, sum(fp) fp, sum(fn) fn, sum(tp) tp FROM {source} GROUP BY ALL),
+dv AS (SELECT i.*, i.n::DOUBLE / r.n AS support, {sql_rate('fpr', 'i.')} - {sql_rate('fpr', 'r.')} AS dv
+  FROM it i, (SELECT * FROM it WHERE acc IS NULL AND s IS NULL) r) {tail}"""
+
+
+_GAINS, _TOPS, _TREE_SUPPORT = [None, 0.004, 0.006], [None, 3], 0.1
+
+
+def _sql_gain_sweep():
+    runs = []
+    for gain in _GAINS:
+        for general in (False, True):
+            leaf = "" if general else "AND NOT EXISTS (SELECT 1 FROM nodes m WHERE m.path = n.path || 'L')"
+            picks = " UNION ALL ".join(
+                f"""SELECT {'NULL' if gain is None else gain}::DOUBLE AS minimal_gain, {'NULL' if top is None else top}::INT AS top_k, {m}::DOUBLE AS min_sup, {general} AS generalized,
+  {'count(*)' if top is None else f'least(count(*) - 1, {top}) + 1'}::DOUBLE AS itemsets, max(dv) AS mx FROM dv WHERE support >= {m}"""
+                for m in _SUPPORTS for top in _TOPS
+            )
+            runs.append(
+                f"""SELECT * FROM (WITH {SQL_ORDERS}, {sql_tree('ord', ['acctbal'], 'd_fpr', _TREE_SUPPORT, 9, minimal_gain=gain)},
+ranges AS (SELECT path, lo, hi FROM nodes n WHERE depth > 0 {leaf}),
+w AS (SELECT o.*, r.path AS acc FROM ord o JOIN ranges r ON (lo IS NULL OR acctbal >= lo) AND (hi IS NULL OR acctbal <= hi)
+  UNION ALL SELECT o.*, NULL FROM ord o),
+x AS (SELECT w.*, u.s FROM w, unnest([seg, NULL]) u(s)), {_sql_runs('x', 'acc, s', picks)})"""
+            )
+    return " UNION ALL ".join(runs)
+
+
+@query(
+    "e2e5_gain_and_top_k_sweep",
+    f"""WITH runs AS ({_sql_gain_sweep()}) SELECT minimal_gain, top_k, min_sup, generalized, 'itemsets' AS stat, itemsets AS value FROM runs
+UNION ALL SELECT minimal_gain, top_k, min_sup, generalized, 'max_divergence', {q9('mx')} FROM runs""",
+)
+def e2e5_gains(spark, d):
+    """One forest and one mining for all supports, minimal gains and k."""
+    rows = orders_cls(spark, d)
+    trees, ranges, edges = E.tree_hierarchy(rows, ["acctbal"], "d_fpr", _TREE_SUPPORT)
+    stats = E.sweep(
+        rows, ["acctbal", "seg"], ranges, edges, _SUPPORTS, "d_fpr",
+        trees=trees, gains=_GAINS, k=_TOPS, min_sup_tree=_TREE_SUPPORT, **_ROLES,
+    )
+    return stats.select("minimal_gain", "top_k", "min_sup", "generalized", "stat", r9("value").alias("value"))
+
+
+def _sql_raw_parents():
+    runs = []
+    for general in (False, True):
+        ups = "CASE WHEN seg = 'FURNITURE' THEN 'BUILDING' END" if general else "NULL"
+        picks = " UNION ALL ".join(
+            f"SELECT {m}::DOUBLE AS min_sup, {general} AS generalized, count(*)::DOUBLE AS itemsets, max(dv) AS mx FROM dv WHERE support >= {m}"
+            for m in _SUPPORTS
+        )
+        runs.append(
+            f"""SELECT * FROM (WITH {SQL_ORDERS}, x AS (SELECT DISTINCT o.* EXCLUDE (seg), u.s, v.acc FROM ord o, unnest([seg, {ups}, NULL]) u(s), unnest([prio, NULL]) v(acc)),
+{_sql_runs('x', 'acc, s', picks)})"""
+        )
+    return " UNION ALL ".join(runs)
+
+
+@query(
+    "e2e5_sweep_with_raw_parents",
+    f"""WITH runs AS ({_sql_raw_parents()}) SELECT min_sup, generalized, 'itemsets' AS stat, itemsets AS value FROM runs
+UNION ALL SELECT min_sup, generalized, 'max_divergence', {q9('mx')} FROM runs""",
+)
+def e2e5_raw(spark, d):
+    """A segment that customers have and that stands above another: base runs count its own rows only."""
+    edges = edges_from_dict(spark, {"seg": {"FURNITURE": "BUILDING"}})
+    stats = E.sweep(orders_cls(spark, d), ["seg", "prio"], {}, edges, _SUPPORTS, "d_fpr", **_ROLES)
+    return stats.select("min_sup", "generalized", "stat", r9("value").alias("value"))
+
+
 @query("snk3_statistics_json", f"{_sql_sweep()} SELECT min_sup, generalized, pruned, stat, {q9('value')} AS value FROM stats")
 def snk3(spark, d):
     path = scratch(spark, "statistics")

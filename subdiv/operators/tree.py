@@ -690,6 +690,25 @@ class Trees:
             .distinct()
         )
 
+    def stop_gains(self) -> DataFrame:
+        """Ranges of separate trees ``(attr, item, above, own)``.
+
+        ``above`` is the smallest gain of the cuts that lead to a range, ``own`` that of
+        the range's own cut, NULL for leaves.  A tree of ``minimal_gain=g`` has the
+        ranges with ``above > g``; its leaves are those whose ``own`` is not above g.
+        """
+        rows = []
+        for nd in self._nodes:
+            if nd.attr is None:
+                continue
+            above, cur = float("inf"), nd
+            while cur.parent is not None:
+                cur = self._by_id[cur.parent]
+                above = min(above, float(cur.gain))
+            rows.append((nd.attr, item_name(nd.path, nd.attr, False), above, None if nd.is_leaf else float(nd.gain)))
+        schema = pa.schema([("attr", pa.string()), ("item", pa.string()), ("above", pa.float64()), ("own", pa.float64())])
+        return small_table(self._spark, schema, rows)
+
     def discretization_table(self, mode: str = "hierarchy_leaves", open_lower: bool = False) -> DataFrame:
         """Ranges ``(attr, item, rels, vals, lo, hi, min, max)``; open ends take the column's min or max.
 

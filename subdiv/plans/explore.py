@@ -16,7 +16,7 @@ from subdiv.operators import taxonomy
 from subdiv.operators.mine import admit, mine, mine_top_k, top_k
 from subdiv.operators.prepare import bin_columns
 from subdiv.operators.select import not_redundant, ranked
-from subdiv.operators.tree import grow, grow_each
+from subdiv.operators.tree import Trees, grow, grow_each
 from subdiv.session import materialize, small_table
 
 
@@ -113,6 +113,10 @@ def tree_hierarchy(df: DataFrame, continuous: list[str], metric: str, min_suppor
     return trees, trees.discretizations(attributes=continuous), trees.generalization()
 
 
+#: ends the extra item of a value that occurs in rows and also stands above other values
+_RAW = "\u0002raw"
+
+
 def sweep(
     df: DataFrame,
     attributes: list[str],
@@ -122,84 +126,113 @@ def sweep(
     metric: str,
     *,
     keep: DataFrame | None = None,
-    k: int | None = None,
+    k: int | list[int | None] | None = None,
+    trees: Trees | None = None,
+    gains: list[float | None] | None = None,
     dataset: str = "",
     criterion: str = "divergence_criterion",
     min_sup_tree: float | None = None,
+    continuous_only: list[str] | None = None,
     **options,
 ) -> DataFrame:
-    """Number of itemsets and highest divergence per support, base and generalized, pruned and not.
+    """Number of itemsets and highest divergence per support, gain and k; base and generalized, pruned and not.
 
-    The support of an itemset depends on none of these settings, so the table is
-    mined once at the lowest support; every other run is a filter on it.
+    The rows of an itemset depend on none of these settings, so the table is mined
+    once at the lowest support; every other run is a filter on it, and one pass
+    answers all.  A value that occurs in rows and is also a parent has two items, one
+    of its own rows for base runs and one with all below it for generalized runs.
+
+    ``gains`` needs the separate ``trees`` that gave the ranges, grown without a
+    minimal gain: a tree of a higher gain is a prefix of them, so its ranges are those
+    whose cuts above all gain more, and its leaves those of them not cut any further.
     """
-    mined = explore_hierarchical(df, attributes, discretizations, edges, min(supports), [metric], **options)
-    # an item is general when some other value lies below it
-    parents = taxonomy.closure(edges).select("attr", "item").distinct()
-    flagged = mined.join(_marks(mined, parents, keep), "key", "left").withColumns(
-        {"general": F.coalesce("general", F.lit(False)), "not_kept": F.coalesce("not_kept", F.lit(False))}
+    if gains is not None and trees is None:
+        raise ValueError("gains need the trees of the ranges")
+    if continuous_only is not None:
+        edges = taxonomy.only_attributes(edges, continuous_only)
+    closed = materialize(taxonomy.closure(edges), "closure")
+    parents = closed.where(F.col("leaf") != F.col("item")).select("attr", "item").distinct()
+    own = parents.select("attr", F.col("item").alias("leaf"), F.concat("item", F.lit(_RAW)).alias("item"))
+    mined = explore(
+        item_ops.discretize_ranges(df, discretizations), attributes, min(supports), [metric],
+        closure=closed.select("attr", "leaf", "item").unionByName(own), **options,
     )
+    flagged = mined.join(_marks(mined, parents, keep, trees), "key", "left")
+    ks = k if isinstance(k, list) else [k]
     settings = [
-        (generalized, pruned, support)
+        (generalized, pruned, support, gain)
         for generalized in (False, True)
         for pruned in ((False, True) if keep is not None else (False,))
         for support in supports
+        for gain in (gains or [None])
     ]
 
-    def included(generalized, pruned, support):
-        test = (F.col("support") >= support) | (F.col("length") == 0)
-        if not generalized:
-            test = test & ~F.col("general")
-        return test & ~F.col("not_kept") if pruned else test
-
-    if k is None:
-        # every setting is a condition, so one pass answers all of them
-        aggs = []
-        for i, setting in enumerate(settings):
-            test = included(*setting)
-            aggs += [F.count_if(test).alias(f"n{i}"), F.max(F.when(test, F.col(metric))).alias(f"m{i}")]
-        counted = flagged.agg(*aggs)
-        cells = [
-            F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"))
-            for i in range(len(settings))
-        ]
-        runs = counted.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-    else:
-        flagged = materialize(flagged, "flagged")
-        runs = reduce(
-            DataFrame.unionByName,
-            [
-                top_k(flagged.where(included(*setting)), metric, k).agg(
-                    F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), F.max(metric).alias("m")
-                )
-                for i, setting in enumerate(settings)
-            ],
-        )
+    def included(generalized, pruned, support, gain):
+        least = F.lit(float("-inf") if gain is None else float(gain))
+        test = (F.col("support") >= support) & F.coalesce(F.col("above") > least, F.lit(True))
+        if generalized:
+            test = test & ~F.coalesce("raw", F.lit(False))
+        else:
+            test = test & F.coalesce(F.col("below") <= least, F.lit(True))
+        if pruned:
+            test = test & ~F.coalesce("not_kept", F.lit(False))
+        return test | (F.col("length") == 0)
+
+    aggs = []
+    for i, setting in enumerate(settings):
+        test = included(*setting)
+        aggs += [F.count_if(test).alias(f"n{i}"), F.max(F.when(test, F.col(metric))).alias(f"m{i}")]
+    counted = flagged.agg(*aggs)
+
+    def run(i, top):
+        # the best k and the whole table; the highest value is among them
+        n = F.col(f"n{i}") if top is None else F.least(F.col(f"n{i}") - 1, F.lit(top)) + 1
+        return F.struct(F.lit(i).alias("i"), F.lit(top).cast("int").alias("top_k"), n.alias("n"), F.col(f"m{i}").alias("m"))
+
+    cells = [run(i, top) for i in range(len(settings)) for top in ks]
+    runs = counted.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
     described = small_table(
         df.sparkSession,
         pa.schema(
-            [("i", pa.int32()), ("generalized", pa.bool_()), ("pruned", pa.bool_()), ("min_sup", pa.float64())]
+            [("i", pa.int32()), ("generalized", pa.bool_()), ("pruned", pa.bool_()), ("min_sup", pa.float64()), ("minimal_gain", pa.float64())]
         ),
-        [(i, g, p, float(s)) for i, (g, p, s) in enumerate(settings)],
+        [(i, g, p, float(s), None if gain is None else float(gain)) for i, (g, p, s, gain) in enumerate(settings)],
     )
     return runs.join(described, "i").select(
         F.lit(dataset).alias("dataset"),
         F.lit(metric).alias("metric"),
         F.lit(criterion).alias("criterion"),
         F.lit(min_sup_tree).cast("double").alias("min_sup_tree"),
+        "minimal_gain",
         "min_sup",
         "generalized",
         "pruned",
-        F.lit(k).cast("int").alias("top_k"),
+        "top_k",
         F.expr("stack(2, 'itemsets', cast(n as double), 'max_divergence', m) as (stat, value)"),
     )
 
 
-def _marks(mined: DataFrame, parents: DataFrame, keep: DataFrame | None) -> DataFrame:
-    """Per itemset: does it hold a generalized item, does it hold a pruned one."""
-    single = mined.where("length > 0").select("key", F.explode("itemset").alias("item"))
-    names = parents.select(F.concat_ws("=", "attr", "item").alias("item")).withColumn("general", F.lit(True))
-    flagged = single.join(names, "item", "left")
+def _marks(mined: DataFrame, parents: DataFrame, keep: DataFrame | None, trees: Trees | None) -> DataFrame:
+    """Per itemset ``(key, raw, above, below, not_kept)``.
+
+    ``raw``: holds an item of a parent's own rows.  ``above``: smallest gain of the cuts
+    over its ranges, NULL without ranges.  ``below``: largest gain of the cuts of its
+    items, infinite for values with others below that no tree has cut.
+    """
+    single = mined.where("length > 0").select("key", F.explode("itemset").alias("name"))
+    single = single.select(
+        "key", F.col("name").endswith(F.lit(_RAW)).alias("raw"), F.replace("name", F.lit(_RAW), F.lit("")).alias("item")
+    )
+    name = F.concat_ws("=", "attr", "item").alias("item")
+    general = parents.select(name).withColumn("general", F.lit(True))
+    flagged = single.join(general, "item", "left")
+    if trees is not None:
+        flagged = flagged.join(trees.stop_gains().select(name, "above", "own", F.lit(True).alias("range")), "item", "left")
+    else:
+        none = F.lit(None).cast("double")
+        flagged = flagged.withColumns({"above": none, "own": none, "range": F.lit(None).cast("boolean")})
+    uncut = F.coalesce("raw", F.lit(False)) | F.col("general").isNull()
+    below = F.when(F.col("range"), F.col("own")).when(~uncut, F.lit(float("inf")))
     if keep is not None:
         pairs = single.select(
             F.substring_index("item", "=", 1).alias("attr"),
@@ -211,7 +244,9 @@ def _marks(mined: DataFrame, parents: DataFrame, keep: DataFrame | None) -> Data
     else:
         flagged = flagged.withColumn("kept", F.lit(True))
     return flagged.groupBy("key").agg(
-        F.bool_or(F.coalesce("general", F.lit(False))).alias("general"),
+        F.bool_or("raw").alias("raw"),
+        F.min("above").alias("above"),
+        F.max(below).alias("below"),
         F.bool_or(F.col("kept").isNull()).alias("not_kept"),
     )
 
@@ -291,9 +326,12 @@ def compare_methods(
 
 
 def pruning_difference(stats: DataFrame, stat: str = "max_divergence") -> DataFrame:
-    """Per support and hierarchy setting: unpruned minus pruned value of a statistic."""
-    on = ["dataset", "metric", "criterion", "min_sup", "generalized"]
-    rows = stats.where(F.col("stat") == stat)
-    full = rows.where("not pruned").select(*on, F.col("value").alias("full"))
-    pruned = rows.where("pruned").select(*on, F.col("value").alias("pruned"))
-    return full.join(pruned, on).withColumn("difference", F.col("full") - F.col("pruned"))
+    """Per setting that was run both ways: unpruned minus pruned value of a statistic."""
+    on = ["dataset", "metric", "criterion", "min_sup_tree", "minimal_gain", "min_sup", "generalized", "top_k"]
+    both = stats.where(F.col("stat") == stat).groupBy(*on).agg(
+        F.max(F.when(~F.col("pruned"), F.col("value"))).alias("full"),
+        F.max(F.when(F.col("pruned"), F.col("value"))).alias("pruned"),
+        F.count_distinct("pruned").alias("ways"),
+    )
+    return both.where("ways = 2").drop("ways").withColumn("difference", F.col("full") - F.col("pruned"))
+

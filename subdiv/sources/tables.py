@@ -86,7 +86,7 @@ def write_statistics(stats: DataFrame, path: str) -> None:
 
 
 STATISTICS = (
-    "dataset string, metric string, criterion string, min_sup_tree double, min_sup double, "
+    "dataset string, metric string, criterion string, min_sup_tree double, minimal_gain double, min_sup double, "
     "generalized boolean, pruned boolean, top_k int, stat string, value double"
 )
 
