@@ -389,9 +389,18 @@ def tre17(spark, d):
     return _part_trees(spark, d).hierarchy_table().select("item", "parent_item", "level", "has_child")
 
 
-@query("tre17_raw_paths")
+@query(
+    "tre17_raw_paths",
+    f"""{_PTREE}, conditions AS (SELECT m.path, string_agg('size' || CASE WHEN right(a.path, 1) = 'L' THEN '<=' || a.hi::BIGINT ELSE '>=' || a.lo::BIGINT END, ' ' ORDER BY a.depth) AS t
+  FROM nodes m JOIN nodes a ON a.depth > 0 AND a.path = left(m.path, a.depth) GROUP BY m.path),
+inside AS (SELECT m.path, count(*)::DOUBLE AS n, {', '.join(f'sum({c})::BIGINT AS {c}' for c in CELLS)}
+  FROM nodes m JOIN prt ON (m.lo IS NULL OR p_size >= m.lo) AND (m.hi IS NULL OR p_size <= m.hi) GROUP BY m.path)
+SELECT tree, coalesce(t, '') AS path, {q9('i.n / total')} AS support, {q9('div')} AS divergence, {', '.join(f'i.{c}' for c in CELLS)}
+FROM nodes m JOIN inside i USING (path) LEFT JOIN conditions USING (path), base""",
+)
 def tre17_raw(spark, d):
-    return _part_trees(spark, d).raw_table()
+    raw = _part_trees(spark, d).raw_table()
+    return raw.select("tree", F.array_join("path", " ").alias("path"), r9("support").alias("support"), r9("divergence").alias("divergence"), *CELLS)
 
 
 @query(
@@ -418,9 +427,28 @@ def tre19(spark, d):
     return _part_trees(spark, d).discretization_table("all").select("item", "lo", "hi")
 
 
-@query("tre20_conditioned_ranges")
+_ITEM = """CASE WHEN lo IS NULL THEN '<=' || hi WHEN hi IS NULL THEN '>=' || lo WHEN lo = hi THEN hi::VARCHAR
+  ELSE '[' || lo || '-' || hi || ']' END"""
+
+
+@query(
+    "tre20_conditioned_ranges",
+    f"""WITH {SQL_LINES}, {_JOINT},
+spans AS (SELECT m.path, c.attr, max(c.lo) AS lo, min(c.hi) AS hi, min(c.depth) AS first
+  FROM nodes m JOIN nodes c ON c.depth > 0 AND c.path = left(m.path, c.depth) GROUP BY m.path, c.attr),
+called AS (SELECT *, {_ITEM} AS item FROM spans),
+mine AS (SELECT c.* FROM nodes m JOIN called c ON c.path = m.path AND c.attr = m.attr),
+cut AS (SELECT DISTINCT m.attr, c.item FROM mine m JOIN called c ON c.path = left(m.path, len(m.path) - 1) AND c.attr = m.attr),
+above AS (SELECT m.path, string_agg(c.attr || '=' || c.item, ' & ' ORDER BY c.first) AS parent_items
+  FROM mine m JOIN called c ON c.path = left(m.path, len(m.path) - 1) GROUP BY m.path)
+SELECT attr, item, concat_ws(' ', CASE WHEN lo = hi THEN '=' WHEN lo IS NOT NULL THEN '>=' END, CASE WHEN hi IS NOT NULL AND lo IS DISTINCT FROM hi THEN '<=' END) AS rels,
+  concat_ws(' ', lo, CASE WHEN lo IS DISTINCT FROM hi THEN hi END) AS vals, coalesce(parent_items, '') AS parent_items
+FROM mine LEFT JOIN above USING (path) ANTI JOIN cut USING (attr, item)""",
+)
 def tre20(spark, d):
-    return T.grow(lineitem_cls(spark, d), LINE_ATTRS, "d_fpr", 0.1, splitting="all_attributes").conditioned()
+    ranges = T.grow(lineitem_cls(spark, d), LINE_ATTRS, "d_fpr", 0.1, splitting="all_attributes").conditioned()
+    texts = {c: F.array_join(c, " & " if c == "parent_items" else " ") for c in ("rels", "vals", "parent_items")}
+    return ranges.withColumns(texts)
 
 
 @query(
