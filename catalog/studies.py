@@ -280,8 +280,25 @@ def e2e7_quantile(spark, d):
 
 
 
+_ITEM = """CASE WHEN lo IS NULL THEN '<=' || hi WHEN hi IS NULL THEN '>=' || lo WHEN lo = hi THEN hi::VARCHAR
+  ELSE '[' || lo || '-' || hi || ']' END"""
+# a leaf and the ranges above it are all ranges that hold the value
+_INSIDE = "(r.lo IS NULL OR {a} >= r.lo) AND (r.hi IS NULL OR {a} <= r.hi)"
+
+
 @query(
     "e2e2_tree_ranges_to_itemsets",
+    f"""WITH {SQL_ORDERS}, {sql_tree('ord', ['acctbal', 'totalprice'], 'd_error', 0.1, 9)},
+ranges AS (SELECT attr, lo, hi, {_ITEM} AS item FROM nodes WHERE depth > 0),
+x1 AS (SELECT o.*, r.item AS acc FROM ord o JOIN ranges r ON r.attr = 'acctbal' AND {_INSIDE.format(a='acctbal')} UNION ALL SELECT o.*, NULL FROM ord o),
+x2 AS (SELECT o.*, r.item AS price FROM x1 o JOIN ranges r ON r.attr = 'totalprice' AND {_INSIDE.format(a='totalprice')} UNION ALL SELECT o.*, NULL FROM x1 o),
+x AS (SELECT x2.*, u.s FROM x2, unnest([seg, NULL]) u(s)),
+it AS (SELECT acc, price, s, count(*) AS n, sum(tn) tn, sum(fp) fp, sum(fn) fn, sum(tp) tp FROM x GROUP BY ALL),
+r AS (SELECT * FROM it WHERE acc IS NULL AND price IS NULL AND s IS NULL)
+SELECT concat_ws(', ', 'acctbal=' || i.acc, 'seg=' || i.s, 'totalprice=' || i.price) AS key,
+  ((i.acc IS NOT NULL)::INT + (i.price IS NOT NULL)::INT + (i.s IS NOT NULL)::INT)::INT AS length, i.n::BIGINT AS support_count,
+  {q9(f"{sql_rate('error', 'i.')} - {sql_rate('error', 'r.')}")} AS d_error
+FROM it i, r WHERE i.n::DOUBLE / r.n >= 0.05""",
 )
 def e2e2_tree(spark, d):
     """Trees, their hierarchy, and the itemsets over both, in one study."""
