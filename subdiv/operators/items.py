@@ -154,18 +154,29 @@ def _tagged(attr: str, values: Column) -> Column:
     )
 
 
-def one_hot(df: DataFrame, attributes: list[str], max_columns: int = 10_000, sep: str = "=") -> DataFrame:
-    """0/1 matrix with one column per item; more items than ``max_columns`` raise."""
-    names = item_names(df, attributes).limit(max_columns + 1).collect()
-    if len(names) > max_columns:
-        raise ValueError(f"more than {max_columns} items; use itemize instead")
-    flags = {
-        f"{r['attr']}{sep}{r['value']}": F.coalesce(
-            F.col(f"`{r['attr']}`").cast("string") == F.lit(r["value"]), F.lit(False)
-        ).cast("int")
-        for r in sorted(names, key=lambda r: (attributes.index(r["attr"]), r["value"]))
-    }
-    return df.withColumns(flags).drop(*attributes)
+def one_hot(
+    df: DataFrame,
+    attributes: list[str],
+    max_columns: int = 10_000,
+    sep: str = "=",
+    items: list[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """0/1 matrix with one column per item.
+
+    ``items`` lists the wanted ``(attribute, value)`` pairs in the order of their columns;
+    the table is then not scanned for them, and their number is not limited.  Without it
+    the values are looked up, and more than ``max_columns`` raise.
+    """
+    if items is None:
+        names = item_names(df, attributes).limit(max_columns + 1).collect()
+        if len(names) > max_columns:
+            raise ValueError(f"more than {max_columns} items; name the wanted items or use itemize")
+        items = sorted(((r["attr"], r["value"]) for r in names), key=lambda x: (attributes.index(x[0]), x[1]))
+    unknown = sorted({a for a, _ in items} - set(attributes))
+    if unknown:
+        raise ValueError(f"items of attributes that are not listed: {unknown}")
+    flags = {f"{a}{sep}{v}": F.coalesce(attribute(df, a).cast("string") == F.lit(v), F.lit(False)).cast("int") for a, v in items}
+    return df.withColumns(flags).drop(*[a for a in attributes if a not in flags])
 
 
 def item_names(df: DataFrame, attributes: list[str]) -> DataFrame:

@@ -233,3 +233,15 @@ def test_out_of_fold_modes(spark):
         P.out_of_fold(df, "y", ["t", "x"], "id", validation="half")
     with pytest.raises(ValueError):
         P.out_of_fold(df.limit(0), "y", ["t", "x"], "id")
+
+
+def test_one_hot_of_named_items(spark):
+    df = spark.createDataFrame([("x", 1), (None, 2), ("y", 1)], "a string, b int")
+    out = I.one_hot(df, ["a", "b"], items=[("b", "1"), ("a", "x"), ("a", "z")])
+    assert out.columns == ["b=1", "a=x", "a=z"]
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 0), (1, 0, 0), (1, 1, 0)]
+    assert I.one_hot(df, ["a", "b"]).columns == ["a=x", "a=y", "b=1", "b=2"]
+    with pytest.raises(ValueError):
+        I.one_hot(df, ["a", "b"], max_columns=3)
+    with pytest.raises(ValueError):
+        I.one_hot(df, ["a"], items=[("b", "1")])
