@@ -132,21 +132,22 @@ def admit(items: DataFrame, keep: DataFrame | None, attr: str = "attr", item: st
     )
 
 
-def _group_rows(df: DataFrame, attributes: list[str], measures: list[str]):
+def _group_rows(df: DataFrame, attributes: list[str], measures: list[str], weight: str | None):
     """Totals of the table, and its rows with equal values summed where that pays.
 
     Grouping whole rows is worth its shuffle when few combinations occur; an
     approximate distinct count, taken along with the totals, tells.
     """
     columns = [F.col(f"`{a}`") for a in attributes]
+    count = F.col(f"`{weight}`") if weight else F.lit(1).cast("bigint")
     whole = df.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum(count).alias("n"),
         *_sums(measures),
         F.approx_count_distinct(F.xxhash64(*columns)).alias("_combinations"),
     ).first()
     if not whole["n"]:
         raise ValueError("the table has no rows")
-    rows = df.withColumn("n", F.lit(1).cast("bigint"))
+    rows = df.select(*columns, count.alias("n"), *measures)
     if whole["_combinations"] * _WORTH_GROUPING <= whole["n"]:
         rows = materialize(rows.groupBy(*columns).agg(*_resum(measures)), "grouped")
     return whole, rows
@@ -388,18 +389,20 @@ def mine(
     max_len: int | None = None,
     overlap: bool = False,
     method: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
     """All itemsets with ``rows / total >= min_support`` and their summed measures.
 
     An attribute column holds one value per row, or ``array<string>`` when a row
     may have several (pass ``overlap=True`` to let them meet in one itemset).
     NULL gives no item.  ``closure (attr, leaf, item)`` adds the ancestors of a
-    value as further items of its attribute.
+    value as further items of its attribute.  ``weight`` names a column with the
+    number of rows that each row stands for; its measures are then sums already.
 
     Output: ``itemset, key, length, support, support_count, measures``.  The row
     of the empty itemset is the whole table and is always present.
     """
-    return _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method)
+    return _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, weight)
 
 
 def mine_top_k(
@@ -415,6 +418,7 @@ def mine_top_k(
     max_len: int | None = None,
     overlap: bool = False,
     method: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
     """What ``top_k`` keeps of the itemsets with their metric, without mining them all.
 
@@ -426,14 +430,14 @@ def mine_top_k(
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
     _check_k(metric, k)
-    return _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, (metric, k))
+    return _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, weight, (metric, k))
 
 
-def _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, ranking=None):
+def _mine(df, attributes, measures, min_support, closure, keep, max_len, overlap, method, weight, ranking=None):
     _check(attributes, min_support, method, overlap)
     spark = df.sparkSession
-    df = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures)
-    root, rows = _group_rows(df, attributes, measures)
+    df = df.select(*[attribute(df, a).alias(a) for a in attributes], *measures, *([weight] if weight else []))
+    root, rows = _group_rows(df, attributes, measures, weight)
     total = root["n"]
     counts = item_counts(rows, attributes, measures, weight="n")
     if closure is not None:

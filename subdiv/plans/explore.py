@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from subdiv.functions.cells import check_target, with_cells, with_outcome
 from subdiv.functions.metrics import CELLS, METRICS, with_divergence, with_outcome_divergence
+from subdiv.functions.values import attribute
 from subdiv.operators import items as item_ops
 from subdiv.operators import taxonomy
 from subdiv.operators.mine import admit, mine, mine_top_k, top_k
@@ -38,16 +39,19 @@ def explore(
     k_metric: str | None = None,
     mark: str | None = None,
     method: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
     """Itemsets of a discrete table with metrics, divergences and t-values.
 
     ``k`` keeps the best itemsets by ``k_metric`` (the first metric by default);
-    ``mark`` adds a constant true column of that name.
+    ``mark`` adds a constant true column of that name.  ``weight`` names a column with
+    the number of rows that each row stands for, which holds their summed cells or
+    ``y`` and ``y2`` already.
     """
     if method not in ("auto", "single_pass", "level_wise"):
         raise ValueError(f"unknown method {method!r}")
     target = check_target(true, predicted, outcome)
-    options = dict(closure=closure, keep=keep, max_len=max_len, overlap=overlap, method=method)
+    options = dict(closure=closure, keep=keep, max_len=max_len, overlap=overlap, method=method, weight=weight)
     ranking = k_metric or metrics[0]
 
     def found(rows, measures, known):
@@ -56,10 +60,12 @@ def explore(
         return mine(rows, attributes, measures, min_support, **options)
 
     if target == "outcome":
-        scored = with_outcome_divergence(found(with_outcome(df, outcome), ["y", "y2"], ["d_outcome"]))
+        rows = df if weight else with_outcome(df, outcome)
+        scored = with_outcome_divergence(found(rows, ["y", "y2"], ["d_outcome"]))
     else:
         cells = [m for m in METRICS if m in metrics and m != "d_outcome"]
-        scored = with_divergence(found(with_cells(df, true, predicted, classes), CELLS, cells), metrics)
+        rows = df if weight else with_cells(df, true, predicted, classes)
+        scored = with_divergence(found(rows, CELLS, cells), metrics)
     if k is not None:
         scored = top_k(scored, ranking, k)
     return scored.withColumn(mark, F.lit(True)) if mark else scored
@@ -251,6 +257,49 @@ def _marks(mined: DataFrame, parents: DataFrame, keep: DataFrame | None, trees:
     )
 
 
+#: rows that a summed row stands for
+_WEIGHT = "__rows"
+
+
+def _needed(df: DataFrame, attributes: list[str], metric: str, true, predicted, outcome) -> DataFrame:
+    """Columns that the trees and the itemsets read."""
+    names = [*attributes, *[c for c in (true, predicted, outcome) if c is not None]]
+    names += ["y"] if metric == "d_outcome" else CELLS
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(names)])
+
+
+def _told_apart(df: DataFrame, attributes: list[str], forest: dict[float, Trees], *, true, predicted, outcome, classes) -> DataFrame:
+    """Rows with equal values summed, where values between the same neighbouring cuts of the forest count as equal.
+
+    A value stands for those it is summed with.  An attribute that some tree does not
+    cut keeps its values, which are then items themselves.
+    """
+    if check_target(true, predicted, outcome) == "outcome":
+        measured, measures = with_outcome(df, outcome), ["y", "y2"]
+    else:
+        measured, measures = with_cells(df, true, predicted, classes), CELLS
+    cuts: dict[str, list] = {}
+    for trees in forest.values():
+        for attr, pairs in trees.cuts().items():
+            cuts.setdefault(attr, []).append(pairs)
+    keys, values = [], {}
+    for a in attributes:
+        if len(cuts.get(a, [])) < len(forest):
+            keys.append(attribute(df, a).alias(a))
+            continue
+        pairs = sorted(set().union(*cuts[a]))
+        lows, highs = [None, *[right for _, right in pairs]], [*[left for left, _ in pairs], None]
+        ranges = {}
+        for i, (lo, hi) in enumerate(zip(lows, highs)):
+            bounds = [(r, v) for r, v in ((">=", lo), ("<=", hi)) if v is not None]
+            ranges[str(i)] = {"rels": [r for r, _ in bounds], "vals": [v for _, v in bounds]}
+        keys.append(item_ops.range_label(attribute(df, a), ranges).alias(f"__range {a}"))
+        values[a] = F.min(f"`{a}`").alias(a)
+    sums = [F.sum(m).alias(m) for m in measures]
+    summed = measured.groupBy(*keys).agg(*values.values(), F.count(F.lit(1)).alias(_WEIGHT), *sums)
+    return materialize(summed.select(*[F.col(f"`{a}`") for a in attributes], _WEIGHT, *measures), "told-apart")
+
+
 def tree_support_sweep(
     df: DataFrame,
     attributes: list[str],
@@ -264,12 +313,17 @@ def tree_support_sweep(
 ) -> DataFrame:
     """Leaf ranges, itemsets and highest divergence for several tree supports.
 
-    The trees of all supports are grown together, and supports whose trees have the
-    same ranges share one run of mining.  ``timed`` adds the seconds of growing all
-    trees and of mining those of a setting.
+    The source is read once.  The trees of all supports are grown together, and rows
+    that no tree tells apart are summed, so that mining a setting reads at most as many
+    rows as there are ranges between neighbouring cuts and values of other attributes.
+    Supports whose trees have the same ranges share one run of mining.  ``timed`` adds
+    the seconds of growing all trees, with the sums, and of mining those of a setting.
     """
     start = time.time()
-    forest = grow_each(df, continuous, metric, tree_supports)
+    target = {name: options.get(name) for name in ("true", "predicted", "outcome")}
+    source = materialize(_needed(df, [*attributes, *continuous], metric, **target), "source")
+    forest = grow_each(source, continuous, metric, tree_supports)
+    rows = _told_apart(source, attributes, forest, classes=options.pop("classes", None), **target)
     grown = time.time() - start
     mined: dict[str, tuple[DataFrame, float]] = {}
     parts = []
@@ -278,7 +332,7 @@ def tree_support_sweep(
         setting = repr(sorted(trees.discretizations("all", continuous).items()))
         if setting not in mined:
             start = time.time()
-            found = explore_hierarchical(df, attributes, ranges, trees.generalization(), min_support, [metric], **options)
+            found = explore_hierarchical(rows, attributes, ranges, trees.generalization(), min_support, [metric], weight=_WEIGHT, **options)
             summary = materialize(found.agg(F.count(F.lit(1)).alias("itemsets"), F.max(metric).alias("max_divergence")), "setting")
             mined[setting] = summary, time.time() - start
         found, seconds = mined[setting]

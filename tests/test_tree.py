@@ -177,3 +177,33 @@ def test_trees_grown_together_equal_trees_grown_alone(spark):
         assert forest[support].discretizations() == alone.discretizations()
     with pytest.raises(ValueError):
         T.grow_each(df, ["x"], "d_error", [0.1, 0.0])
+
+
+def test_the_sweep_over_tree_supports_reads_its_source_once(spark):
+    from subdiv.functions.cells import with_cells
+    from subdiv.plans.explore import explore_hierarchical, tree_support_sweep
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rnd = random.Random(8)
+    n = 240
+    rows = [(rnd.choice([None, float("nan"), *range(-20, 20)]), rnd.choice("ab"), rnd.random() < 0.4, rnd.random() < 0.5) for _ in range(n)]
+    table_ = spark.createDataFrame([(None if x is None else float(x), g, int(t), int(p)) for x, g, t, p in rows], "x double, g string, cls int, pred int")
+    plain = with_cells(table_, "cls", "pred", {"N": 0, "P": 1})
+    read = with_cells(table_.mapInArrow(count, table_.schema), "cls", "pred", {"N": 0, "P": 1})
+    roles = {"true": "cls", "predicted": "pred", "classes": {"N": 0, "P": 1}}
+    supports = [0.05, 0.2, 0.45, 0.6]  # the last tree is not cut, so values are items
+    found = tree_support_sweep(read, ["x", "g"], ["x"], supports, 0.02, "d_fpr", **roles).collect()
+    assert reads.value == n
+    got = {r["min_sup_tree"]: (r["itemsets"], r["max_divergence"], r["leaf_ranges"]) for r in found}
+    for support in supports:
+        trees = T.grow(plain, ["x"], "d_fpr", support)
+        ranges = trees.discretizations(attributes=["x"])
+        alone = explore_hierarchical(plain, ["x", "g"], ranges, trees.generalization(), 0.02, ["d_fpr"], **roles)
+        want = alone.agg(F.count(F.lit(1)).alias("n"), F.max("d_fpr").alias("m")).first()
+        assert got[support] == (want["n"], want["m"], sum(len(r) for r in ranges.values()))
