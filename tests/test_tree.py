@@ -207,3 +207,29 @@ def test_the_sweep_over_tree_supports_reads_its_source_once(spark):
         alone = explore_hierarchical(plain, ["x", "g"], ranges, trees.generalization(), 0.02, ["d_fpr"], **roles)
         want = alone.agg(F.count(F.lit(1)).alias("n"), F.max("d_fpr").alias("m")).first()
         assert got[support] == (want["n"], want["m"], sum(len(r) for r in ranges.values()))
+
+
+def test_the_criterion_of_a_cut_is_computed_once(spark):
+    rows = spark.createDataFrame(
+        [(0, 5, 2, 4, 9, 4, 8, 0.0, 0.5, 0.1)],
+        "node long, l_n long, l_num long, l_den long, t_n long, t_num long, t_den long, t_div double, t_split double, min_support double",
+    )
+    spec = T._spec_of(spark.createDataFrame([(1.0, 0, 0, 0, 0)], "x double, tn long, fp long, fn long, tp long"), ["x"], "d_fpr", 0.1, "entropy", None, None, 0)
+    spec.total, spec.baseline = 9, 0.5
+    plan = T.candidate_cuts(rows, spec)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("LOG2(") == 4  # two terms of either side
+
+
+def test_a_node_smaller_than_two_children_is_not_searched():
+    spec = T._Spec(["x"], {}, set(), [], [], [], "entropy", 0.1, None, None, 0, total=30)
+
+    def node(n, support):
+        return T.Node(1, "x", 0, 1, "x", "<=", 1, n, {}, 0.0, 0.0, 0.0, total_n=n, min_support=support)
+
+    assert not T._may_split(node(5, 0.1), spec) and T._may_split(node(6, 0.1), spec)
+    for total in range(1, 60):
+        spec.total = total
+        for support in (0.05, 0.1, 0.15, 0.3, 0.7):
+            for n in range(total + 1):
+                able = any(a / total >= support and (n - a) / total >= support for a in range(n + 1))
+                assert T._may_split(node(n, support), spec) == able
