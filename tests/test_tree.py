@@ -220,6 +220,20 @@ def test_the_criterion_of_a_cut_is_computed_once(spark):
     assert plan.upper().count("LOG2(") == 4  # two terms of either side
 
 
+def test_conditioned_ranges_do_not_read_the_source_again(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(table(5), SCHEMA)
+    trees = T.grow(df.mapInArrow(count, df.schema), ["x"], "d_error", 0.2, splitting="all_attributes")
+    assert reads.value == 150 and trees.conditioned().collect()
+    assert reads.value == 150
+
+
 def test_a_node_smaller_than_two_children_is_not_searched():
     spec = T._Spec(["x"], {}, set(), [], [], [], "entropy", 0.1, None, None, 0, total=30)
 
