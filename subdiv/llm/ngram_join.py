@@ -8,10 +8,13 @@ part.  The smallest set of a neighbourhood is its pivot, and a set joins the reg
 every pivot its neighbourhoods name.
 
 In a region the distance to the pivot is taken first: sets within the radius are linked
-to it, and connected through it without a pair of their own.  Then the region joins what
-is left: two sets of different components are compared only if their distances to the
-pivot differ by the radius at most (triangle inequality) and a parity bitmap allows the
-link.  Links found are checked on the whole sets; large regions are joined block by block.
+to it, and connected through it without a pair of their own.  What is left of a region of
+at most ``REGION`` sets is joined: two sets of different components are compared only if
+their distances to the pivot differ by the radius at most (triangle inequality) and a
+parity bitmap allows the link.  Larger regions get a new pivot, the shingles most of their
+sets have.  It links sets near it without a pair, and divides the others by what they
+differ in from it into inner regions at most half as large, and so on.  Links found are
+checked on the whole sets.
 
 Equal sets count once, so copies are not paired.  Null texts and texts without a word have
 an empty set and are linked with nothing.  Rows with a null id can link others, and their
@@ -30,8 +33,8 @@ from pyspark.sql import Window
 from subdiv.llm import text as X
 from subdiv.session import materialize
 
-#: Rows of a region that one block of its join holds, about.
-REGION_BLOCK = 1000
+#: Sets of a region that are compared with each other; larger regions are divided.
+REGION = 32
 
 _FOLDED = X.byte_values(True)
 _BITMAP = 512  # bits of a set's parity bitmap
@@ -248,6 +251,63 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)) if links.limit(1).count() else roots
 
 
+def _open(regions: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Rows ``pivot, x, low, high`` of regions with several components, with ``root`` and ``size``; of equal regions one stays."""
+    rows = materialize(regions.join(roots, F.col("x") == F.col("node"), "left").select("pivot", "x", "low", "high", F.coalesce("root", "x").alias("root")), name)
+    same = [F.bit_xor(F.xxhash64("x", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    kept = rows.groupBy("pivot").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
+    kept = kept.groupBy("size", "h0", "h1").agg(F.min("pivot").alias("pivot"))
+    return materialize(rows.join(kept.select("pivot", "size"), "pivot"), name)
+
+
+def _large(regions: DataFrame) -> DataFrame:
+    return regions.where(F.col("size") > REGION)
+
+
+def _region_pairs(regions: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, n_a, b, n_b`` of the small regions that size, distance to the pivot and bitmaps allow to link."""
+    rows = regions.where(F.col("size") <= REGION).join(reps.withColumnRenamed("set_id", "x").drop("doc_id"), "x")
+    side = lambda s: rows.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in ("pivot", "size")])
+    radius = 1 - percent / 100 + 1e-9
+    window = (F.col("low_a") - F.col("high_b") <= radius) & (F.col("low_b") - F.col("high_a") <= radius)
+    pairs = side("a").join(side("b"), "pivot").where((F.col("x_a") < F.col("x_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_near(percent) & window & _may_link(percent))
+    return pairs.select(F.col("x_a").alias("a"), F.col("n_a"), F.col("x_b").alias("b"), F.col("n_b")).distinct()
+
+
+def _recentred(regions: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` of large regions that need no pair, and the inner regions that hold all others.
+
+    The new pivot is the set of the shingles that most of a region's sets have.  What a set
+    differs by from it is its rest; sets x and y differ in ``|rest x| + |rest y| - 2 common``
+    shingles.  With ``slack = |rest| (100 + p) - n (100 - p)`` they link if and only if their
+    slacks add up to ``2 (100 + p) common`` at most.  So a pair with slacks of sum 0 or less
+    links, and then both link with the set of the smallest slack.  All other links share a
+    shingle of their rests: inner regions are the rests' rarest shingles, as many as the
+    smallest slack leaves to a set.  Half of a region at most has the same shingle in its
+    rest, so inner regions are half as large at most.
+    """
+    rows = regions.join(reps.select(F.col("set_id").alias("x"), "n"), "x").select("pivot", "size", "x", "n")
+    shingles = sets.select(F.col("set_id").alias("x"), "shingles").join(rows.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.first("shingles").alias("shingles"))
+    rows = materialize(rows.join(shingles, "x"), "region-shingles")
+    most = rows.select("pivot", "size", F.explode("shingles").alias("e")).groupBy("pivot", "size", "e").count().where(2 * F.col("count") > F.col("size"))
+    center = most.groupBy("pivot").agg(F.collect_list("e").alias("center"))
+    none = F.array().cast("array<long>")
+    rows = rows.join(center, "pivot", "left").withColumn("center", F.coalesce("center", none))
+    rows = rows.withColumn("rest", F.concat(F.array_except("shingles", "center"), F.array_except("center", "shingles")))
+    more, less = 100 + percent, 100 - percent
+    far = 2 * F.size("rest") / (F.col("n") + F.size("center") + F.size("rest"))
+    rows = materialize(rows.select("pivot", "x", "rest", (F.size("rest") * more - F.col("n") * less).alias("slack"), far.alias("far")), "rests")
+    first = rows.groupBy("pivot").agg(F.min(F.struct("slack", "x")).alias("first"))
+    rows = rows.join(first, "pivot")
+    links = materialize(rows.where((F.col("x") != F.col("first.x")) & (F.col("slack") + F.col("first.slack") <= 0)).select(F.col("first.x").alias("a"), F.col("x").alias("b")).distinct(), "sure-links")
+    common = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("first.slack")) / (2 * more)))
+    parts = rows.select("pivot", "x", "far", (F.size("rest") - common + 1).alias("most"), F.explode("rest").alias("e")).where("most > 0")
+    often = parts.groupBy("pivot", "e").agg(F.count("*").alias("sets"))
+    turn = F.row_number().over(Window.partitionBy("pivot", "x").orderBy("sets", "e"))
+    inner = parts.join(often, ["pivot", "e"]).withColumn("turn", turn).where("turn <= most and sets > 1")
+    return links, inner.select(F.xxhash64("pivot", "e").alias("pivot"), "x", F.col("far").alias("low"), F.col("far").alias("high"))
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``; documents link when their Jaccard similarity is ``percent`` / 100 or more."""
     rows = materialize(members(docs, n), "shingle-members")
@@ -279,29 +339,22 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     exact = (F.col("n_a") + F.col("n_b") - 2 * F.col("common")) / (F.col("n_a") + F.col("n_b") - F.col("common"))
     least = 2 * F.col("differ") / (F.col("n_a") + F.col("n_b") + F.col("differ"))
     known = near.select("a", "b", exact.alias("d"))
-    spread = (
-        star.join(known, ["a", "b"], "left")
-        .select(F.col("a").alias("pivot"), F.col("b").alias("x"), F.coalesce("d", least).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
-        .unionByName(star.select(F.col("a").alias("pivot"), F.col("a").alias("x"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).distinct())
-        .join(roots, F.col("x") == F.col("node"), "left")
-        .select("pivot", "x", "low", "high", F.coalesce("root", "x").alias("root"))
-    )
-    open_regions = spread.groupBy("pivot").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pivot", F.ceil(F.col("size") / REGION_BLOCK).cast("int").alias("blocks"))
-    left_over = materialize(spread.join(open_regions, "pivot").join(reps.withColumnRenamed("set_id", "x").drop("doc_id"), "x"), "open-regions")
-    side = lambda s, block: left_over.select("pivot", block.alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in ("x", "low", "high", "root", "n", "fine", *coarse)])
-    one = side("a", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    other = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    radius = 1 - percent / 100 + 1e-9
-    window = (F.col("low_a") - F.col("high_b") <= radius) & (F.col("low_b") - F.col("high_a") <= radius)
-    pairs = (
-        one.join(other, ["pivot", "block"])
-        .where((F.col("x_a") < F.col("x_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_near(percent) & window & _may_link(percent))
-        .select(F.col("x_a").alias("a"), F.col("n_a"), F.col("x_b").alias("b"), F.col("n_b"))
-        .distinct()
-    )
-    pairs = materialize(pairs, "region-pairs")
-    more = _distances(pairs, _shingles_of(docs, n, reps, both(pairs))).where(_linked(percent)).select("a", "b")
-    roots = _joined(roots, materialize(more, "region-links"))
+    spread = star.join(known, ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("x"), F.coalesce("d", least).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+    spread = spread.unionByName(star.select(F.col("a").alias("pivot"), F.col("a").alias("x"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).distinct())
+    now = _open(spread, roots, "open-regions")
+    pairs = materialize(_region_pairs(now, reps, percent), "region-pairs")
+    sets = _shingles_of(docs, n, reps, both(pairs).unionByName(_large(now).select(F.col("x").alias("set_id"))).distinct())
+    found = [pairs]
+    while _large(now).limit(1).count():
+        links, inner = _recentred(_large(now), reps, sets, percent)
+        roots = _joined(roots, links)
+        now = _open(inner, roots, "inner-regions")
+        found.append(materialize(_region_pairs(now, reps, percent), "inner-pairs"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    links = _distances(_apart(pairs.distinct(), roots).select("a", "n_a", "b", "n_b"), sets).where(_linked(percent)).select("a", "b")
+    roots = _joined(roots, materialize(links, "region-links"))
 
     class_of = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     least_id = class_of.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -79,6 +79,30 @@ def test_ngram_join(spark, n, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
     assert got == jaccard_components(rows, n, percent)
 
+def test_large_regions_are_divided_instead_of_paired(spark, monkeypatch):
+    """Near copies whose common text is missing: no pair of them links, but nearly all bitmaps allow it."""
+    base = [f"w{i}" for i in range(419)]
+    rows = [(i, " ".join(base[: 11 * i] + [f"c{i}x{j}" for j in range(9)] + base[11 * i + 9 :])) for i in range(38)]
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(3)]
+    made = []
+
+    def counted(df, name, *more, real=ngram_join.materialize):
+        out = real(df, name, *more)
+        made.append(out.count() if "pairs" in name else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "REGION", 4, raising=False)
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == jaccard_components(rows, 3, 90)
+    assert sum(made) <= len(rows)
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (2, 60)])
+def test_divided_regions_lose_no_link(spark, monkeypatch, n, percent):
+    monkeypatch.setattr(ngram_join, "REGION", 2)
+    test_ngram_join(spark, n, percent)
+
 
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_signature(percent):
