@@ -283,10 +283,11 @@ def _recentred(regions: DataFrame, reps: DataFrame, sets: DataFrame, percent: in
     slacks add up to ``2 (100 + p) common`` at most.  So a pair with slacks of sum 0 or less
     links, and then both link with the set of the smallest slack.  All other links share a
     shingle of their rests: inner regions are the rests' rarest shingles, as many as the
-    smallest slack leaves to a set.  Half of a region at most has the same shingle in its
-    rest, so inner regions are half as large at most.
+    smallest slack leaves to a set, and one more at most than linked sets can differ in
+    (rests differ in what the sets differ in).  Half of a region at most has the same
+    shingle in its rest, so inner regions are half as large at most.
     """
-    rows = regions.join(reps.select(F.col("set_id").alias("x"), "n"), "x").select("pivot", "size", "x", "n")
+    rows = regions.join(reps.select(F.col("set_id").alias("x"), "n"), "x").select("pivot", "size", "x", "root", "n")
     shingles = sets.select(F.col("set_id").alias("x"), "shingles").join(rows.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.first("shingles").alias("shingles"))
     rows = materialize(rows.join(shingles, "x"), "region-shingles")
     most = rows.select("pivot", "size", F.explode("shingles").alias("e")).groupBy("pivot", "size", "e").count().where(2 * F.col("count") > F.col("size"))
@@ -296,15 +297,16 @@ def _recentred(regions: DataFrame, reps: DataFrame, sets: DataFrame, percent: in
     rows = rows.withColumn("rest", F.concat(F.array_except("shingles", "center"), F.array_except("center", "shingles")))
     more, less = 100 + percent, 100 - percent
     far = 2 * F.size("rest") / (F.col("n") + F.size("center") + F.size("rest"))
-    rows = materialize(rows.select("pivot", "x", "rest", (F.size("rest") * more - F.col("n") * less).alias("slack"), far.alias("far")), "rests")
+    differ = F.floor(F.col("n") * less / percent)  # sets of n shingles and of 100 n / p at most
+    rows = materialize(rows.select("pivot", "x", "root", "rest", (F.size("rest") * more - F.col("n") * less).alias("slack"), differ.alias("differ"), far.alias("far")), "rests")
     first = rows.groupBy("pivot").agg(F.min(F.struct("slack", "x")).alias("first"))
     rows = rows.join(first, "pivot")
     links = materialize(rows.where((F.col("x") != F.col("first.x")) & (F.col("slack") + F.col("first.slack") <= 0)).select(F.col("first.x").alias("a"), F.col("x").alias("b")).distinct(), "sure-links")
-    common = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("first.slack")) / (2 * more)))
-    parts = rows.select("pivot", "x", "far", (F.size("rest") - common + 1).alias("most"), F.explode("rest").alias("e")).where("most > 0")
-    often = parts.groupBy("pivot", "e").agg(F.count("*").alias("sets"))
+    common = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("first.slack")) / (2 * more)), F.size("rest") - F.col("differ"))
+    parts = rows.select("pivot", "x", "root", "far", (F.size("rest") - common + 1).alias("most"), F.explode("rest").alias("e")).where("most > 0")
+    often = parts.groupBy("pivot", "e").agg(F.count("*").alias("sets"), (F.min("root") != F.max("root")).alias("open"))
     turn = F.row_number().over(Window.partitionBy("pivot", "x").orderBy("sets", "e"))
-    inner = parts.join(often, ["pivot", "e"]).withColumn("turn", turn).where("turn <= most and sets > 1")
+    inner = parts.join(often, ["pivot", "e"]).withColumn("turn", turn).where("turn <= most and open")
     return links, inner.select(F.xxhash64("pivot", "e").alias("pivot"), "x", F.col("far").alias("low"), F.col("far").alias("high"))
 
 
