@@ -11,9 +11,15 @@ In a region the distance to the pivot is taken first: sets within the radius are
 to it, and connected through it without a pair of their own.  What is left of a region of
 at most ``REGION`` sets is joined: two sets of different components are compared only if
 their distances to the pivot differ by the radius at most (triangle inequality) and a
-parity bitmap allows the link.  Larger regions get a new pivot, the shingles most of their
-sets have.  It links sets near it without a pair, and divides the others by what they
-differ in from it into inner regions at most half as large, and so on.  Links found are
+parity bitmap allows the link.
+
+The sets of larger regions are joined once, whatever the number of regions they are in:
+each names as many of its rarest shingles as it needs to share one with every set it links
+to, and the sets that name a shingle are compared if they are few.  Only sets that name a
+shingle which many name (a crowd of near copies) stay in large regions; of those that
+overlap one is made, and it gets a new pivot, the shingles most of a sample of its sets
+have.  The pivot links sets near it without a pair, and divides the others by what they
+differ in from it into inner regions about half as large, and so on.  Links found are
 checked on the whole sets.
 
 Equal sets count once, so copies are not paired.  Null texts and texts without a word have
@@ -35,10 +41,13 @@ from subdiv.session import materialize
 
 #: Sets of a region that are compared with each other; larger regions are divided.
 REGION = 32
+#: Sets of a large region, on average, whose majority of shingles is its new pivot.
+SAMPLE = 16
 
 _FOLDED = X.byte_values(True)
 _BITMAP = 512  # bits of a set's parity bitmap
 _SALT = 0x9E3779B97F4A7C15
+_SLOTS, _SLOT_BLOCK = 1 << 20, 1 << 14  # counters by which shingles are ordered from rare to frequent, and those in one row
 
 
 def shingle_sets(block: X.Block, n: int) -> list[np.ndarray]:
@@ -252,8 +261,8 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(regions: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """Rows ``pivot, x, low, high`` of regions with several components, with ``root`` and ``size``; of equal regions one stays."""
-    rows = materialize(regions.join(roots, F.col("x") == F.col("node"), "left").select("pivot", "x", "low", "high", F.coalesce("root", "x").alias("root")), name)
+    """Rows ``pivot, x, low, high`` (and ``rest``) of regions with several components, with ``root`` and ``size``; of equal regions one stays."""
+    rows = materialize(regions.join(roots, F.col("x") == F.col("node"), "left").select(*regions.columns, F.coalesce("root", "x").alias("root")), name)
     same = [F.bit_xor(F.xxhash64("x", F.lit(i))).alias(f"h{i}") for i in range(2)]
     kept = rows.groupBy("pivot").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
     kept = kept.groupBy("size", "h0", "h1").agg(F.min("pivot").alias("pivot"))
@@ -266,48 +275,122 @@ def _large(regions: DataFrame) -> DataFrame:
 
 def _region_pairs(regions: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, n_a, b, n_b`` of the small regions that size, distance to the pivot and bitmaps allow to link."""
-    rows = regions.where(F.col("size") <= REGION).join(reps.withColumnRenamed("set_id", "x").drop("doc_id"), "x")
-    side = lambda s: rows.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in ("pivot", "size")])
+    rows = regions.where(F.col("size") <= REGION).select("pivot", "x", "low", "high", "root").join(reps.withColumnRenamed("set_id", "x").drop("doc_id"), "x")
+    side = lambda s: rows.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "pivot"])
     radius = 1 - percent / 100 + 1e-9
     window = (F.col("low_a") - F.col("high_b") <= radius) & (F.col("low_b") - F.col("high_a") <= radius)
     pairs = side("a").join(side("b"), "pivot").where((F.col("x_a") < F.col("x_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_near(percent) & window & _may_link(percent))
     return pairs.select(F.col("x_a").alias("a"), F.col("n_a"), F.col("x_b").alias("b"), F.col("n_b")).distinct()
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists, and how many each has."""
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (X.mix(shingles + np.uint64(11)) % np.uint64(_SLOTS)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Counters of fixed size (4 MB) of the shingles of ``x, shingles``; shingles of one slot share a counter.
+
+    They only order shingles: any order finds all links, and a good one compares fewer sets.
+    """
+
+    def count(batch):
+        slots = np.bincount(_slots(_flat(batch.column("shingles"))[0]), minlength=_SLOTS).astype(np.uint32).reshape(-1, _SLOT_BLOCK)
+        some = np.flatnonzero(slots.any(axis=1))
+        return X.record_batch(block=pa.array(some, pa.int64()), counts=pa.array([slots[i].tobytes() for i in some], pa.binary()))
+
+    def total(table: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist())
+        return pa.table({"block": table["block"][:1], "counts": pa.array([np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    schema = "block long, counts binary"
+    out = np.zeros((_SLOTS // _SLOT_BLOCK, _SLOT_BLOCK), dtype=np.uint32)
+    for r in X.map_batches(sets.select("shingles"), count, schema).groupBy("block").applyInArrow(total, schema).collect():  # at most _SLOTS / _SLOT_BLOCK rows
+        out[r.block] = np.frombuffer(r.counts, np.uint32)
+    return out.reshape(-1)
+
+
+def _rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """``x, e``: the rarest shingles ``e`` of each set of ``x, shingles``, one more than it can have that a linked set has not.
+
+    All sets follow one order, so the first shingle in it that two linked sets have in common is named by both.
+    """
+    often = _frequencies(sets)
+
+    def run(batch):
+        shingles, n = _flat(batch.column("shingles"))
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((shingles, often[_slots(shingles)], owner))
+        turn = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+        named = order[turn <= n[owner] * (100 - percent) // 100]
+        return X.record_batch(x=batch.column("x").take(pa.array(owner[named], pa.int64())), e=shingles[named].view(np.int64))
+
+    return X.map_batches(sets.select("x", "shingles"), run, "x long, e long")
+
+
+def _crowds(large: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the sets of large regions that rare shingles find, and the regions ``pivot, x`` that hold all other links.
+
+    Two linked sets name a common shingle.  If few sets name it they are compared here; else
+    both sets are in a crowd.  So large regions keep only sets that name a crowded shingle,
+    and regions with a set in common are made one: each set is divided once, not once a region.
+    """
+    shingles = sets.select(F.col("set_id").alias("x"), "shingles").join(large.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.first("shingles").alias("shingles"))
+    keys = materialize(_rare_keys(materialize(shingles, "crowded-shingles"), percent), "rare-keys")
+    named = keys.join(keys.groupBy("e").agg(F.count("*").alias("size")).where("size > 1"), "e").select(F.col("e").alias("pivot"), "x", "size")
+    small = named.where(F.col("size") <= REGION).join(large.select("x", "root").distinct(), "x").withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
+    pairs = materialize(_region_pairs(small, reps, percent), "rare-pairs")
+    crowd = materialize(large.join(_large(named).select("x").distinct(), "x", "left_semi").select("pivot", "x"), "crowds")
+    whole = components(crowd.select(F.col("pivot").alias("a"), F.col("x").alias("b")))
+    return pairs, crowd.select("x").distinct().join(whole, F.col("x") == F.col("node")).select(F.col("root").alias("pivot"), "x", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+
 def _recentred(regions: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links ``a, b`` of large regions that need no pair, and the inner regions that hold all others.
 
-    The new pivot is the set of the shingles that most of a region's sets have.  What a set
-    differs by from it is its rest; sets x and y differ in ``|rest x| + |rest y| - 2 common``
+    The new pivot is the set of the shingles that most of a sample of a region's sets have.
+    What a set differs by from it is its rest; sets x and y differ in ``|rest x| + |rest y| - 2 common``
     shingles.  With ``slack = |rest| (100 + p) - n (100 - p)`` they link if and only if their
     slacks add up to ``2 (100 + p) common`` at most.  So a pair with slacks of sum 0 or less
     links, and then both link with the set of the smallest slack.  All other links share a
     shingle of their rests: inner regions are the rests' rarest shingles, as many as the
     smallest slack leaves to a set, and one more at most than linked sets can differ in
-    (rests differ in what the sets differ in).  Half of a region at most has the same
-    shingle in its rest, so inner regions are half as large at most.
+    (rests differ in what the sets differ in).  About half of a region at most has the same
+    shingle in its rest, and never all of it, so inner regions are smaller each time.
+
+    Inner regions that may be large bring ``rest``, from which they are divided again: rests
+    of sets of one region differ as the sets do, and are shorter.
     """
-    rows = regions.join(reps.select(F.col("set_id").alias("x"), "n"), "x").select("pivot", "size", "x", "root", "n")
-    shingles = sets.select(F.col("set_id").alias("x"), "shingles").join(rows.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.first("shingles").alias("shingles"))
-    rows = materialize(rows.join(shingles, "x"), "region-shingles")
-    most = rows.select("pivot", "size", F.explode("shingles").alias("e")).groupBy("pivot", "size", "e").count().where(2 * F.col("count") > F.col("size"))
+    rows = regions.join(reps.select(F.col("set_id").alias("x"), "n"), "x")
+    if "rest" not in regions.columns:
+        shingles = sets.select(F.col("set_id").alias("x"), F.col("shingles").alias("rest")).join(regions.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.first("rest").alias("rest"))
+        rows = rows.join(shingles, "x")
+    rows = materialize(rows.select("pivot", "size", "x", "root", "n", "rest"), "region-shingles")
+    some = rows.where(F.pmod(F.xxhash64("x", "pivot"), "size") < SAMPLE)
+    seen = some.groupBy("pivot").agg(F.count("*").alias("seen"))
+    most = some.select("pivot", F.explode("rest").alias("e")).groupBy("pivot", "e").count().join(seen, "pivot").where(2 * F.col("count") > F.col("seen"))
     center = most.groupBy("pivot").agg(F.collect_list("e").alias("center"))
     none = F.array().cast("array<long>")
     rows = rows.join(center, "pivot", "left").withColumn("center", F.coalesce("center", none))
-    rows = rows.withColumn("rest", F.concat(F.array_except("shingles", "center"), F.array_except("center", "shingles")))
+    rows = rows.withColumn("rest", F.concat(F.array_except("rest", "center"), F.array_except("center", "rest")))
     more, less = 100 + percent, 100 - percent
-    far = 2 * F.size("rest") / (F.col("n") + F.size("center") + F.size("rest"))
     differ = F.floor(F.col("n") * less / percent)  # sets of n shingles and of 100 n / p at most
-    rows = materialize(rows.select("pivot", "x", "root", "rest", (F.size("rest") * more - F.col("n") * less).alias("slack"), differ.alias("differ"), far.alias("far")), "rests")
+    rows = materialize(rows.select("pivot", "x", "root", "rest", (F.size("rest") * more - F.col("n") * less).alias("slack"), differ.alias("differ")), "rests")
     first = rows.groupBy("pivot").agg(F.min(F.struct("slack", "x")).alias("first"))
-    rows = rows.join(first, "pivot")
-    links = materialize(rows.where((F.col("x") != F.col("first.x")) & (F.col("slack") + F.col("first.slack") <= 0)).select(F.col("first.x").alias("a"), F.col("x").alias("b")).distinct(), "sure-links")
+    near = rows.join(first, "pivot")
+    links = materialize(near.where((F.col("x") != F.col("first.x")) & (F.col("slack") + F.col("first.slack") <= 0)).select(F.col("first.x").alias("a"), F.col("x").alias("b")).distinct(), "sure-links")
     common = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("first.slack")) / (2 * more)), F.size("rest") - F.col("differ"))
-    parts = rows.select("pivot", "x", "root", "far", (F.size("rest") - common + 1).alias("most"), F.explode("rest").alias("e")).where("most > 0")
+    parts = near.select("pivot", "x", "root", (F.size("rest") - common + 1).alias("most"), F.explode("rest").alias("e")).where("most > 0")
     often = parts.groupBy("pivot", "e").agg(F.count("*").alias("sets"), (F.min("root") != F.max("root")).alias("open"))
     turn = F.row_number().over(Window.partitionBy("pivot", "x").orderBy("sets", "e"))
-    inner = parts.join(often, ["pivot", "e"]).withColumn("turn", turn).where("turn <= most and open")
-    return links, inner.select(F.xxhash64("pivot", "e").alias("pivot"), "x", F.col("far").alias("low"), F.col("far").alias("high"))
+    inner = parts.join(often, ["pivot", "e"]).withColumn("turn", turn).where("turn <= most and open").select("pivot", "x", "e", "sets")
+    again = F.when(F.col("sets") > REGION, F.col("rest")).alias("rest")
+    inner = inner.join(rows.select("pivot", "x", "rest"), ["pivot", "x"])
+    return links, inner.select(F.xxhash64("pivot", "e").alias("pivot"), "x", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), again)
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -347,6 +430,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = materialize(_region_pairs(now, reps, percent), "region-pairs")
     sets = _shingles_of(docs, n, reps, both(pairs).unionByName(_large(now).select(F.col("x").alias("set_id"))).distinct())
     found = [pairs]
+    if _large(now).limit(1).count():
+        rare, crowds = _crowds(_large(now), reps, sets, percent)
+        now = _open(crowds, roots, "crowded-regions")
+        found += [rare, materialize(_region_pairs(now, reps, percent), "crowded-pairs")]
     while _large(now).limit(1).count():
         links, inner = _recentred(_large(now), reps, sets, percent)
         roots = _joined(roots, links)

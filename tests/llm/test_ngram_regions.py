@@ -1,6 +1,9 @@
 """Inner regions of the n-gram join hold no more of a set than a link needs."""
 
+import random
+
 from subdiv.llm import ngram_join
+from test_brute_force import jaccard_components
 
 
 def test_sets_far_from_the_pivot_enter_few_inner_regions(spark):
@@ -19,3 +22,29 @@ def test_sets_far_from_the_pivot_enter_few_inner_regions(spark):
         together.setdefault(r.pivot, set()).add(r.x)
     assert any(x >= {13, 14} for x in together.values())
     assert sum(len(x) for x in together.values()) < 60, together
+
+
+def test_a_crowd_in_many_regions_is_divided_once(spark, monkeypatch):
+    """Near copies share most of their parts, so each is in many large regions; most of their pairs do not link."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(6):
+            words[rng.randrange(200)] = f"c{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(5)]
+    made = []
+
+    def counted(df, name, *more, real=ngram_join.materialize):
+        out = real(df, name, *more)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "REGION", 8)
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == jaccard_components(rows, 3, 90)
+    divided = [n for name, n in made if name == "rests"]
+    assert divided and divided[0] <= len(rows), made
